@@ -70,3 +70,10 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     root = checkpoint_root(spark)
     path = os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
     return path
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in the shared checkpoint folder
+    (files, so the result survives executor loss; never a local checkpoint)."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
