@@ -36,6 +36,16 @@ def _ws_collapse(c: Column) -> Column:
     return F.regexp_replace(c, r"\s+", " ")
 
 
+def _pin(c: Column) -> Column:
+    """Keep a column computed once per row.  Lambdas that read an outer
+    column (``lines``, ``starts``, ``locals``) count as a single use, so the
+    optimizer would otherwise inline the column's whole definition into the
+    lambda and re-evaluate it for every array element (quadratic in the
+    file).  A non-deterministic guard is never inlined; ``rand() >= 0`` is
+    always true."""
+    return F.when(F.rand(0) >= 0, c)
+
+
 def _indent(l: Column) -> Column:
     return F.length(F.regexp_extract(l, r"^[ \t]*", 0))
 
@@ -44,19 +54,21 @@ def _indent(l: Column) -> Column:
 
 def _with_units(files: DataFrame) -> DataFrame:
     lines = F.split(F.col("text"), "\n")
-    df = files.select("path", "language", lines.alias("lines"))
+    df = files.select("path", "language", _pin(lines).alias("lines"))
     is_py = F.col("language") == "python"
-    starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1),
-                      lambda i: F.get(F.col("lines"), i).rlike(TOP_LEVEL_RE))
-    df = df.select("path", "language", "lines", starts.alias("starts"))
 
-    def kind(i):
-        line = F.get(F.col("lines"), i)
+    def kind(line):
         comment = F.when(is_py, line.rlike(PY_COMMENT_RE)).otherwise(line.rlike(JS_COMMENT_RE))
         return F.when(comment, "c").when(line.startswith("@"), "d").otherwise("x")
 
-    df = df.select("*", F.transform("starts", kind).alias("kinds"))
-    df = df.select("*", F.array_join("kinds", "").alias("kstr"))
+    # column-0 lines with their index and kind, in one pass over the lines
+    tops = F.filter(F.transform("lines", lambda l, i: F.when(l.rlike(TOP_LEVEL_RE), F.struct(
+        i.alias("i"), kind(l).alias("k")))), lambda t: t.isNotNull())
+    df = df.select("path", "language", "lines", _pin(tops).alias("tops"))
+    df = df.select("path", "language", "lines",
+                   _pin(F.transform("tops", lambda t: t["i"])).alias("starts"),
+                   _pin(F.transform("tops", lambda t: t["k"])).alias("kinds"))
+    df = df.select("*", _pin(F.array_join("kinds", "")).alias("kstr"))
     n = F.size("lines")
 
     def unit(i, j):
@@ -69,63 +81,72 @@ def _with_units(files: DataFrame) -> DataFrame:
             F.coalesce(F.get(F.col("starts"), j + 1), n).alias("end"))
 
     units = F.filter(F.transform("starts", unit), lambda u: u["k"] == "x")
-    return df.select("path", "language", "lines", units.alias("units"))
+    df = df.select("path", "language", "lines", units.alias("units"))
+    # every later stage reads these as struct fields (computed once)
+    return _stage(df, lambda u: u.withField("decl", F.get(F.col("lines"), u["line"]))
+                                 .withField("raw", F.array_join(_span(u), "\n")))
 
 
 def _span(u: Column) -> Column:
     return F.slice(F.col("lines"), u["begin"] + 1, u["end"] - u["begin"])
 
 
-def _decl(u: Column) -> Column:
-    return F.get(F.col("lines"), u["line"])
+def _stage(df: DataFrame, fn, col: str = "units") -> DataFrame:
+    """Add fields to every element of an array-of-struct column.  Values a
+    later expression uses several times are stored as fields here, because
+    expressions inside lambdas are not de-duplicated by the optimizer."""
+    others = [c for c in df.columns if c != col]
+    return df.select(*others, F.transform(col, fn).alias(col))
 
 
 # ---------------------------------------------------------------- imports
 
+def _item(u, local, export, spec):
+    return F.struct(u["line"].alias("line"), local.alias("local_name"), export.alias("export_name"),
+                    spec.alias("specifier"), u["stmt"].alias("stmt"))
+
+
+def _none(u):
+    return F.filter(F.array(_item(u, F.lit(""), F.lit(""), F.lit(""))), lambda s: F.lit(False))
+
+
+_FROM = r"^from\s+(\.*)\s*([\w.]*)\s+import\s+(.*)$"
+
+
 def _py_imports(u: Column) -> Column:
-    raw = F.array_join(_span(u), "\n")
-    t = F.trim(_ws_collapse(F.regexp_replace(raw, r"#[^\n]*", "")))
-    stmt = rstrip_ws(raw)
-    frm = r"^from\s+(\.*)\s*([\w.]*)\s+import\s+(.*)$"
-    spec = F.concat(F.regexp_extract(t, frm, 1), F.regexp_extract(t, frm, 2))
-    names = split_names(F.regexp_replace(F.regexp_extract(t, frm, 3), r"[()]", ""))
+    t = u["t"]
+    spec = F.concat(F.regexp_extract(t, _FROM, 1), F.regexp_extract(t, _FROM, 2))
+    names = split_names(F.regexp_replace(F.regexp_extract(t, _FROM, 3), r"[()]", ""))
 
     def from_item(x):
         base = F.regexp_replace(x, r"\s+as\s+.*$", "")
-        local = F.when(x.rlike(r"\s+as\s+"), F.regexp_extract(x, r"\s+as\s+(\S+)$", 1)).otherwise(base)
-        export = F.when(x.rlike(r"\s+as\s+"), F.element_at(F.split(base, r"\."), -1)).otherwise(base)
-        return F.struct(u["line"].alias("line"), local.alias("local_name"), export.alias("export_name"),
-                        spec.alias("specifier"), stmt.alias("stmt"))
-
-    plain = split_names(F.regexp_extract(t, r"^import\s+(.*)$", 1))
+        aliased = x.rlike(r"\s+as\s+")
+        local = F.when(aliased, F.regexp_extract(x, r"\s+as\s+(\S+)$", 1)).otherwise(base)
+        export = F.when(aliased, F.element_at(F.split(base, r"\."), -1)).otherwise(base)
+        return _item(u, local, export, spec)
 
     def plain_item(x):
         base = F.regexp_replace(x, r"\s+as\s+.*$", "")
         local = F.when(x.rlike(r"\s+as\s+"), F.regexp_extract(x, r"\s+as\s+(\S+)$", 1)).otherwise(base)
-        return F.struct(u["line"].alias("line"), local.alias("local_name"), base.alias("export_name"),
-                        base.alias("specifier"), stmt.alias("stmt"))
+        return _item(u, local, base, base)
 
+    plain = split_names(F.regexp_extract(t, r"^import\s+(.*)$", 1))
     return (F.when(t.rlike(r"^from\s"), F.transform(names, from_item))
             .when(t.rlike(r"^import\s"), F.transform(plain, plain_item))
-            .otherwise(F.filter(F.array(from_item(F.lit(""))), lambda s: F.lit(False))))
+            .otherwise(_none(u)))
 
 
-def _js_imports(u: Column) -> Column:
-    raw = F.array_join(_span(u), "\n")
-    t = F.trim(_ws_collapse(raw))
-    stmt = rstrip_ws(raw)
-    es = r"""^import\s+(?:type\s+)?(.*?)\s*from\s*["'`]([^"'`]*)["'`]"""
-    clause = F.regexp_extract(t, es, 1)
-    es_spec = F.regexp_extract(t, es, 2)
-    req = (r"""^(?:const|let|var)\s+(\{[^}]*\}|""" + NAME +
-           r""")\s*=\s*require\(\s*["'`]([^"'`]*)["'`]\s*\)""")
-    pattern = F.regexp_extract(t, req, 1)
-    rq_spec = F.regexp_extract(t, req, 2)
-
-    def item(local, export, spec):
-        return F.struct(u["line"].alias("line"), local.alias("local_name"), export.alias("export_name"),
-                        spec.alias("specifier"), stmt.alias("stmt"))
+_ES = r"""^import\s+(?:type\s+)?(.*?)\s*from\s*["'`]([^"'`]*)["'`]"""
+_REQ = (r"""^(?:const|let|var)\s+(\{[^}]*\}|""" + NAME +
+        r""")\s*=\s*require\(\s*["'`]([^"'`]*)["'`]\s*\)""")
+
 
+def _js_imports(u: Column) -> Column:
+    t = u["t"]
+    clause = F.regexp_extract(t, _ES, 1)
+    es_spec = F.regexp_extract(t, _ES, 2)
+    pattern = F.regexp_extract(t, _REQ, 1)
+    rq_spec = F.regexp_extract(t, _REQ, 2)
     default_name = F.regexp_extract(clause, r"^(" + NAME + ")", 1)
     ns_name = F.regexp_extract(clause, r"\*\s*as\s+(" + NAME + ")", 1)
     named = split_names(F.regexp_extract(clause, r"\{([^}]*)\}", 1))
@@ -133,34 +154,42 @@ def _js_imports(u: Column) -> Column:
     def named_item(x):
         x2 = F.regexp_replace(x, r"^type\s+", "")
         local = F.when(x2.rlike(r"\s+as\s+"), F.regexp_extract(x2, r"\s+as\s+(" + NAME + ")", 1)).otherwise(x2)
-        return item(local, F.regexp_replace(x2, r"\s+as\s+.*$", ""), es_spec)
+        return _item(u, local, F.regexp_replace(x2, r"\s+as\s+.*$", ""), es_spec)
 
     es_items = F.concat(
-        F.filter(F.array(item(default_name, F.lit("default"), es_spec)), lambda s: s["local_name"] != ""),
+        F.filter(F.array(_item(u, default_name, F.lit("default"), es_spec)), lambda s: s["local_name"] != ""),
         F.transform(named, named_item),
-        F.filter(F.array(item(ns_name, F.lit("*"), es_spec)), lambda s: s["local_name"] != ""))
+        F.filter(F.array(_item(u, ns_name, F.lit("*"), es_spec)), lambda s: s["local_name"] != ""))
 
     def pair_item(x):
         local = F.when(x.contains(":"), F.trim(F.regexp_extract(x, r":\s*(.*)$", 1))).otherwise(x)
-        return item(local, F.trim(F.regexp_replace(x, r":.*$", "")), rq_spec)
+        return _item(u, local, F.trim(F.regexp_replace(x, r":.*$", "")), rq_spec)
 
     rq_items = F.when(pattern.startswith("{"),
                       F.transform(split_names(F.regexp_replace(pattern, r"[{}]", "")), pair_item)) \
-        .otherwise(F.array(item(pattern, F.lit("default"), rq_spec)))
-    empty = F.filter(F.array(item(F.lit(""), F.lit(""), F.lit(""))), lambda s: F.lit(False))
+        .otherwise(F.array(_item(u, pattern, F.lit("default"), rq_spec)))
     return (F.when(t.rlike(r"^import\s") & (es_spec != ""), es_items)
             .when(rq_spec != "", rq_items)
-            .otherwise(empty))
+            .otherwise(_none(u)))
+
+
+def _with_imports(df: DataFrame, py: bool) -> DataFrame:
+    strip_comments = (lambda r: F.regexp_replace(r, r"#[^\n]*", "")) if py else (lambda r: r)
+    df = _stage(df, lambda u: u.withField("stmt", rstrip_ws(u["raw"]))
+                             .withField("t", F.trim(_ws_collapse(strip_comments(u["raw"])))))
+    imports = F.flatten(F.transform("units", _py_imports if py else _js_imports))
+    df = df.select("*", _pin(imports).alias("imports"))
+    return df.select("*", _pin(F.array_distinct(F.transform("imports", lambda x: x["local_name"]))).alias("locals"))
 
 
 # ---------------------------------------------------------------- symbols
 
-def _sym(name, kind, exported, has_body, u, full, sig, used):
+def _sym(u, name, kind, exported, has_body, sig):
     return F.struct(name.alias("name"), kind.alias("kind"),
                     u["begin"].alias("start_line"), u["line"].alias("decl_line"),
-                    (u["begin"] + F.size(F.split(full, "\n")) - 1).alias("end_line"),
+                    (u["begin"] + F.size(F.split(u["full"], "\n")) - 1).alias("end_line"),
                     exported.alias("is_exported"), has_body.alias("has_body"),
-                    full.alias("text"), sig.alias("sig"), used.alias("used"))
+                    u["full"].alias("text"), sig.alias("sig"), u["used"].alias("used"))
 
 
 def _used(raw_text: Column) -> Column:
@@ -168,135 +197,164 @@ def _used(raw_text: Column) -> Column:
                              F.col("locals"))
 
 
-def _py_symbols(u: Column) -> Column:
-    decl = _decl(u)
-    raw = F.array_join(_span(u), "\n")
-    full = rstrip_ws(raw)
-    fn = F.regexp_extract(decl, r"^(?:async\s+)?def\s+([A-Za-z_]\w*)", 1)
-    cl = F.regexp_extract(decl, r"^class\s+([A-Za-z_]\w*)", 1)
-    va = F.regexp_extract(decl, r"^([A-Za-z_]\w*)\s*(?::[^=]*)?=(?:[^=]|$)", 1)
-    kind = F.when(fn != "", "function").when(cl != "", "class").when(va != "", "variable")
-    name = F.when(fn != "", fn).when(cl != "", cl).when(va != "", va)
-    has_body = kind.isin("function", "class")
-    # header ends at the first line (from the def/class line on) ending in ':'
-    p = F.array_position(
-        F.transform(F.slice(F.col("lines"), u["line"] + 1, u["end"] - u["line"]),
-                    lambda l: l.rlike(r":\s*(#.*)?$")), True)
-    head = F.array_join(F.slice(F.col("lines"), u["begin"] + 1, u["line"] + p - u["begin"]), "\n")
-    sig = F.when(has_body & (p > 0), F.concat(rstrip_ws(head), F.lit("\n    pass"))).otherwise(full)
-    one = _sym(name, kind, F.lit(True), has_body, u, full, sig, _used(raw))
-    return F.filter(F.array(one), lambda s: s["name"].isNotNull())
-
-
-def _js_sig(kind: Column, full: Column, r0: Column, is_arrow: Column, is_declare: Column) -> Column:
-    fl = F.split(full, "\n")
-    q = F.array_position(F.transform(F.slice(fl, r0 + 1, F.size(fl) - r0), lambda l: l.rlike(r"\{\s*$")),
-                         True)
-    hdr_n = r0 + q
-    hdr = F.slice(fl, F.lit(1), hdr_n)
-    last = F.regexp_replace(F.element_at(hdr, -1), r"\s*\{\s*$", "")
-    head = F.array_join(F.concat(F.slice(hdr, F.lit(1), hdr_n - 1), F.array(last)), "\n")
-    tail = F.regexp_extract(full, r"\}([^}\n]*)$", 1)
-    fn_sig = (F.when(q > 0, F.concat(head, F.lit(" {}"), tail))
-              .when(is_arrow, F.concat(F.regexp_extract(full, r"^([^\n]*?=>)", 1), F.lit(" {}"),
-                                       F.when(full.rlike(r";$"), F.lit(";")).otherwise(F.lit(""))))
-              .otherwise(full))
-    inner = F.slice(fl, hdr_n + 1, F.greatest(F.size(fl) - hdr_n - 1, F.lit(0)))
-    nonblank = F.filter(inner, lambda l: l.rlike(r"\S"))
-    ind = F.array_min(F.transform(nonblank, _indent))
-    kept = F.transform(F.filter(nonblank, lambda l: (_indent(l) == ind) & ~l.rlike(r"^\s*\}")),
-                       lambda l: F.regexp_replace(l, r"\{\s*$", "{}"))
-    cls_sig = F.when((q > 0) & (F.size(fl) > hdr_n),
-                     F.array_join(F.concat(hdr, kept, F.array(F.element_at(fl, -1))), "\n")).otherwise(full)
-    return (F.when((kind == "function") & ~is_declare, fn_sig)
-            .when(kind == "class", cls_sig)
-            .otherwise(full))
-
-
-def _js_symbols(u: Column) -> Column:
-    decl = _decl(u)
+def _py_symbols(df: DataFrame) -> DataFrame:
+    def classify(u):
+        d = u["decl"]
+        return (u.withField("fn", F.regexp_extract(d, r"^(?:async\s+)?def\s+([A-Za-z_]\w*)", 1))
+                .withField("cl", F.regexp_extract(d, r"^class\s+([A-Za-z_]\w*)", 1))
+                .withField("va", F.regexp_extract(d, r"^([A-Za-z_]\w*)\s*(?::[^=]*)?=(?:[^=]|$)", 1))
+                .withField("full", rstrip_ws(u["raw"]))
+                .withField("used", _used(u["raw"]))
+                # the header ends at the first line (from def/class on) ending in ':'
+                .withField("p", F.array_position(
+                    F.transform(F.slice(F.col("lines"), u["line"] + 1, u["end"] - u["line"]),
+                                lambda l: l.rlike(r":\s*(#.*)?$")), True)))
+
+    df = _stage(df, classify)
+
+    def symbol(u):
+        fn, cl, va = u["fn"], u["cl"], u["va"]
+        kind = F.when(fn != "", "function").when(cl != "", "class").when(va != "", "variable")
+        name = F.when(fn != "", fn).when(cl != "", cl).when(va != "", va)
+        has_body = (fn != "") | (cl != "")
+        head = F.array_join(F.slice(F.col("lines"), u["begin"] + 1, u["line"] + u["p"] - u["begin"]), "\n")
+        sig = F.when(has_body & (u["p"] > 0), F.concat(rstrip_ws(head), F.lit("\n    pass"))).otherwise(u["full"])
+        return F.filter(F.array(_sym(u, name, kind, F.lit(True), has_body, sig)), lambda s: s["name"].isNotNull())
+
+    return df.select("path", "language", "imports", F.flatten(F.transform("units", symbol)).alias("symbols"))
+
+
+def _js_symbols(df: DataFrame) -> DataFrame:
     is_ts = F.col("language") == "typescript"
-    exported = decl.rlike(r"^export\s")
-    is_default = decl.rlike(r"^export\s+default\s")
-    is_clause = decl.rlike(r"^export\s*\{")
-    body0 = F.regexp_replace(decl, r"^export\s+(default\s+)?", "")
-    is_fn = body0.rlike(r"^(async\s+)?function\b")
-    fn_name = F.regexp_extract(body0, r"^(?:async\s+)?function\b\s*\*?\s*(" + NAME + ")", 1)
-    is_cls = body0.rlike(r"^class\b")
-    cls_name = F.regexp_extract(body0, r"^class\s+(" + NAME + ")", 1)
-    var_name = F.regexp_extract(body0, r"^(?:const|let|var)\s+(" + NAME + ")", 1)
-    rhs = F.regexp_extract(body0, r"^(?:const|let|var)\s+" + NAME + r"\s*(?::[^=]*)?=\s*(.*)$", 1)
-    is_arrow = rhs.rlike(r"^(async\s+)?(\([^)]*\)\s*(:[^=]*)?=>|" + NAME + r"\s*=>)")
-    is_fexpr = rhs.rlike(r"^(async\s+)?function\b")
-    iface = F.regexp_extract(body0, r"^interface\s+(" + NAME + ")", 1)
-    talias = F.regexp_extract(body0, r"^type\s+(" + NAME + ")", 1)
-    enum = F.regexp_extract(body0, r"^(?:const\s+)?enum\s+(" + NAME + ")", 1)
-    declared = F.regexp_extract(body0, r"^declare\s+function\s+(" + NAME + ")", 1)
-    mexp = decl.rlike(r"^module\.exports\s*=")
-    fname = F.when(fn_name != "", fn_name).when(is_default, F.lit("default"))
-    cname = F.when(cls_name != "", cls_name).when(is_default, F.lit("default"))
-
-    kind = (F.when(mexp, "variable")
-            .when(is_fn & fname.isNotNull(), "function")
-            .when(is_cls & cname.isNotNull(), "class")
-            .when(is_ts & (iface != ""), "interface")
-            .when(is_ts & (talias != ""), "type")
-            .when(is_ts & (enum != ""), "type")
-            .when(is_ts & (declared != ""), "function")
-            .when((var_name != "") & (is_arrow | is_fexpr), "function")
-            .when(var_name != "", "variable"))
-    name = (F.when(mexp, F.lit("module.exports"))
-            .when(is_fn & fname.isNotNull(), fname)
-            .when(is_cls & cname.isNotNull(), cname)
-            .when(is_ts & (iface != ""), iface)
-            .when(is_ts & (talias != ""), talias)
-            .when(is_ts & (enum != ""), enum)
-            .when(is_ts & (declared != ""), declared)
-            .when(var_name != "", var_name))
-    is_declare = is_ts & (declared != "") & ~is_fn
-    is_exported = mexp | exported | is_declare
-    # an exported declaration's span is the inner declaration ('export ' cut)
-    decl_out = F.when(exported & ~is_default & ~is_clause,
-                      F.regexp_replace(decl, r"^export\s+", "")).otherwise(decl)
-    r0 = u["line"] - u["begin"]
-    raw = F.array_join(F.transform(_span(u), lambda l, k: F.when(k == r0, decl_out).otherwise(l)), "\n")
-    full = rstrip_ws(raw)
-    used = _used(raw)
-    has_body = ((kind == "function") & ~is_declare) | (kind == "class")
-    sig = _js_sig(kind, full, r0, is_arrow, is_declare)
-    one = F.filter(F.array(_sym(name, kind, is_exported, has_body, u, full, sig, used)),
-                   lambda s: s["name"].isNotNull())
-    # export { a, b as c } — one variable symbol per specifier, named by alias
-    clause_names = split_names(F.regexp_extract(_ws_collapse(full), r"\{([^}]*)\}", 1))
-    clause = F.transform(
-        clause_names,
-        lambda x: _sym(F.when(x.rlike(r"\s+as\s+"), F.regexp_extract(x, r"\s+as\s+(" + NAME + ")", 1))
-                       .otherwise(x),
-                       F.lit("variable"), F.lit(True), F.lit(False), u, full, full, used))
-    return F.when(is_clause, clause).otherwise(one)
+
+    def flags(u):
+        d = u["decl"]
+        return (u.withField("exported", d.rlike(r"^export\s"))
+                .withField("is_default", d.rlike(r"^export\s+default\s"))
+                .withField("is_clause", d.rlike(r"^export\s*\{"))
+                .withField("mexp", d.rlike(r"^module\.exports\s*="))
+                .withField("body0", F.regexp_replace(d, r"^export\s+(default\s+)?", "")))
+
+    def names(u):
+        b = u["body0"]
+        return (u.withField("is_fn", b.rlike(r"^(async\s+)?function\b"))
+                .withField("fn_name", F.regexp_extract(b, r"^(?:async\s+)?function\b\s*\*?\s*(" + NAME + ")", 1))
+                .withField("is_cls", b.rlike(r"^class\b"))
+                .withField("cls_name", F.regexp_extract(b, r"^class\s+(" + NAME + ")", 1))
+                .withField("var_name", F.regexp_extract(b, r"^(?:const|let|var)\s+(" + NAME + ")", 1))
+                .withField("rhs", F.regexp_extract(b, r"^(?:const|let|var)\s+" + NAME + r"\s*(?::[^=]*)?=\s*(.*)$", 1))
+                .withField("iface", F.when(is_ts, F.regexp_extract(b, r"^interface\s+(" + NAME + ")", 1)).otherwise(""))
+                .withField("talias", F.when(is_ts, F.regexp_extract(b, r"^type\s+(" + NAME + ")", 1)).otherwise(""))
+                .withField("enum", F.when(is_ts, F.regexp_extract(b, r"^(?:const\s+)?enum\s+(" + NAME + ")", 1))
+                           .otherwise(""))
+                .withField("declared", F.when(is_ts, F.regexp_extract(b, r"^declare\s+function\s+(" + NAME + ")", 1))
+                           .otherwise("")))
+
+    def kinds(u):
+        fname = F.when(u["fn_name"] != "", u["fn_name"]).when(u["is_default"], F.lit("default"))
+        cname = F.when(u["cls_name"] != "", u["cls_name"]).when(u["is_default"], F.lit("default"))
+        is_fn = u["is_fn"] & fname.isNotNull()
+        is_cls = u["is_cls"] & cname.isNotNull()
+        is_arrow = u["rhs"].rlike(r"^(async\s+)?(\([^)]*\)\s*(:[^=]*)?=>|" + NAME + r"\s*=>)")
+        is_fexpr = u["rhs"].rlike(r"^(async\s+)?function\b")
+        has_var = u["var_name"] != ""
+        kind = (F.when(u["mexp"], "variable").when(is_fn, "function").when(is_cls, "class")
+                .when(u["iface"] != "", "interface").when(u["talias"] != "", "type")
+                .when(u["enum"] != "", "type").when(u["declared"] != "", "function")
+                .when(has_var & (is_arrow | is_fexpr), "function").when(has_var, "variable"))
+        name = (F.when(u["mexp"], F.lit("module.exports")).when(is_fn, fname).when(is_cls, cname)
+                .when(u["iface"] != "", u["iface"]).when(u["talias"] != "", u["talias"])
+                .when(u["enum"] != "", u["enum"]).when(u["declared"] != "", u["declared"])
+                .when(has_var, u["var_name"]))
+        is_declare = (u["declared"] != "") & ~u["is_fn"]
+        # an exported declaration's span is the inner declaration ('export ' cut)
+        decl_out = F.when(u["exported"] & ~u["is_default"] & ~u["is_clause"],
+                          F.regexp_replace(u["decl"], r"^export\s+", "")).otherwise(u["decl"])
+        r0 = u["line"] - u["begin"]
+        raw = F.array_join(F.transform(_span(u), lambda l, k: F.when(k == r0, decl_out).otherwise(l)), "\n")
+        return (u.withField("kind", kind).withField("name", name).withField("is_declare", is_declare)
+                .withField("is_arrow", is_arrow).withField("r0", r0).withField("raw", raw))
+
+    def texts(u):
+        return u.withField("full", rstrip_ws(u["raw"])).withField("used", _used(u["raw"]))
+
+    def header(u):
+        fl = F.split(u["full"], "\n")
+        q = F.array_position(F.transform(F.slice(fl, u["r0"] + 1, F.size(fl) - u["r0"]),
+                                         lambda l: l.rlike(r"\{\s*$")), True)
+        return u.withField("fl", fl).withField("q", q).withField("hdr_n", u["r0"] + q)
+
+    for fn in (flags, names, kinds, texts, header):
+        df = _stage(df, fn)
+
+    def symbol(u):
+        fl, q, hdr_n, full, kind = u["fl"], u["q"], u["hdr_n"], u["full"], u["kind"]
+        hdr = F.slice(fl, F.lit(1), hdr_n)
+        last = F.regexp_replace(F.element_at(hdr, -1), r"\s*\{\s*$", "")
+        head = F.array_join(F.concat(F.slice(hdr, F.lit(1), hdr_n - 1), F.array(last)), "\n")
+        tail = F.regexp_extract(full, r"\}([^}\n]*)$", 1)
+        fn_sig = (F.when(q > 0, F.concat(head, F.lit(" {}"), tail))
+                  .when(u["is_arrow"], F.concat(F.regexp_extract(full, r"^([^\n]*?=>)", 1), F.lit(" {}"),
+                                                F.when(full.rlike(r";$"), F.lit(";")).otherwise(F.lit(""))))
+                  .otherwise(full))
+        inner = F.slice(fl, hdr_n + 1, F.greatest(F.size(fl) - hdr_n - 1, F.lit(0)))
+        nonblank = F.filter(inner, lambda l: l.rlike(r"\S"))
+        ind = F.array_min(F.transform(nonblank, _indent))
+        kept = F.transform(F.filter(nonblank, lambda l: (_indent(l) == ind) & ~l.rlike(r"^\s*\}")),
+                           lambda l: F.regexp_replace(l, r"\{\s*$", "{}"))
+        cls_sig = F.when((q > 0) & (F.size(fl) > hdr_n),
+                         F.array_join(F.concat(hdr, kept, F.array(F.element_at(fl, -1))), "\n")).otherwise(full)
+        sig = (F.when((kind == "function") & ~u["is_declare"], fn_sig)
+               .when(kind == "class", cls_sig).otherwise(full))
+        is_exported = u["mexp"] | u["exported"] | u["is_declare"]
+        has_body = ((kind == "function") & ~u["is_declare"]) | (kind == "class")
+        one = F.filter(F.array(_sym(u, u["name"], kind, is_exported, has_body, sig)),
+                       lambda s: s["name"].isNotNull())
+        # export { a, b as c } — one variable symbol per specifier, named by alias
+        clause_names = split_names(F.regexp_extract(_ws_collapse(full), r"\{([^}]*)\}", 1))
+        clause = F.transform(
+            clause_names,
+            lambda x: _sym(u, F.when(x.rlike(r"\s+as\s+"), F.regexp_extract(x, r"\s+as\s+(" + NAME + ")", 1))
+                           .otherwise(x), F.lit("variable"), F.lit(True), F.lit(False), full))
+        return F.when(u["is_clause"], clause).otherwise(one)
+
+    return df.select("path", "language", "imports", F.flatten(F.transform("units", symbol)).alias("symbols"))
 
 
 # ------------------------------------------------------------------ entry
 
+def _parse(files: DataFrame, py: bool) -> DataFrame:
+    df = _with_units(files)
+    df = _with_imports(df, py)
+    df = _py_symbols(df) if py else _js_symbols(df)
+    numbered = F.transform("symbols", lambda s, i: s.withField("ord", i))
+    # pinned: field pruning through a later explode must not copy the whole
+    # definition once per extracted field
+    return df.select("path", "language", _pin(numbered).alias("symbols"), _pin(F.col("imports")).alias("imports"))
+
+
 def parse_files(files: DataFrame) -> DataFrame:
     """``files(path, language, text)`` → one row per file with its symbol
-    and import arrays (see module doc)."""
-    df = _with_units(files)
+    and import arrays (see module doc).  Python and JavaScript/TypeScript
+    rows take separate narrow branches of the same scan."""
     is_py = F.col("language") == "python"
-    imports = F.flatten(F.transform("units", lambda u: F.when(is_py, _py_imports(u)).otherwise(_js_imports(u))))
-    df = df.select("path", "language", "lines", "units", imports.alias("imports"))
-    df = df.select("*", F.array_distinct(F.transform("imports", lambda x: x["local_name"])).alias("locals"))
-    syms = F.flatten(F.transform("units", lambda u: F.when(is_py, _py_symbols(u)).otherwise(_js_symbols(u))))
-    df = df.select("path", "language", "imports", syms.alias("symbols"))
-    numbered = F.transform("symbols", lambda s, i: s.withField("ord", i))
-    return df.select("path", "language", numbered.alias("symbols"), "imports")
+    return _parse(files.where(is_py), True).unionByName(_parse(files.where(~is_py), False))
+
+
+def explode_rows(df: DataFrame, keep: list[str], arr, alias: str) -> DataFrame:
+    """Explode an array column into rows.  ``explode_outer`` + a null filter
+    instead of ``explode``: an inner explode makes the optimizer infer a
+    ``size(arr) > 0`` predicate and push it below the projection, which
+    copies the array's whole definition into the filter."""
+    return (df.select(*keep, F.explode_outer(arr).alias(alias))
+            .where(F.col(alias).isNotNull()))
 
 
 def symbols_table(parsed: DataFrame) -> DataFrame:
     """One row per symbol: (path, language, ord, name, kind, ...)."""
-    return parsed.select("path", "language", F.explode("symbols").alias("s")).select("path", "language", "s.*")
+    return explode_rows(parsed, ["path", "language"], "symbols", "s").select("path", "language", "s.*")
 
 
 def imports_table(parsed: DataFrame) -> DataFrame:
     """One row per imported name: (path, language, line, local_name, export_name, specifier, stmt)."""
-    return parsed.select("path", "language", F.explode("imports").alias("i")).select("path", "language", "i.*")
+    return explode_rows(parsed, ["path", "language"], "imports", "i").select("path", "language", "i.*")

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slimctx.operators.extract import explode_rows
 from slimctx.session import materialize
 
 
@@ -36,14 +37,14 @@ def symbol_edges(parsed: DataFrame, resolved: DataFrame) -> tuple[DataFrame, Dat
         lambda s: F.transform(F.filter("imports", lambda i: F.array_contains(s["used"], i["local_name"])),
                               lambda i: F.struct(s["name"].alias("src_sym"), i["specifier"].alias("specifier"),
                                                  i["export_name"].alias("dst_sym")))))
-    sym = (parsed.select(F.col("path").alias("src"), F.explode(F.array_distinct(per_sym)).alias("e"))
+    sym = (explode_rows(parsed.select(F.col("path").alias("src"), "symbols", "imports"), ["src"],
+                        F.array_distinct(per_sym), "e")
            .select("src", "e.*")
            .where(F.col("specifier").startswith(".")))
     sym_edges = sym.join(resolved, ["src", "specifier"], "inner")
-    star = (parsed.select(F.col("path").alias("src"),
-                          F.explode(F.array_distinct(F.transform(
-                              F.filter("imports", lambda i: i["local_name"] == "*"),
-                              lambda i: i["specifier"]))).alias("specifier"))
+    star = (explode_rows(parsed.select(F.col("path").alias("src"), "imports"), ["src"],
+                         F.array_distinct(F.transform(F.filter("imports", lambda i: i["local_name"] == "*"),
+                                                      lambda i: i["specifier"])), "specifier")
             .where(F.col("specifier").startswith(".")))
     star_edges = star.join(resolved, ["src", "specifier"], "inner")
     return sym_edges, star_edges

@@ -31,7 +31,7 @@ def _kept(requested: Column) -> Column:
     return F.when((F.size(hit) == 0) & (F.size(requested) > 0), F.col("symbols")).otherwise(hit)
 
 
-def _source(is_entry: Column, requested: Column) -> tuple[Column, Column, Column]:
+def _source(is_entry: Column, requested: Column) -> tuple[Column, Column, Column, Column]:
     kept = _kept(requested)
     used = F.array_distinct(F.flatten(F.transform(kept, lambda s: s["used"])))
     imps = F.filter("imports", lambda i: F.array_contains(used, i["local_name"]) | (i["local_name"] == "*"))
@@ -49,7 +49,15 @@ def _source(is_entry: Column, requested: Column) -> tuple[Column, Column, Column
     source = F.concat(strip_ws(F.concat(head, F.array_join(blocks, ""))), F.lit("\n"))
     names = F.transform(F.filter("symbols", lambda s: F.array_contains(requested, s["name"])),
                         lambda s: s["name"])
-    return source, names, F.size(kept)
+    return source, names, F.size(kept), F.transform(stmts, lambda x: x["stmt"])
+
+
+def used_import_statements(parsed: DataFrame, requests: DataFrame, is_entry: bool = True) -> DataFrame:
+    """Per (path, request) the import statements the kept symbols
+    need, first statement per specifier, in file order."""
+    j = requests.select("path", "syms").join(parsed.select("path", "symbols", "imports"), "path", "inner")
+    _, names, n_kept, stmts = _source(F.lit(is_entry), F.col("syms"))
+    return j.select("path", "syms", names.alias("kept"), stmts.alias("stmts"))
 
 
 def pruned_texts(nodes: DataFrame, parsed: DataFrame, token_expr: TokenExpr = heuristic_tokens) -> DataFrame:
@@ -59,7 +67,7 @@ def pruned_texts(nodes: DataFrame, parsed: DataFrame, token_expr: TokenExpr = he
             .withColumn("key", F.concat_ws(" ", "syms"))
             .dropDuplicates(["path", "is_entry", "key"]))
     j = keys.join(parsed.select("path", "symbols", "imports"), "path", "inner")
-    source, names, n_kept = _source(F.col("is_entry"), F.col("syms"))
+    source, names, n_kept, _ = _source(F.col("is_entry"), F.col("syms"))
     out = j.select("path", "is_entry", "key", source.alias("source"), names.alias("symbols"),
                    n_kept.alias("n_blocks"))
     return out.select("*", token_expr(F.col("source")).alias("estimated_tokens"))

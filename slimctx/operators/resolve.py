@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slimctx.operators.extract import explode_rows
 from slimctx.functions.paths import (JS_EXTS, JS_INDEX, PY_INDEX, TS_EXTS, dirname, join_path,
                                      normpath, parent_n)
 
@@ -44,10 +45,8 @@ def resolve_specifiers(parsed: DataFrame, corpus_paths: DataFrame) -> DataFrame:
 
     ``parsed`` — output of ``parse_files``; ``corpus_paths`` — one column
     ``path`` with every file of the corpus (unique)."""
-    specs = (parsed
-             .select(F.col("path").alias("src"), "language",
-                     F.explode(F.array_distinct(F.transform("imports", lambda i: i["specifier"])))
-                     .alias("specifier"))
+    specs = (explode_rows(parsed.select(F.col("path").alias("src"), "language", "imports"), ["src", "language"],
+                          F.array_distinct(F.transform("imports", lambda i: i["specifier"])), "specifier")
              .where(F.col("specifier").startswith(".")))           # external packages never resolve
     cands = specs.select("src", "specifier",
                          F.explode(candidates(F.col("src"), F.col("language"), F.col("specifier"))).alias("c"))

@@ -28,10 +28,12 @@ SESSION_DEFAULTS = {
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "slimctx") -> SparkSession:
+                app_name: str = "slimctx", driver_memory: str | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    if driver_memory:   # local mode: the driver JVM is the only executor
+        builder = builder.config("spark.driver.memory", driver_memory)
     for k, v in SESSION_DEFAULTS.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
