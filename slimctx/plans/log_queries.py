@@ -55,6 +55,32 @@ def q_log_malformed_lines(spark, sf_dir):
                    F.count("file").alias("with_file"))
 
 
+def _streamed(spark, sf_dir, series):
+    """The derived log arrives as files in two waves (two groups of event
+    types, i.e. two sources appending to one folder); the streaming query
+    catches up after the first wave, then restarts from its checkpoint and
+    folds in the second.  Every row is processed exactly once."""
+    import os
+    from slimctx.streaming.log_stream import catch_up
+    events = table(spark, sf_dir, "events")
+    work = scratch_dir(spark, f"stream-{series}")
+    log_dir = os.path.join(work, "log")
+    first = F.col("event_type").isin("click", "view")
+    for wave in (first, ~first):
+        (log_from_events(events.where(wave))
+         .write.mode("append").option("maxRecordsPerFile", 2500).json(log_dir))
+        result = catch_up(spark, log_dir, work, series, max_files_per_trigger=2)
+    return result
+
+
+def q_stream_log_totals(spark, sf_dir):
+    return _streamed(spark, sf_dir, "totals")
+
+
+def q_stream_daily_cumulative(spark, sf_dir):
+    return _streamed(spark, sf_dir, "daily_cumulative")
+
+
 LOG_QUERIES = {
     "log_totals": q_log_totals,
     "log_mean_reduction": q_log_mean_reduction,
@@ -64,4 +90,6 @@ LOG_QUERIES = {
     "log_reduction_histogram": q_log_reduction_histogram,
     "batch_weighted_reduction": q_batch_weighted_reduction,
     "log_malformed_lines": q_log_malformed_lines,
+    "stream_log_totals": q_stream_log_totals,
+    "stream_daily_cumulative": q_stream_daily_cumulative,
 }

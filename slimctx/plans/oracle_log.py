@@ -98,3 +98,7 @@ SELECT count(*) AS good_lines,
        count(ts) AS with_ts, count(file) AS with_file
 FROM L"""),
 }
+
+# the streamed series must equal the batch ones
+LOG_SQL["stream_log_totals"] = LOG_SQL["log_totals"]
+LOG_SQL["stream_daily_cumulative"] = LOG_SQL["log_daily_cumulative"]
