@@ -52,9 +52,17 @@ def _indent(l: Column) -> Column:
 
 # ------------------------------------------------------------------ units
 
+PASS_THROUGH = ("raw_bytes", "raw_tokens")
+
+
+def _extra(df: DataFrame) -> list[str]:
+    """Per-file measures computed before parsing and carried along."""
+    return [c for c in PASS_THROUGH if c in df.columns]
+
+
 def _with_units(files: DataFrame) -> DataFrame:
     lines = F.split(F.col("text"), "\n")
-    df = files.select("path", "language", _pin(lines).alias("lines"))
+    df = files.select("path", "language", *_extra(files), _pin(lines).alias("lines"))
     is_py = F.col("language") == "python"
 
     def kind(line):
@@ -64,8 +72,9 @@ def _with_units(files: DataFrame) -> DataFrame:
     # column-0 lines with their index and kind, in one pass over the lines
     tops = F.filter(F.transform("lines", lambda l, i: F.when(l.rlike(TOP_LEVEL_RE), F.struct(
         i.alias("i"), kind(l).alias("k")))), lambda t: t.isNotNull())
-    df = df.select("path", "language", "lines", _pin(tops).alias("tops"))
-    df = df.select("path", "language", "lines",
+    x = _extra(df)
+    df = df.select("path", "language", *x, "lines", _pin(tops).alias("tops"))
+    df = df.select("path", "language", *x, "lines",
                    _pin(F.transform("tops", lambda t: t["i"])).alias("starts"),
                    _pin(F.transform("tops", lambda t: t["k"])).alias("kinds"))
     df = df.select("*", _pin(F.array_join("kinds", "")).alias("kstr"))
@@ -81,7 +90,7 @@ def _with_units(files: DataFrame) -> DataFrame:
             F.coalesce(F.get(F.col("starts"), j + 1), n).alias("end"))
 
     units = F.filter(F.transform("starts", unit), lambda u: u["k"] == "x")
-    df = df.select("path", "language", "lines", units.alias("units"))
+    df = df.select("path", "language", *x, "lines", units.alias("units"))
     # every later stage reads these as struct fields (computed once)
     return _stage(df, lambda u: u.withField("decl", F.get(F.col("lines"), u["line"]))
                                  .withField("raw", F.array_join(_span(u), "\n")))
@@ -221,7 +230,8 @@ def _py_symbols(df: DataFrame) -> DataFrame:
         sig = F.when(has_body & (u["p"] > 0), F.concat(rstrip_ws(head), F.lit("\n    pass"))).otherwise(u["full"])
         return F.filter(F.array(_sym(u, name, kind, F.lit(True), has_body, sig)), lambda s: s["name"].isNotNull())
 
-    return df.select("path", "language", "imports", F.flatten(F.transform("units", symbol)).alias("symbols"))
+    return df.select("path", "language", *_extra(df), "imports",
+                     F.flatten(F.transform("units", symbol)).alias("symbols"))
 
 
 def _js_symbols(df: DataFrame) -> DataFrame:
@@ -318,7 +328,8 @@ def _js_symbols(df: DataFrame) -> DataFrame:
                            .otherwise(x), F.lit("variable"), F.lit(True), F.lit(False), full))
         return F.when(u["is_clause"], clause).otherwise(one)
 
-    return df.select("path", "language", "imports", F.flatten(F.transform("units", symbol)).alias("symbols"))
+    return df.select("path", "language", *_extra(df), "imports",
+                     F.flatten(F.transform("units", symbol)).alias("symbols"))
 
 
 # ------------------------------------------------------------------ entry
@@ -330,7 +341,8 @@ def _parse(files: DataFrame, py: bool) -> DataFrame:
     numbered = F.transform("symbols", lambda s, i: s.withField("ord", i))
     # pinned: field pruning through a later explode must not copy the whole
     # definition once per extracted field
-    return df.select("path", "language", _pin(numbered).alias("symbols"), _pin(F.col("imports")).alias("imports"))
+    return df.select("path", "language", _pin(numbered).alias("symbols"), _pin(F.col("imports")).alias("imports"),
+                     *_extra(df))
 
 
 def parse_files(files: DataFrame) -> DataFrame:

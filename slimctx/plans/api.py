@@ -32,7 +32,10 @@ class CorpusIndex:
         self.spark = files.sparkSession
         self.files = files
         self.token_expr = token_expr
-        parsed = parse_files(files)
+        # raw size and tokens ride along with the parse, so the text is read once
+        measured = files.select("*", F.octet_length("text").alias("raw_bytes"),
+                                token_expr(F.col("text")).alias("raw_tokens"))
+        parsed = parse_files(measured)
         if materialize:
             # reliable checkpoint in the shared folder: cuts lineage and
             # survives executor loss (never a local checkpoint)
@@ -86,7 +89,7 @@ class CorpusIndex:
         traversal (J6), nothing is recomputed."""
         nodes = self.graph(seeds, depth, mode)
         pruned = P.prune(nodes, self.parsed, self.token_expr)
-        per_file = P.bench_files(nodes, pruned, P.raw_tokens(self.files, self.token_expr))
+        per_file = P.bench_files(nodes, pruned, self.parsed.select("path", "raw_bytes", "raw_tokens"))
         return P.bench(per_file, seeds, depth), per_file
 
     def sweep(self, depth: int = 3, mode: str = "bfs") -> DataFrame:

@@ -216,10 +216,10 @@ def content_sql(dialect: str = "spark") -> str:
 def corpus_from_documents(documents: DataFrame) -> DataFrame:
     """``files(path, language, text)`` — one module per document."""
     docs = documents.select("doc_id", "lang", "text")
-    n_docs = documents.agg(F.count(F.lit(1))).scalar()   # one scalar subquery
-    # the template reads n_docs many times: keep it one column per row (a
-    # non-deterministic guard is never inlined by the optimizer)
-    n_docs = F.when(F.rand(0) >= 0, n_docs)
+    # one distributed count; only the number reaches the driver.  As a
+    # literal it folds into the template and lets filters on path/language
+    # be pushed below the (expensive) text projection.
+    n_docs = F.lit(documents.count()).cast("bigint")
     return (docs.select("doc_id", "lang", "text", n_docs.alias("n_docs"))
             .select(F.expr(path_sql()).alias("path"), F.expr(content_sql("spark")).alias("text"))
             .select("path", language_of(F.col("path")).alias("language"), "text"))
