@@ -33,7 +33,7 @@ class CorpusIndex:
         self.files = files
         self.token_expr = token_expr
         # raw size and tokens ride along with the parse, so the text is read once
-        measured = files.select("*", F.octet_length("text").alias("raw_bytes"),
+        measured = files.select("path", "language", "text", F.octet_length("text").alias("raw_bytes"),
                                 token_expr(F.col("text")).alias("raw_tokens"))
         parsed = parse_files(measured)
         if materialize:
