@@ -74,8 +74,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df):
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder
-    (files, so the result survives executor loss; never a local checkpoint)."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df, name: str = "table"):
+    """Cut lineage by writing the DataFrame as a parquet table below the
+    shared checkpoint folder and reading it back.  One pass computes and
+    writes it (an RDD checkpoint of an unpersisted plan would compute it
+    twice); the files survive executor loss; the read-back is columnar, so
+    later readers prune columns.  Never a local checkpoint."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, f"mat-{name}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

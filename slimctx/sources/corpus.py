@@ -216,6 +216,13 @@ def content_sql(dialect: str = "spark") -> str:
 def corpus_from_documents(documents: DataFrame) -> DataFrame:
     """``files(path, language, text)`` — one module per document."""
     docs = documents.select("doc_id", "lang", "text")
+    # Parsing is CPU-heavy per byte.  A big table scans into many splits
+    # already; a small one (few files / row groups) may land in one task, so
+    # spread it over the cluster's cores — a cheap shuffle exactly when the
+    # input is small, none at scale.
+    par = documents.sparkSession.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < par:
+        docs = docs.repartition(par, "doc_id")
     # one distributed count; only the number reaches the driver.  As a
     # literal it folds into the template and lets filters on path/language
     # be pushed below the (expensive) text projection.
