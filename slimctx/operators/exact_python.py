@@ -1,0 +1,62 @@
+"""Exact Python mode (D1): top-level symbols from the standard ``ast``
+module, one ``mapInPandas`` call per Arrow batch, as a yardstick for the
+line rules of ``extract.py`` (which stay the default: JVM-side, no Python
+in the plan).  A file that does not parse yields no rows.
+"""
+
+from __future__ import annotations
+
+import ast
+from typing import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SCHEMA = "path string, name string, kind string, start_line int, end_line int"
+
+
+def _symbols(text: str):
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError):
+        return
+    for node in tree.body:
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            kind = "class" if isinstance(node, ast.ClassDef) else "function"
+            start = min([node.lineno] + [d.lineno for d in node.decorator_list])
+            yield node.name, kind, start - 1, node.end_lineno - 1
+        elif isinstance(node, ast.Assign) and isinstance(node.targets[0], ast.Name):
+            yield node.targets[0].id, "variable", node.lineno - 1, node.end_lineno - 1
+        elif isinstance(node, ast.AnnAssign) and isinstance(node.target, ast.Name) and node.value is not None:
+            yield node.target.id, "variable", node.lineno - 1, node.end_lineno - 1
+
+
+def _batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in it:
+        rows = [(p, *s) for p, t in zip(pdf["path"], pdf["text"]) for s in _symbols(t or "")]
+        yield pd.DataFrame(rows, columns=["path", "name", "kind", "start_line", "end_line"])
+
+
+def exact_python_symbols(files: DataFrame) -> DataFrame:
+    """(path, name, kind, start_line, end_line) for every Python file."""
+    py = files.where(F.col("language") == "python").select("path", "text")
+    return py.mapInPandas(_batches, SCHEMA)
+
+
+def agreement(rule_symbols: DataFrame, exact: DataFrame) -> DataFrame:
+    """How many top-level Python symbols the line rules find exactly as the
+    parser does (same name, kind and start line; end line reported apart)."""
+    key = ["path", "name", "kind", "start_line"]
+    r = rule_symbols.select(*key, F.col("end_line").alias("rule_end"))
+    e = exact.select(*key, F.col("end_line").alias("exact_end"))
+    j = r.join(e, key, "full_outer")
+    return j.agg(
+        F.count("exact_end").alias("parser_symbols"),
+        F.count("rule_end").alias("rule_symbols"),
+        F.count(F.when(F.col("rule_end").isNotNull() & F.col("exact_end").isNotNull(), 1)).alias("both"),
+        F.count(F.when(F.col("rule_end") == F.col("exact_end"), 1)).alias("same_end_line"),
+    ).select("*",
+             # recall: parser symbols the rules find; precision: rule symbols the parser confirms
+             F.round(F.col("both") / F.greatest(F.col("parser_symbols"), F.lit(1)) * 100, 2).alias("agreement_pct"),
+             F.round(F.col("both") / F.greatest(F.col("rule_symbols"), F.lit(1)) * 100, 2).alias("precision_pct"))

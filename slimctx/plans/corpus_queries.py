@@ -286,6 +286,15 @@ def q_log_append_roundtrip(spark, sf_dir):
                        "pruned_tokens", "tokens_saved", "reduction_pct", "files_traversed")
 
 
+def q_python_parser_agreement(spark, sf_dir):
+    """Line rules vs the standard Python parser over every Python file
+    (non-SQL: the parser runs per Arrow batch; rows-only check)."""
+    from slimctx.operators.exact_python import agreement, exact_python_symbols
+    files = load_corpus(spark, sf_dir)
+    rules = symbols_table(parse_files(files)).where(F.col("language") == "python")
+    return agreement(rules, exact_python_symbols(files))
+
+
 CORPUS_QUERIES = {
     "corpus_language_counts": q_corpus_language_counts,
     "symbols_py": q_symbols_py,
@@ -317,6 +326,7 @@ CORPUS_QUERIES = {
     "invalid_utf8": q_invalid_utf8,
     "unparseable_skipped": q_unparseable_skipped,
     "log_append_roundtrip": q_log_append_roundtrip,
+    "python_parser_agreement": q_python_parser_agreement,
 }
 
 __all__ = ["CORPUS_QUERIES", "LOG_COLUMNS"]

@@ -1,0 +1,37 @@
+from slimctx.operators.exact_python import agreement, exact_python_symbols
+from slimctx.operators.extract import parse_files, symbols_table
+from conftest import make_files
+from fixtures import DECORATED, PY_APP
+
+TRAP = {
+    "t/doc.py": '''DOC = """
+def not_a_function():
+    pass
+"""
+
+
+def real(a,
+         b):
+    return a
+''',
+}
+
+
+def _agree(spark, files):
+    f = make_files(spark, files)
+    return agreement(symbols_table(parse_files(f)), exact_python_symbols(f)).first()
+
+
+def test_agrees_on_formatted_code(spark):
+    a = _agree(spark, {**PY_APP, **DECORATED})
+    assert a.parser_symbols == a.rule_symbols == a.both == a.same_end_line
+    assert a.agreement_pct == a.precision_pct == 100.0
+
+
+def test_column0_text_in_string_is_the_known_gap(spark):
+    a = _agree(spark, TRAP)
+    assert a.parser_symbols == 2                      # DOC, real
+    assert a.rule_symbols == 3                        # also the fake def inside the string
+    assert a.both == 2 and a.agreement_pct == 100.0   # both real symbols start where the parser says
+    assert a.same_end_line == 1                       # but DOC's span is cut at the fake def
+    assert a.precision_pct == 66.67

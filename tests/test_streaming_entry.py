@@ -27,4 +27,4 @@ def test_entry_contract(spark):
     assert df.columns[0] == "entry"
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
-    assert set(qs) - set(sql) == {"render_json"}
+    assert set(qs) - set(sql) == {"render_json", "python_parser_agreement"}
