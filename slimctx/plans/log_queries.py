@@ -69,7 +69,7 @@ def _streamed(spark, sf_dir, series):
     for wave in (first, ~first):
         (log_from_events(events.where(wave))
          .write.mode("append").option("maxRecordsPerFile", 2500).json(log_dir))
-        result = catch_up(spark, log_dir, work, series, max_files_per_trigger=2)
+        result = catch_up(spark, log_dir, work, series, max_files_per_trigger=8)
     return result
 
 
