@@ -52,7 +52,8 @@ def symbol_edges(parsed: DataFrame, resolved: DataFrame) -> tuple[DataFrame, Dat
 
 def _cut(df: DataFrame, level: int, max_depth: int) -> DataFrame:
     """Every level is read again by the next level, the visited set and the
-    final union: cut lineage once per level with a reliable checkpoint so
+    final union: cut lineage once per level with a table written in the
+    shared checkpoint folder, so
     no level is recomputed (and a lost executor only costs one level)."""
     return materialize(df)
 

@@ -37,7 +37,7 @@ class CorpusIndex:
                                 token_expr(F.col("text")).alias("raw_tokens"))
         parsed = parse_files(measured)
         if materialize:
-            # reliable checkpoint in the shared folder: cuts lineage and
+            # written table in the shared checkpoint folder: cuts lineage and
             # survives executor loss (never a local checkpoint)
             parsed = _materialize(parsed)
         self.parsed = parsed
