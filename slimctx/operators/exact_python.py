@@ -7,6 +7,7 @@ in the plan).  A file that does not parse yields no rows.
 from __future__ import annotations
 
 import ast
+import sys
 from typing import Iterator
 
 import pandas as pd
@@ -40,6 +41,10 @@ def _batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def exact_python_symbols(files: DataFrame) -> DataFrame:
     """(path, name, kind, start_line, end_line) for every Python file."""
+    # ship this module's functions by value: executors need not have the
+    # library installed
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     py = files.where(F.col("language") == "python").select("path", "text")
     return py.mapInPandas(_batches, SCHEMA)
 
