@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slimctx.functions.text import TokenExpr, heuristic_tokens, strip_ws
+from slimctx.operators.skew import split_hot_join
 
 
 def default_request(parsed: DataFrame) -> DataFrame:
@@ -81,7 +82,7 @@ def prune(nodes: DataFrame, parsed: DataFrame, token_expr: TokenExpr = heuristic
     n = nodes.select("entry", "path", "depth", (F.col("depth") == 0).alias("is_entry"),
                      F.concat_ws(" ", "syms").alias("key"))
     rel = F.col("path") if not root else F.substring(F.col("path"), len(root.rstrip("/")) + 2, 1 << 30)
-    return (n.join(texts, ["path", "is_entry", "key"], "inner")
+    return (split_hot_join(n, texts, ["path", "is_entry", "key"], "path")
             .select("entry", "path", rel.alias("rel_path"), "depth", "is_entry", "symbols", "source",
                     "estimated_tokens"))
 
@@ -112,8 +113,7 @@ def ratio2(num: Column, den: Column) -> Column:
 def bench_files(nodes: DataFrame, pruned: DataFrame, raw: DataFrame) -> DataFrame:
     """Per entry and reachable file: raw vs pruned tokens."""
     p = pruned.select("entry", "path", "estimated_tokens")
-    j = (nodes.select("entry", "path", "depth")
-         .join(raw, "path", "inner")
+    j = (split_hot_join(nodes.select("entry", "path", "depth"), raw, ["path"], "path")
          .join(p, ["entry", "path"], "left"))
     pt = F.coalesce(F.col("estimated_tokens"), F.lit(0)).cast("bigint")
     return j.select("entry", "path", "depth", "raw_bytes", "raw_tokens", pt.alias("pruned_tokens"),
