@@ -15,7 +15,7 @@ from slimctx.operators.extract import imports_table, parse_files, symbols_table
 from slimctx.plans.api import CorpusIndex, render_json, render_text
 from slimctx.sources.corpus import load_corpus
 from slimctx.sources.tables import table
-from slimctx.sources.usage_log import LOG_COLUMNS, append_log, read_log
+from slimctx.sources.usage_log import append_log, read_log
 from slimctx.session import scratch_dir
 
 # Fixed value: the symbol request used by ``requested_or_all`` (comma list
@@ -329,4 +329,3 @@ CORPUS_QUERIES = {
     "python_parser_agreement": q_python_parser_agreement,
 }
 
-__all__ = ["CORPUS_QUERIES", "LOG_COLUMNS"]
