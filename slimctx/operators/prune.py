@@ -135,3 +135,18 @@ def bench(per_file: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
                     saved.alias("tokens_saved"),
                     pct2(saved, F.col("baseline_tokens")).alias("reduction_pct"),
                     ratio2(F.col("baseline_tokens"), F.col("pruned_tokens")).alias("compression_ratio")))
+
+
+def request_totals(bench_rows: DataFrame, request: Column) -> DataFrame:
+    """Several entries benchmarked as one request — totals and the
+    weighted reduction (Σsaved / Σbaseline), only for requests of more than
+    one file with a positive baseline."""
+    g = (bench_rows.groupBy(request.alias("request"))
+         .agg(F.count(F.lit(1)).alias("files"),
+              F.sum("baseline_tokens").cast("bigint").alias("baseline_tokens"),
+              F.sum("pruned_tokens").cast("bigint").alias("pruned_tokens"),
+              F.sum("tokens_saved").cast("bigint").alias("tokens_saved"),
+              F.sum("baseline_files").cast("bigint").alias("files_traversed")))
+    return g.select("*", F.when((F.col("files") > 1) & (F.col("baseline_tokens") > 0),
+                                pct2(F.col("tokens_saved"), F.col("baseline_tokens")))
+                    .alias("weighted_reduction_pct"))

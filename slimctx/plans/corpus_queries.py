@@ -236,6 +236,13 @@ def q_bench_files(spark, sf_dir):
     return f.select("entry", "path", "depth", "raw_bytes", "raw_tokens", "pruned_tokens", "reduction_pct")
 
 
+def q_bench_request_totals(spark, sf_dir):
+    """Every directory's entries benchmarked as one multi-file request."""
+    from slimctx.functions.paths import dirname
+    b, _ = _bench(spark, sf_dir)
+    return P.request_totals(b, dirname(F.col("entry")))
+
+
 def q_sweep_top_savers(spark, sf_dir):
     b, _ = _bench(spark, sf_dir)
     return (b.orderBy(F.col("tokens_saved").desc(), F.col("entry").asc()).limit(10)
@@ -322,6 +329,7 @@ CORPUS_QUERIES = {
     "token_totals": q_token_totals,
     "bench_entry": q_bench_entry,
     "bench_files": q_bench_files,
+    "bench_request_totals": q_bench_request_totals,
     "sweep_top_savers": q_sweep_top_savers,
     "invalid_utf8": q_invalid_utf8,
     "unparseable_skipped": q_unparseable_skipped,

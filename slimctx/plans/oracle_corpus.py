@@ -641,6 +641,13 @@ FROM bench""",
 SELECT entry, path, depth, raw_bytes, raw_tokens, pruned_tokens,
        {pct2('raw_tokens - pruned_tokens', 'raw_tokens')} AS reduction_pct
 FROM bfiles""",
+    "bench_request_totals": FULL_PRUNE + f"""
+SELECT {ex('entry', r'^(.*)/[^/]*$')} AS request, count(*) AS files,
+       CAST(sum(baseline_tokens) AS BIGINT) AS baseline_tokens, CAST(sum(pruned_tokens) AS BIGINT) AS pruned_tokens,
+       CAST(sum(tokens_saved) AS BIGINT) AS tokens_saved, CAST(sum(baseline_files) AS BIGINT) AS files_traversed,
+       CASE WHEN count(*) > 1 AND sum(baseline_tokens) > 0
+            THEN {pct2('sum(tokens_saved)', 'sum(baseline_tokens)')} END AS weighted_reduction_pct
+FROM bench GROUP BY 1""",
     "sweep_top_savers": FULL_PRUNE + f"""
 SELECT entry, baseline_files, baseline_tokens, pruned_tokens, tokens_saved,
        {pct2('tokens_saved', 'baseline_tokens')} AS reduction_pct,
