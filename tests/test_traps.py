@@ -23,3 +23,27 @@ def test_identifiers_match_python_re_on_non_ascii(spark):
     got = [sorted(r.ids) for r in df.select(identifiers(F.col("t")).alias("ids")).collect()]
     want = [sorted(set(re.findall(IDENT_RE, s))) for s in samples]
     assert got == want
+
+
+def test_symbols_from_prompt(spark):
+    from slimctx.functions.text import symbols_from_prompt
+    prompts = ["prune --symbols greet, Config please", "symbols= a,b", "symbols=a,b", "nothing here"]
+    df = spark.createDataFrame([(p,) for p in prompts], "p string")
+    got = [list(r.s) for r in df.select(symbols_from_prompt(F.col("p")).alias("s")).collect()]
+    # the pattern needs whitespace after the marker and swallows trailing words
+    assert got == [["greet", "Config please"], ["a", "b"], [], []]
+
+
+def test_render_json_structure(spark):
+    import json
+
+    from slimctx.plans.api import CorpusIndex, render_json
+    from conftest import make_files
+    from fixtures import PY_APP
+    idx = CorpusIndex(make_files(spark, PY_APP))
+    seeds = idx.seeds(["app/main.py"], "hello")
+    doc = json.loads(render_json(idx.prune(seeds), seeds).first().json)
+    assert list(doc) == ["entry", "requested_symbols", "total_tokens", "files"]
+    assert doc["requested_symbols"] == ["hello"]
+    assert [f["depth"] for f in doc["files"]] == [0, 1] and doc["files"][0]["is_entry"]
+    assert doc["total_tokens"] == sum(f["estimated_tokens"] for f in doc["files"])
