@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slimctx.llm import line_dedup
+from slimctx.llm import decontaminate, line_dedup
 from slimctx.llm.common import table
 
 
@@ -14,9 +14,11 @@ def _op(fn, name):
 
 
 QUERIES = {
+    "op2_decontaminate": decontaminate.op2_query,
     "op8_line_dedup": _op(line_dedup.op8_query, "documents"),
 }
 
 ORACLE_SQL = {
+    "op2_decontaminate": decontaminate.OP2_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
 }
