@@ -58,6 +58,29 @@ def join_unique(big: DataFrame, side: DataFrame, keys: Sequence[str], weight: st
                          .join(tail, keys, "inner")))
 
 
+def arrow_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bound the bytes of the Arrow batches that Python tasks get, so that
+    long texts come a few at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def text_buffers(column) -> tuple:
+    """The UTF-8 bytes and the offsets of an Arrow string column (null: empty),
+    as numpy arrays over the whole batch."""
+    import numpy as np
+    import pyarrow as pa
+
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:
+                                                           column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    first = int(offsets[0]) if len(offsets) else 0
+    last = int(offsets[-1]) if len(offsets) else 0
+    return data[first:last], offsets - first
+
+
 def sized_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     """``df`` marked for broadcast if it has at most ``max_rows`` rows."""
     small = df.count() <= max_rows
