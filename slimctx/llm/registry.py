@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slimctx.llm import decontaminate, language_id, line_dedup
+from slimctx.llm import decontaminate, language_id, line_dedup, warc
 from slimctx.llm.common import table
 
 
@@ -17,9 +17,11 @@ QUERIES = {
     "op2_decontaminate": decontaminate.op2_query,
     "op6_language_id": _op(language_id.op6_query, "documents"),
     "op8_line_dedup": _op(line_dedup.op8_query, "documents"),
+    "op9_warc": _op(warc.op9_query, "pages"),
 }
 
 ORACLE_SQL = {
     "op2_decontaminate": decontaminate.OP2_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
+    "op9_warc": warc.OP9_SQL,
 }
