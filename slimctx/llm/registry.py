@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slimctx.llm import decontaminate, language_id, line_dedup, warc
+from slimctx.llm import chat_format, decontaminate, language_id, line_dedup, warc
 from slimctx.llm.common import table
 
 
@@ -14,6 +14,7 @@ def _op(fn, name):
 
 
 QUERIES = {
+    "op1_chat_format": chat_format.op1_query,
     "op2_decontaminate": decontaminate.op2_query,
     "op6_language_id": _op(language_id.op6_query, "documents"),
     "op8_line_dedup": _op(line_dedup.op8_query, "documents"),
