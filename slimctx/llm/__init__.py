@@ -1 +1,10 @@
-"""Training-data operators: one module per operator, plus ``common``."""
+"""Training-data operators: one module per operator, plus ``common``.
+
+What runs in Python tasks is sent by value, so executors need no copy of this
+package."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

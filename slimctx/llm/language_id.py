@@ -191,9 +191,7 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> Model:
 
 def predict(docs: DataFrame, model: Model, ambiguous: float = AMBIGUOUS) -> DataFrame:
     """``docs`` with (lang_pred, score, ambiguous), from ``text`` alone."""
-    spark = docs.sparkSession
-    arrow_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    arrow_batches(docs.sparkSession)
     # only keys and numbers come back from Python; texts stay out of the result
     keep = [c for c in docs.columns if c != "text"]
     sent = docs.select(F.struct(*keep).alias("row"), "text",
@@ -202,7 +200,7 @@ def predict(docs: DataFrame, model: Model, ambiguous: float = AMBIGUOUS) -> Data
         .add("ambiguous", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = model   # sent with the function; Spark broadcasts what is large
         names = np.array([*m.langs, UNKNOWN], object)
         for batch in batches:
             letter = batch.column("letter").to_numpy(zero_copy_only=False)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slimctx.llm import chat_format, decontaminate, language_id, line_dedup, warc
+from slimctx.llm import chat_format, decontaminate, embedding_dedup, language_id, line_dedup, warc
 from slimctx.llm.common import table
 
 
@@ -19,6 +19,7 @@ QUERIES = {
     "op6_language_id": _op(language_id.op6_query, "documents"),
     "op8_line_dedup": _op(line_dedup.op8_query, "documents"),
     "op9_warc": _op(warc.op9_query, "pages"),
+    "op10_embedding_dedup": _op(embedding_dedup.op10_query, "embeddings"),
 }
 
 ORACLE_SQL = {
