@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slimctx.llm import chat_format, decontaminate, embedding_dedup, language_id, line_dedup, url_filter, warc
+from slimctx.llm import chat_format, decontaminate, embedding_dedup, language_id, line_dedup, substring_dedup, url_filter, warc
 from slimctx.llm.common import table
 
 
@@ -16,6 +16,7 @@ def _op(fn, name):
 QUERIES = {
     "op1_chat_format": chat_format.op1_query,
     "op2_decontaminate": decontaminate.op2_query,
+    "op3_substring_dedup": _op(substring_dedup.op3_query, "documents"),
     "op4_url_filter": _op(url_filter.op4_query, "pages"),
     "op6_language_id": _op(language_id.op6_query, "documents"),
     "op8_line_dedup": _op(line_dedup.op8_query, "documents"),
