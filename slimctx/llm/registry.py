@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slimctx.llm import chat_format, decontaminate, embedding_dedup, language_id, line_dedup, substring_dedup, url_filter, warc
+from slimctx.llm import chat_format, decontaminate, embedding_dedup, jaccard_join, language_id, line_dedup, substring_dedup, url_filter, warc
 from slimctx.llm.common import table
 
 
@@ -19,6 +19,7 @@ QUERIES = {
     "op3_substring_dedup": _op(substring_dedup.op3_query, "documents"),
     "op4_url_filter": _op(url_filter.op4_query, "pages"),
     "op6_language_id": _op(language_id.op6_query, "documents"),
+    "op7_jaccard_join": _op(jaccard_join.op7_query, "documents"),
     "op8_line_dedup": _op(line_dedup.op8_query, "documents"),
     "op9_warc": _op(warc.op9_query, "pages"),
     "op10_embedding_dedup": _op(embedding_dedup.op10_query, "embeddings"),

@@ -31,10 +31,17 @@ def lower_ascii() -> np.ndarray:
     return fold
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    p = np.full(max(n, 1), base, np.uint64)
-    p[0] = 1
-    return np.cumprod(p)
+    """base**0 ... base**(n - 1); kept for the next block of the task."""
+    have = _POWERS.get(base)
+    if have is None or len(have) < n:
+        have = np.full(1 << max(n, 1).bit_length(), base, np.uint64)
+        have[0] = 1
+        _POWERS[base] = have = np.cumprod(have)
+    return have[:n]
 
 
 def inverse(base: int) -> int:
