@@ -8,8 +8,8 @@ the logistic loss of each position weighted by how far apart that position
 holds its two sides; the codeword of least loss wins, and a text is flagged
 ambiguous when the runner-up is close.
 
-Learning reads at most ``per_lang`` labelled documents of each language (those
-of least hash of doc_id); everything is predicted from the whole text alone.
+Learning reads at most ``per_lang`` labelled documents of each language,
+chosen by the hash of their doc_id; everything is predicted from the whole text alone.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or
 if nothing could be learned; a text with letters but no 3-gram gets the first
@@ -28,10 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from slimctx.llm.common import arrow_batches, text_buffers
+from slimctx.llm.common import arrow_batches, sized_broadcast, text_buffers
 from slimctx.session import materialize
 
-PER_LANG = 2000        # labelled documents read for each language
+PER_LANG = 2000        # labelled documents read for each language, at most
+MAX_LANGS = 1000       # for which the counts of languages are broadcast
 AMBIGUOUS = 0.2        # least distance of the two best scores
 SLOTS = 1 << 16        # of hashed 3-grams
 SHARPNESS = 4.0        # of the logistic loss
@@ -172,10 +173,15 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> Model:
     the cluster; languages times SLOTS numbers reach the driver."""
     spark = labelled.sparkSession
     arrow_batches(spark)
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     usable = labelled.filter("doc_id is not null and lang is not null and text is not null")
-    picked = materialize(usable.select("doc_id", "lang")
-                         .withColumn("rank", F.row_number().over(order))
+    # a hash bound leaves about 1.5 per_lang rows of each language before any
+    # of them are ranked, so a frequent language is not sorted in one task
+    counts, _ = sized_broadcast(materialize(
+        usable.groupBy("lang").agg(F.count("*").alias("n")), "lang-counts"), MAX_LANGS)
+    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) * F.col("n") < (1 << 40) * 1.5 * per_lang
+    picked = materialize(usable.select("doc_id", "lang").join(counts, "lang")
+                         .filter(low).withColumn("rank", F.row_number().over(order))
                          .filter(F.col("rank") <= per_lang)
                          .select("doc_id", "lang").distinct(), "lang-sample")
     grams = (usable.select("doc_id", "text", "lang").join(picked, ["doc_id", "lang"])

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from slimctx.llm import chat_format, decontaminate, embedding_dedup, jaccard_join, language_id, line_dedup, substring_dedup, url_filter, warc
+from slimctx.llm import (chat_format, decontaminate, embedding_dedup, jaccard_join, language_id,
+                         line_dedup, sentencepiece_sample, substring_dedup, url_filter, warc)
 from slimctx.llm.common import table
 
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op2_decontaminate": decontaminate.op2_query,
     "op3_substring_dedup": _op(substring_dedup.op3_query, "documents"),
     "op4_url_filter": _op(url_filter.op4_query, "pages"),
+    "op5_sentencepiece": _op(sentencepiece_sample.op5_query, "documents"),
     "op6_language_id": _op(language_id.op6_query, "documents"),
     "op7_jaccard_join": _op(jaccard_join.op7_query, "documents"),
     "op8_line_dedup": _op(line_dedup.op8_query, "documents"),
