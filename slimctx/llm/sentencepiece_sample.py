@@ -209,8 +209,9 @@ def encode_texts(texts: list[str], keys: np.ndarray, vocab: Vocabulary, k: int)
         found, kappa = b.samples(k)
         for s in found:
             ids, cut = b.ids(s)
+            over = s["log_prob"] - kappa     # log(1 - exp(-exp(over))), about over if small
             with np.errstate(over="ignore", divide="ignore"):
-                log_in = np.log(-np.expm1(-np.exp(s["log_prob"] - kappa)))
+                log_in = np.where(over < -30, over, np.log(-np.expm1(-np.exp(over))))
             for d in s["docs"]:
                 out[full[d]].append((ids[cut[d]:cut[d + 1]], float(s["log_prob"][d]),
                                      float(min(log_in[d], 0.0))))
