@@ -240,25 +240,31 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, reach: flo
                        .withColumn("dim", F.size("embedding"))
                        .withColumn("h1", h1).withColumn("h2", h2), "vectors")
     good = rows.filter("ok")
-    classes = materialize(good.groupBy(*key).agg(F.min("vec_id").alias("cid"),
+    classes = materialize(good.groupBy(*key).agg(F.min("vec_id").alias("first_id"),
                                                  F.count("*").alias("copies"),
-                                                 F.first("embedding").alias("embedding")),
-                          "classes")
+                                                 F.first("embedding").alias("embedding"))
+                          .withColumn("cid", F.xxhash64(*key)), "classes")
     found = materialize(link_classes(classes.select("cid", "label", "dim", "embedding", "copies"),
                                      threshold, reach, sample), "links")
-    # one vec_id with several vectors is one node: link its classes
+    # the classes of one vec_id with several vectors are linked
     several = (good.groupBy("vec_id").agg(F.count("*").alias("n")).filter("n > 1")
                .select("vec_id"))
-    edges = found.select(F.col("cid").alias("a"), F.col("root").alias("b"))
-    same = (join_unique(good.join(several, "vec_id").select("vec_id", *key),
-                        classes.select(*key, "cid", "copies"), key, "copies", good.count())
-            .select(F.col("cid").alias("a"), F.col("vec_id").alias("b")))
-    roots = components(edges.unionByName(same))
+    owned = (good.join(several, "vec_id")
+             .select("vec_id", F.xxhash64(*key).alias("cid")))
+    same = (owned.join(owned.groupBy("vec_id").agg(F.min("cid").alias("b")), "vec_id")
+            .select(F.col("cid").alias("a"), "b"))
+    roots = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b"))
+                       .unionByName(same))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    known = (classes.select(*key, "cid", "copies").join(links, "cid", "left")
-             .join(roots, F.col("cid") == F.col("node"), "left")
-             .select(*key, "copies", F.coalesce("links", F.lit(0)).alias("links"),
-                     F.coalesce("root", "cid").alias("component_id")))
+    placed = materialize(
+        classes.select(*key, "cid", "first_id", "copies").join(links, "cid", "left")
+        .join(roots, F.col("cid") == F.col("node"), "left")
+        .select(*key, "copies", "first_id", F.coalesce("links", F.lit(0)).alias("links"),
+                F.coalesce("root", "cid").alias("root")), "classes-placed")
+    least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"),
+                                       F.count("*").alias("w"))
+    known = join_unique(placed, least, ["root"], "w", placed.count()).select(
+        *key, "copies", "links", "component_id")
     linked = (join_unique(good.select("vec_id", *key), known, key, "copies", good.count())
               .select("vec_id", (F.col("copies") - 1 + F.col("links")).cast("long")
                       .alias("n_links"), F.col("component_id").cast("long")
