@@ -20,7 +20,8 @@ Two documents link when 100 * intersection >= ``percent`` * union.
    nodes when their sizes, their components or their largest possible overlap
    exclude a new link; what is left of single sets is verified.
 
-Verification compares 40-bit shingle hashes of the whole sets.  Shingles with
+Pairs are verified on wide bitmaps (a bound) and then on the 40-bit shingle
+hashes of the whole sets, so few whole sets are shuffled.  Shingles with
 very many classes are cut into blocks, every pair of blocks is a unit of its
 own, so no task holds an unbounded group.
 
@@ -361,11 +362,43 @@ def _unpack(blob: bytes) -> np.ndarray:
     return raw.reshape(-1).view(">u8").astype(np.uint64)
 
 
+def _wide(s: np.ndarray) -> bytes:
+    """A bitmap of the set, the power of two from 4n bits on as its width."""
+    width = max(BITS, 1 << (4 * len(s) - 1).bit_length()) if len(s) else BITS
+    bits = np.zeros(width, bool)
+    bits[(s >> np.uint64(32)) % np.uint64(width)] = True
+    return np.packbits(bits).tobytes()
+
+
+def _apart(x: bytes, y: bytes) -> tuple[int, int]:
+    """The least number of shingles of x that are not in y, and of y not in
+    x; the wider bitmap is folded to the width of the other."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    fx = np.bitwise_or.reduce(x.reshape(-1, min(len(x), len(y))), axis=0)
+    fy = np.bitwise_or.reduce(y.reshape(-1, min(len(x), len(y))), axis=0)
+    return int(_popcount(fx & ~fy)), int(_popcount(fy & ~fx))
+
+
+def _close(percent: int):
+    """Pairs whose wide bitmaps leave room for a link."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            keep = []
+            for na, nb, x, y in zip(*[t.column(c).to_pylist() for c in ("an", "bn", "aw", "bw")]):
+                dx, dy = _apart(x, y)
+                keep.append((100 + percent) * min(na - dx, nb - dy) >= percent * (na + nb))
+            yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return run
+
+
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        sets = list(_sets(batch))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("rid"), pa.array([_pack(s) for s in _sets(batch)], pa.binary())],
-            names=["rid", "whole"])
+            [batch.column("rid"), pa.array([len(s) for s in sets], pa.int64()),
+             pa.array([_wide(s) for s in sets], pa.binary()),
+             pa.array([_pack(s) for s in sets], pa.binary())],
+            names=["rid", "n", "wide", "whole"])
 
 
 def _linked(percent: int):
@@ -389,10 +422,14 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int)
     left = materialize(wide.mapInArrow(_prune(percent), "a long, b long"), "open-pairs")
     ids = materialize(left.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "open-ids")
     ids, _ = sized_broadcast(ids, MAX_BROADCAST)
-    sets = materialize(docs.join(ids, "rid", "left_semi").dropDuplicates(["rid"])
-                       .select("rid", "text").mapInArrow(_whole_sets, "rid long, whole binary"),
+    sets = materialize(docs.join(ids, "rid", "left_semi").select("rid", "text")
+                       .mapInArrow(_whole_sets, "rid long, n long, wide binary, whole binary"),
                        "whole-sets")
-    full = (left.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    wide, whole = sets.select("rid", "n", "wide"), sets.select("rid", "whole")
+    near = (left.join(wide.toDF("a", "an", "aw"), "a").join(wide.toDF("b", "bn", "bw"), "b")
+            .select("a", "b", "an", "bn", "aw", "bw").mapInArrow(_close(percent), "a long, b long"))
+    near = materialize(near, "close-pairs")
+    full = (near.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b")
             .select("a", "b", "x", "y"))
     return materialize(full.mapInArrow(_linked(percent), "a long, b long"), "links")
 
