@@ -18,7 +18,7 @@ gives an empty table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slimctx.llm import (decontaminate, jaccard_join, language_id, line_dedup,
@@ -30,31 +30,36 @@ from slimctx.session import apply_defaults, materialize
 MAX_BROADCAST = 2_000_000
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose (doc_id, text hash) is in ``gone``,
-    which is broadcast while it is small: then no text is shuffled."""
-    gone, _ = sized_broadcast(materialize(gone.toDF("_id", "_gh"), "gone"), MAX_BROADCAST)
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    return keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id"))
-                      & (F.col("_h") == F.col("_gh")), "left_anti").drop("_h")
+def _packed(docs: DataFrame) -> DataFrame:
+    """(all, doc_id, text): whole rows beside what the operators read, so that
+    no column of the documents can clash with one of theirs."""
+    return docs.select(F.struct(*docs.columns).alias("all"),
+                       F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def _without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
+    """``docs`` without the rows whose ``key`` is in the one column of
+    ``gone``, which is broadcast while it is small: then no text is shuffled."""
+    gone, _ = sized_broadcast(materialize(gone.toDF("gone"), "gone"), MAX_BROADCAST)
+    return (_packed(docs).withColumn("key", key)
+            .join(gone, F.col("key") == F.col("gone"), "left_anti").select("all.*"))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     apply_defaults(spark)
-    model = language_id.fit(docs.select("doc_id", "text", "lang")
-                            .filter(~language_id.held_out(F.col("doc_id"))))
-    told = language_id.predict(docs.withColumn("_text", F.col("text")), model)
-    return (told.filter(F.col("lang_pred") != language_id.UNKNOWN)
-            .withColumnRenamed("_text", "text").select(*docs.columns))
+    model = language_id.fit(docs.select("doc_id", "text", "lang"))
+    told = language_id.predict(_packed(docs).select("all", "text"), model)
+    return told.filter(F.col("lang_pred") != language_id.UNKNOWN).select("all.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     apply_defaults(spark)
-    cut = line_dedup.line_dedup(docs)
+    cut = line_dedup.line_dedup(_packed(docs))
     gone = F.col("n_dropped") > 0
-    return cut.withColumns({"text": F.when(gone, F.col("kept")).otherwise(F.col("text")),
-                            "n_chars": F.when(gone, F.length("kept").cast("long"))
-                            .otherwise(F.col("n_chars"))}).select(*docs.columns)
+    changed = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return cut.select(*[
+        F.when(gone, changed[c]).otherwise(F.col("all")[c]).alias(c) if c in changed
+        else F.col("all")[c].alias(c) for c in docs.columns])
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,16 +68,15 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = (rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
              .groupBy("doc_id").agg(F.min("rid").alias("rid")))
     gone = rows.join(first.select("rid"), "rid", "left_anti").select("rid")
-    gone, _ = sized_broadcast(materialize(gone, "gone"), MAX_BROADCAST)
-    keyed = docs.withColumn("_rid", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    return (keyed.join(gone.toDF("_rid"), "_rid", "left_anti").drop("_rid").select(*docs.columns))
+    return _without(docs, gone, F.xxhash64("doc_id", "text"))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     apply_defaults(spark)
     report, _ = decontaminate.decontaminate(
         docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    return _without(docs, report.filter("contaminated").select("doc_id", "text_h"))
+    gone = report.filter("contaminated").select(F.xxhash64("doc_id", "text_h"))
+    return _without(docs, gone, F.xxhash64("doc_id", F.xxhash64("text")))
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -94,17 +94,18 @@ class Batch:
         """Bounds of what each step of a sample leaves out."""
         lat, doc = self.lattice, self.part_doc[s["part"]]
         lq = lat.lq[s["edge"]]
-        upto = np.cumsum(lq)
-        before = upto - lq
         cut = s["cut"] = _cuts(doc, self.n)
-        zero = before[np.minimum(cut[:-1], len(lq) - 1)]
-        s["before"] = before - zero[doc]
+        s["before"], s["log_prob"] = np.empty(len(lq)), np.zeros(self.n)
+        for d, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+            if a < b:      # each text summed alone: no rounding from its neighbours
+                upto = np.cumsum(lq[a:b])
+                s["before"][a:b] = upto - lq[a:b]
+                s["log_prob"][d] = upto[-1]
         mean = s["before"] + lat.other[s["edge"]]
         step = np.arange(len(doc)) - cut[doc]
         mean[step < s["from"][doc]] = -np.inf         # split off by an earlier sample
         pos = self.base[s["part"]] + lat.start[s["edge"]]
         s["g"] = truncated(mean, s["bound"][doc], uniform(self.keys[doc], rank, pos, BOUND))
-        s["log_prob"] = np.where(cut[1:] > cut[:-1], upto[cut[1:] - 1] - zero, 0.0)
 
     def samples(self, k: int) -> tuple[list[dict], np.ndarray]:
         """Up to k samples and, per text, the (k+1)-th perturbed value.

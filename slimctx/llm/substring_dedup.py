@@ -129,12 +129,13 @@ def repeats(docs: DataFrame, radius: int = RADIUS, min_chars: int = MIN_CHARS) -
 
 
 def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with text cut to what stays and ``kept`` added: the original
-    offsets [start, stop) of the pieces, in order."""
+    """``docs`` with text cut to what stays and ``kept`` (added, or in place of
+    a column of that name): the original offsets [start, stop) of the pieces,
+    in order."""
     gone = (spans.groupBy("doc_id", "text_h")
             .agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("gone")))
-    d = docs.withColumn("text_h", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)))
-    joined = d.join(gone, ["doc_id", "text_h"], "left")
+    d = docs.select(F.struct(*docs.columns).alias("all"), "doc_id", "text",
+                    F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).alias("text_h"))
     n = F.coalesce(F.length("text"), F.lit(0)).cast("long")
     starts = F.concat(F.array(F.lit(0).cast("long")), F.col("gone.stop"))
     stops = F.concat(F.col("gone.start"), F.array(n))
@@ -143,12 +144,13 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
                       lambda p: p["stop"] > p["start"])
     whole = F.filter(F.array(F.struct(F.lit(0).cast("long").alias("start"), n.alias("stop"))),
                      lambda p: p["stop"] > 0)
-    kept = F.when(F.col("gone").isNull(), whole).otherwise(pieces)
-    out = joined.withColumn("kept", kept)
+    out = (d.join(gone, ["doc_id", "text_h"], "left")
+           .withColumn("kept", F.when(F.col("gone").isNull(), whole).otherwise(pieces)))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(
         "kept", lambda p: F.substr(F.col("text"), (p["start"] + 1).cast("int"),
                                    (p["stop"] - p["start"]).cast("int"))), ""))
-    return out.withColumn("text", text).select(*docs.columns, "kept")
+    return out.select(*[text.alias(c) if c == "text" else F.col("all")[c].alias(c)
+                        for c in docs.columns if c != "kept"], "kept")
 
 
 def op3_query(docs: DataFrame) -> DataFrame:

@@ -92,7 +92,8 @@ def url_filter(captures: DataFrame, changes: DataFrame, bucket: int = BUCKET,
                 & (F.coalesce(F.col("valid_to"), F.lit((last + 1) * bucket)) > first * bucket))
         .withColumn("bucket", F.explode(cut)), "intervals")
     pieces, _ = sized_broadcast(pieces, max_broadcast)
-    wanted = (captures.select(*CAPTURE, F.posexplode_outer(url_patterns(F.col("url")))
+    wanted = (captures.select(*CAPTURE).distinct()
+              .select(*CAPTURE, F.posexplode_outer(url_patterns(F.col("url")))
                               .alias("nth", "pattern"))
               .withColumn("bucket", F.floor(F.col("fetched") / bucket)))
     c, e = wanted.alias("c"), pieces.alias("e")
