@@ -21,7 +21,8 @@ Two documents link when 100 * intersection >= ``percent`` * union.
    exclude a new link; what is left of single sets is verified.
 
 Pairs are verified on wide bitmaps (a bound) and then on the 40-bit shingle
-hashes of the whole sets, so few whole sets are shuffled.  Shingles with
+hashes of the whole sets: first the closest pair of every class, then every
+pair that is still between two components, so few whole sets are shuffled.  Shingles with
 very many classes are cut into blocks, every pair of blocks is a unit of its
 own, so no task holds an unbounded group.
 
@@ -380,14 +381,19 @@ def _apart(x: bytes, y: bytes) -> tuple[int, int]:
 
 
 def _close(percent: int):
-    """Pairs whose wide bitmaps leave room for a link."""
+    """Pairs whose wide bitmaps leave room for a link, with the largest
+    possible overlap as a share of both sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            keep = []
+            keep, share = [], []
             for na, nb, x, y in zip(*[t.column(c).to_pylist() for c in ("an", "bn", "aw", "bw")]):
                 dx, dy = _apart(x, y)
-                keep.append((100 + percent) * min(na - dx, nb - dy) >= percent * (na + nb))
-            yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                most = min(na - dx, nb - dy)
+                keep.append((100 + percent) * most >= percent * (na + nb))
+                share.append(most / (na + nb))
+            yield pa.RecordBatch.from_arrays(
+                [t.column("a"), t.column("b"), pa.array(share, pa.float64())],
+                names=["a", "b", "share"]).filter(pa.array(keep, pa.bool_()))
     return run
 
 
@@ -414,8 +420,10 @@ def _linked(percent: int):
     return run
 
 
-def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link, by their whole sets."""
+def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int,
+           known: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of classes that link, by their whole sets: with ``known``
+    they connect what all linking pairs among ``pairs`` connect."""
     bits = classes.select("rid", "n", "bits")
     wide = (pairs.join(bits.toDF("a", "an", "abits"), "a").join(bits.toDF("b", "bn", "bbits"), "b")
             .select("a", "b", "an", "bn", "abits", "bbits"))
@@ -426,12 +434,31 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int)
                        .mapInArrow(_whole_sets, "rid long, n long, wide binary, whole binary"),
                        "whole-sets")
     wide, whole = sets.select("rid", "n", "wide"), sets.select("rid", "whole")
-    near = (left.join(wide.toDF("a", "an", "aw"), "a").join(wide.toDF("b", "bn", "bw"), "b")
-            .select("a", "b", "an", "bn", "aw", "bw").mapInArrow(_close(percent), "a long, b long"))
-    near = materialize(near, "close-pairs")
-    full = (near.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b")
-            .select("a", "b", "x", "y"))
-    return materialize(full.mapInArrow(_linked(percent), "a long, b long"), "links")
+    near = materialize(
+        left.join(wide.toDF("a", "an", "aw"), "a").join(wide.toDF("b", "bn", "bw"), "b")
+        .select("a", "b", "an", "bn", "aw", "bw")
+        .mapInArrow(_close(percent), "a long, b long, share double"), "close-pairs")
+
+    def check(some: DataFrame) -> DataFrame:
+        full = (some.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b")
+                .select("a", "b", "x", "y"))
+        return materialize(full.mapInArrow(_linked(percent), "a long, b long"), "links")
+
+    # first the closest pair of every class; then what still connects
+    # different components, so groups of near copies cost few whole sets
+    ends = near.select(F.col("a").alias("id"), "share", F.col("b").alias("to")).unionByName(
+        near.select(F.col("b").alias("id"), "share", F.col("a").alias("to")))
+    best = materialize(ends.groupBy("id").agg(F.max(F.struct("share", "to")).alias("m"))
+                       .select(F.least("id", "m.to").alias("a"), F.greatest("id", "m.to").alias("b"))
+                       .distinct(), "best-pairs")
+    links = check(best)
+    roots = components(links if known is None else links.unionByName(known))
+    rest = near.select("a", "b").join(best, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        rest = rest.join(roots.toDF(end, f"root_{end}"), end, "left").withColumn(
+            f"root_{end}", F.coalesce(f"root_{end}", end))
+    rest = materialize(rest.filter("root_a <> root_b").select("a", "b"), "rest-pairs")
+    return links.unionByName(check(rest))
 
 
 def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -476,7 +503,7 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
              .repartition("token", "b1", "b2").sortWithinPartitions("token", "b1", "b2", "n"))
     more = (units.mapInArrow(_tree_join(percent), "a long, b long").distinct()
             .join(first, ["a", "b"], "left_anti"))
-    links = links.unionByName(verify(materialize(more, "tree-pairs"), docs, classes, percent))
+    links = links.unionByName(verify(materialize(more, "tree-pairs"), docs, classes, percent, links))
 
     roots = components(links)
     known = classes.select("d1", "d2", "n", "rid", "copies").join(
