@@ -1,17 +1,24 @@
 """Per-file extraction of symbols and imports.
 
-Line-oriented rules instead of a grammar: a top-level statement starts at a
-line that begins in column 0 (not blank, not a closing bracket).  Runs of
-decorator lines are glued to the statement that follows; a statement spans
-up to the next column-0 line.  All of it runs inside one row per file with
-higher-order array functions, so extraction is a narrow, shuffle-free
-projection and the file text is never exploded into many rows; only the
-slim result arrays are exploded afterwards.
+The text of a file is cut into lexemes by one regular expression; strings and
+comments are masked character by character, so the masked text has the same
+length and the same lines.  A top-level statement starts at a line that
+begins in column 0 (masked: not blank, not a closing bracket, not inside a
+string or comment) while no bracket is open, which a running state over the
+lines tells.  Decorators belong to the statement that follows.  Headers and
+bodies are found on the masked statement, with brackets matched, and cut out
+of the original text at the same positions.
+
+All of it runs inside one row per file with higher-order array functions, so
+extraction is a narrow, shuffle-free projection and the file text is never
+exploded into many rows; only the slim result arrays are exploded afterwards.
+Every intermediate value is bound by ``let``, so it is computed once and the
+work is linear in the size of the file.
 
 Columns of ``parse_files``' result:
   path, language,
-  symbols ARRAY<STRUCT<ord, name, kind, start_line, decl_line, end_line,
-                       is_exported, has_body, text, sig, used>>,
+  symbols ARRAY<STRUCT<name, kind, start_line, decl_line, end_line,
+                       is_exported, has_body, text, sig, used, ord>>,
   imports ARRAY<STRUCT<line, local_name, export_name, specifier, stmt>>
 
 ``text`` is the symbol's source (entry form), ``sig`` its signature form
@@ -23,96 +30,140 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slimctx.functions.bind import let, record
 from slimctx.functions.text import IDENT_RE, rstrip_ws, split_names
 
-# Line rules.
-TOP_LEVEL_RE = r"^[^\s)\]}]"
-PY_COMMENT_RE = r"^#"
-JS_COMMENT_RE = r"^(//|/\*)"
 NAME = r"[A-Za-z_$][\w$]*"
+STRING, COMMENT, BLOCK = "\x01", "\x02", "\x03"     # in masked text
+
+# Possessive quantifiers throughout: linear, and no recursion on long texts.
+_DQ = r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"?'
+_SQ = r"'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'?"
+_TEMPLATE = r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`?"
+_REGEX = (r"(?<=[=(,:\[!&|?{};]|[=(,:\[!&|?{};]\s|return\s)/(?![/*])[^/\\\n\[]*+"
+          r"(?:(?:\\.|\[[^\]\\\n]*+(?:\\.[^\]\\\n]*+)*+\])[^/\\\n\[]*+)*+/")
+PY_LEX = "|".join([r'"""[\s\S]*?(?:"""|\z)', r"'''[\s\S]*?(?:'''|\z)", _DQ, _SQ, r"#[^\n]*+",
+                   r"""[^"'#]++"""])
+_JS_OPAQUE = [r"/\*[\s\S]*?(?:\*/|\z)", r"//[^\n]*+", _TEMPLATE, _DQ, _SQ, _REGEX]
+JS_LEX = "|".join([*_JS_OPAQUE, r"""[^"'`/]++""", "/"])
+
+
+def _nested(open_: str, close: str, other: str, depth: int = 6) -> str:
+    """A bracketed group with up to ``depth`` levels inside."""
+    inner = rf"{open_}{other}*+{close}"
+    for _ in range(depth):
+        inner = rf"{open_}(?:{other}|{inner})*+{close}"
+    return inner
+
+
+PAREN = _nested(r"\(", r"\)", r"[^()]")
+# in unmasked class bodies, with strings as a whole
+_RAW_PAREN = _nested(r"\(", r"\)", rf"""(?:[^()"'`]|{_DQ}|{_SQ}|{_TEMPLATE})""", 4)
+CLASS_LEX = "|".join([*_JS_OPAQUE, _RAW_PAREN, r"""[^"'`/(]++""", r"[/(]"])
+
+_GENERIC = r"(?:<[^()]*>\s*)?"
+_RETURNS = r"(?::\s*(?:\{[^{}]*+\}(?:\[\])?|(?:[^{};]|\{[^{}]*\}(?=\s*[>|&,\[\]]))+?))?"
+_VAR = rf"^(?:const|let|var)\s+{NAME}\s*(?::(?:[^=]|=>)*?)?=(?!>)\s*"
+JS_FUNCTION = (rf"^(?:default\s+)?(?:async\s+)?function\b\s*\*?\s*(?:{NAME})?\s*{_GENERIC}{PAREN}"
+               rf"\s*{_RETURNS}\s*\{{")
+JS_ARROW = (rf"{_VAR}(?:async\s+)?(?:{_GENERIC}{PAREN}\s*(?::(?:[^={{}};]|\{{[^{{}}]*\}})*)?|{NAME}\s*)"
+            r"\s*=>")
+JS_FUNCTION_VALUE = rf"{_VAR}(?:async\s+)?function\b\s*\*?\s*(?:{NAME})?\s*{_GENERIC}{PAREN}\s*{_RETURNS}\s*\{{"
+JS_CLASS = r"^(?:default\s+)?(?:abstract\s+)?class\b[^{]*\{"
+PY_HEADER = (rf"^(?:(?:async\s+)?def\s+\w+\s*(?:\[[^\]]*\]\s*)?{PAREN}\s*(?:->[^:]*)?"
+             rf"|class\s+\w+\s*(?:\[[^\]]*\]\s*)?(?:{PAREN})?\s*):")
+# Words that can stand before a colon without naming a variable.
+PY_WORDS = ("else", "try", "finally", "except", "lambda", "if", "elif", "while", "for", "with",
+            "return", "match", "case")
 
 
 def _ws_collapse(c: Column) -> Column:
     return F.regexp_replace(c, r"\s+", " ")
 
 
-def _pin(c: Column) -> Column:
-    """Keep a column computed once per row.  Lambdas that read an outer
-    column (``lines``, ``starts``, ``locals``) count as a single use, so the
-    optimizer would otherwise inline the column's whole definition into the
-    lambda and re-evaluate it for every array element (quadratic in the
-    file).  A non-deterministic guard is never inlined; ``rand() >= 0`` is
-    always true."""
-    return F.when(F.rand(0) >= 0, c)
+def _len(c: Column) -> Column:
+    return F.length(c)
 
 
-def _indent(l: Column) -> Column:
-    return F.length(F.regexp_extract(l, r"^[ \t]*", 0))
+def _from(c: Column, start: Column) -> Column:
+    """The text after ``start`` characters."""
+    return F.substring(c, start + 1, F.lit(1 << 30))
 
 
-# ------------------------------------------------------------------ units
-
-PASS_THROUGH = ("raw_bytes", "raw_tokens")
-
-
-def _extra(df: DataFrame) -> list[str]:
-    """Per-file measures computed before parsing and carried along."""
-    return [c for c in PASS_THROUGH if c in df.columns]
-
+def _first(c: Column, n: Column) -> Column:
+    return F.substring(c, F.lit(1), n)
 
-def _with_units(files: DataFrame) -> DataFrame:
-    lines = F.split(F.col("text"), "\n")
-    df = files.select("path", "language", *_extra(files), _pin(lines).alias("lines"))
-    is_py = F.col("language") == "python"
-
-    def kind(line):
-        comment = F.when(is_py, line.rlike(PY_COMMENT_RE)).otherwise(line.rlike(JS_COMMENT_RE))
-        return F.when(comment, "c").when(line.startswith("@"), "d").otherwise("x")
-
-    # column-0 lines with their index and kind, in one pass over the lines
-    tops = F.filter(F.transform("lines", lambda l, i: F.when(l.rlike(TOP_LEVEL_RE), F.struct(
-        i.alias("i"), kind(l).alias("k")))), lambda t: t.isNotNull())
-    x = _extra(df)
-    df = df.select("path", "language", *x, "lines", _pin(tops).alias("tops"))
-    df = df.select("path", "language", *x, "lines",
-                   _pin(F.transform("tops", lambda t: t["i"])).alias("starts"),
-                   _pin(F.transform("tops", lambda t: t["k"])).alias("kinds"))
-    df = df.select("*", _pin(F.array_join("kinds", "")).alias("kstr"))
-    n = F.size("lines")
-
-    def unit(i, j):
-        # decorators directly above this statement belong to it
-        ndec = F.length(F.regexp_extract(F.col("kstr").substr(F.lit(1), j), "d*$", 0))
-        return F.struct(
-            i.alias("line"),
-            F.get(F.col("kinds"), j).alias("k"),
-            F.get(F.col("starts"), j - ndec).alias("begin"),
-            F.coalesce(F.get(F.col("starts"), j + 1), n).alias("end"))
-
-    units = F.filter(F.transform("starts", unit), lambda u: u["k"] == "x")
-    df = df.select("path", "language", *x, "lines", units.alias("units"))
-    # every later stage reads these as struct fields (computed once)
-    return _stage(df, lambda u: u.withField("decl", F.get(F.col("lines"), u["line"]))
-                                 .withField("raw", F.array_join(_span(u), "\n")))
-
-
-def _span(u: Column) -> Column:
-    return F.slice(F.col("lines"), u["begin"] + 1, u["end"] - u["begin"])
 
+# ------------------------------------------------------------------ units
 
-def _stage(df: DataFrame, fn, col: str = "units") -> DataFrame:
-    """Add fields to every element of an array-of-struct column.  Values a
-    later expression uses several times are stored as fields here, because
-    expressions inside lambdas are not de-duplicated by the optimizer."""
-    others = [c for c in df.columns if c != col]
-    return df.select(*others, F.transform(col, fn).alias(col))
+def _masked(text: Column, py: bool) -> Column:
+    def mask(x: Column) -> Column:
+        hide = lambda mark: F.regexp_replace(x, r"[^\n]", mark)
+        if py:
+            return (F.when(x.startswith("#"), hide(COMMENT))
+                    .when(x.startswith('"') | x.startswith("'"), hide(STRING)).otherwise(x))
+        return (F.when(x.startswith("//") | x.startswith("/*"), hide(COMMENT))
+                .when(x.startswith('"') | x.startswith("'") | x.startswith("`")
+                      | (x.startswith("/") & (F.length(x) > 1)), hide(STRING)).otherwise(x))
+
+    return F.array_join(F.transform(
+        F.regexp_extract_all(text, F.lit(PY_LEX if py else JS_LEX), 0), mask), "")
+
+
+#: A statement may start in spite of open brackets (a lexeme misread) when a
+#: blank line and one of these words announce it.
+_RESTART = {True: r"^(?:def|class|async|from|import|@)\b?",
+            False: r"^(?:export|import|function|class|const|let|var|interface|type|enum|declare)\b"}
+
+
+def _tops(mlines: Column, py: bool) -> Column:
+    """ARRAY<STRUCT<i, k>>: the lines that start statements (x) or decorators (d)."""
+    def row(line: Column, i: Column) -> Column:
+        start = line.rlike(r"^[^\s)\]}\x01\x02]")
+        before = F.coalesce(F.get(mlines, i - 1), F.lit(""))
+        return record(
+            i=i, k=F.when(start, F.when(line.startswith("@"), "d").otherwise("x")),
+            sure=start & ~before.rlike(r"\S") & line.rlike(_RESTART[py]),
+            d=_len(F.translate(line, ")]}", "")) - _len(F.translate(line, "([{", "")))
+
+    def step(acc: Column, r: Column) -> Column:
+        top = r["k"].isNotNull() & ((acc["open"] == 0) | r["sure"])
+        return record(open=F.greatest(F.when(r["sure"], 0).otherwise(acc["open"]) + r["d"], F.lit(0)),
+                      tops=F.when(top, F.concat(acc["tops"], F.array(record(i=r["i"], k=r["k"]))))
+                      .otherwise(acc["tops"]))
+
+    zero = record(open=F.lit(0), tops=F.array().cast("array<struct<i:int,k:string>>"))
+    return F.aggregate(F.transform(mlines, row), zero, step, lambda acc: acc["tops"])
+
+
+def _units(lines: Column, mlines: Column, py: bool) -> Column:
+    """ARRAY<STRUCT<line, begin, off, raw, m>>: the statements with their
+    text, its masked form and the offset of the declaration behind decorators."""
+    def of(tops: Column) -> Column:
+        begins = F.filter(tops, lambda t, j: (j == 0) | (F.get(tops, j - 1)["k"] != "d"))
+        decls = F.filter(tops, lambda t: t["k"] == "x")
+        return let(begins, lambda bs: F.transform(decls, lambda t, j: record(
+            line=t["i"], begin=F.get(bs, j)["i"],
+            end=F.coalesce(F.get(bs, j + 1)["i"], F.size(lines)))))
+
+    def text(u: Column) -> Column:
+        span = lambda ls, n: F.array_join(F.slice(ls, u["begin"] + 1, n), "\n")
+        m = F.regexp_replace(span(mlines, u["end"] - u["begin"]),
+                             r"(?:\n(?:\x02[^\n]*+|[ \t\r]*+(?=\n|\z)))*+\s*\z", "")
+        return let(m, lambda m: record(
+            line=u["line"], begin=u["begin"], m=m,
+            off=F.when(u["line"] > u["begin"], _len(span(mlines, u["line"] - u["begin"])) + 1)
+            .otherwise(0),
+            raw=_first(span(lines, u["end"] - u["begin"]), _len(m))))
+
+    return let(_tops(mlines, py), lambda tops: F.transform(of(tops), text))
 
 
 # ---------------------------------------------------------------- imports
 
 def _item(u, local, export, spec):
     return F.struct(u["line"].alias("line"), local.alias("local_name"), export.alias("export_name"),
-                    spec.alias("specifier"), u["stmt"].alias("stmt"))
+                    spec.alias("specifier"), u["raw"].alias("stmt"))
 
 
 def _none(u):
@@ -120,237 +171,275 @@ def _none(u):
 
 
 _FROM = r"^from\s+(\.*)\s*([\w.]*)\s+import\s+(.*)$"
+_AS = r"\s+as\s+"
 
 
 def _py_imports(u: Column) -> Column:
-    t = u["t"]
-    spec = F.concat(F.regexp_extract(t, _FROM, 1), F.regexp_extract(t, _FROM, 2))
-    names = split_names(F.regexp_replace(F.regexp_extract(t, _FROM, 3), r"[()]", ""))
-
-    def from_item(x):
-        base = F.regexp_replace(x, r"\s+as\s+.*$", "")
-        aliased = x.rlike(r"\s+as\s+")
-        local = F.when(aliased, F.regexp_extract(x, r"\s+as\s+(\S+)$", 1)).otherwise(base)
-        export = F.when(aliased, F.element_at(F.split(base, r"\."), -1)).otherwise(base)
-        return _item(u, local, export, spec)
-
-    def plain_item(x):
-        base = F.regexp_replace(x, r"\s+as\s+.*$", "")
-        local = F.when(x.rlike(r"\s+as\s+"), F.regexp_extract(x, r"\s+as\s+(\S+)$", 1)).otherwise(base)
-        return _item(u, local, base, base)
-
-    plain = split_names(F.regexp_extract(t, r"^import\s+(.*)$", 1))
-    return (F.when(t.rlike(r"^from\s"), F.transform(names, from_item))
-            .when(t.rlike(r"^import\s"), F.transform(plain, plain_item))
-            .otherwise(_none(u)))
+    def of(t: Column) -> Column:
+        spec = F.concat(F.regexp_extract(t, _FROM, 1), F.regexp_extract(t, _FROM, 2))
+        names = split_names(F.regexp_replace(F.regexp_extract(t, _FROM, 3), r"[()]", ""))
+
+        def from_item(x):
+            base = F.regexp_replace(x, rf"{_AS}.*$", "")
+            aliased = x.rlike(_AS)
+            local = F.when(aliased, F.regexp_extract(x, rf"{_AS}(\S+)$", 1)).otherwise(base)
+            export = F.when(aliased, F.element_at(F.split(base, r"\."), -1)).otherwise(base)
+            return _item(u, local, export, spec)
+
+        def plain_item(x):
+            base = F.regexp_replace(x, rf"{_AS}.*$", "")
+            local = F.when(x.rlike(_AS), F.regexp_extract(x, rf"{_AS}(\S+)$", 1)).otherwise(base)
+            return _item(u, local, base, base)
+
+        plain = split_names(F.regexp_extract(t, r"^import\s+(.*)$", 1))
+        return (F.when(t.rlike(r"^from\s"), F.transform(names, from_item))
+                .when(t.rlike(r"^import\s"), F.transform(plain, plain_item))
+                .otherwise(_none(u)))
+
+    bare = F.trim(_ws_collapse(F.regexp_replace(u["raw"], r"#[^\n]*", "")))
+    return F.when(u["m"].rlike(r"^(?:from|import)\s"), let(bare, of)).otherwise(_none(u))
 
 
 _ES = r"""^import\s+(?:type\s+)?(.*?)\s*from\s*["'`]([^"'`]*)["'`]"""
-_REQ = (r"""^(?:const|let|var)\s+(\{[^}]*\}|""" + NAME +
+_REQ = (r"""(?:^(?:const|let|var)\s|,)\s*(\{[^}]*\}|""" + NAME +
         r""")\s*=\s*require\(\s*["'`]([^"'`]*)["'`]\s*\)""")
 
 
 def _js_imports(u: Column) -> Column:
-    t = u["t"]
-    clause = F.regexp_extract(t, _ES, 1)
-    es_spec = F.regexp_extract(t, _ES, 2)
-    pattern = F.regexp_extract(t, _REQ, 1)
-    rq_spec = F.regexp_extract(t, _REQ, 2)
-    default_name = F.regexp_extract(clause, r"^(" + NAME + ")", 1)
-    ns_name = F.regexp_extract(clause, r"\*\s*as\s+(" + NAME + ")", 1)
-    named = split_names(F.regexp_extract(clause, r"\{([^}]*)\}", 1))
-
-    def named_item(x):
-        x2 = F.regexp_replace(x, r"^type\s+", "")
-        local = F.when(x2.rlike(r"\s+as\s+"), F.regexp_extract(x2, r"\s+as\s+(" + NAME + ")", 1)).otherwise(x2)
-        return _item(u, local, F.regexp_replace(x2, r"\s+as\s+.*$", ""), es_spec)
-
-    es_items = F.concat(
-        F.filter(F.array(_item(u, default_name, F.lit("default"), es_spec)), lambda s: s["local_name"] != ""),
-        F.transform(named, named_item),
-        F.filter(F.array(_item(u, ns_name, F.lit("*"), es_spec)), lambda s: s["local_name"] != ""))
-
-    def pair_item(x):
-        local = F.when(x.contains(":"), F.trim(F.regexp_extract(x, r":\s*(.*)$", 1))).otherwise(x)
-        return _item(u, local, F.trim(F.regexp_replace(x, r":.*$", "")), rq_spec)
-
-    rq_items = F.when(pattern.startswith("{"),
-                      F.transform(split_names(F.regexp_replace(pattern, r"[{}]", "")), pair_item)) \
-        .otherwise(F.array(_item(u, pattern, F.lit("default"), rq_spec)))
-    return (F.when(t.rlike(r"^import\s") & (es_spec != ""), es_items)
-            .when(rq_spec != "", rq_items)
+    def es(t: Column) -> Column:
+        clause, spec = F.regexp_extract(t, _ES, 1), F.regexp_extract(t, _ES, 2)
+        default_name = F.regexp_extract(clause, rf"^({NAME})", 1)
+        ns_name = F.regexp_extract(clause, rf"\*\s*as\s+({NAME})", 1)
+        named = split_names(F.regexp_extract(clause, r"\{([^}]*)\}", 1))
+
+        def named_item(x):
+            x2 = F.regexp_replace(x, r"^type\s+", "")
+            local = F.when(x2.rlike(_AS), F.regexp_extract(x2, rf"{_AS}({NAME})", 1)).otherwise(x2)
+            return _item(u, local, F.regexp_replace(x2, rf"{_AS}.*$", ""), spec)
+
+        items = F.concat(
+            F.filter(F.array(_item(u, default_name, F.lit("default"), spec)),
+                     lambda s: s["local_name"] != ""),
+            F.transform(named, named_item),
+            F.filter(F.array(_item(u, ns_name, F.lit("*"), spec)), lambda s: s["local_name"] != ""))
+        return F.when(spec != "", items).otherwise(_none(u))
+
+    def required(t: Column) -> Column:
+        patterns = F.regexp_extract_all(t, F.lit(_REQ), 1)
+        specs = F.regexp_extract_all(t, F.lit(_REQ), 2)
+
+        def of(p: Column, spec: Column) -> Column:
+            def pair_item(x):
+                local = F.when(x.contains(":"), F.trim(F.regexp_extract(x, r":\s*(.*)$", 1))).otherwise(x)
+                return _item(u, local, F.trim(F.regexp_replace(x, r":.*$", "")), spec)
+            return (F.when(p.startswith("{"), F.transform(split_names(F.regexp_replace(p, r"[{}]", "")),
+                                                          pair_item))
+                    .otherwise(F.array(_item(u, p, F.lit("default"), spec))))
+
+        return F.flatten(F.zip_with(patterns, specs, of))
+
+    t = F.trim(_ws_collapse(u["raw"]))
+    return (F.when(u["m"].rlike(r"^import\s"), let(t, es))
+            .when(u["m"].rlike(r"^(?:const|let|var)\s") & u["m"].contains("require"), let(t, required))
             .otherwise(_none(u)))
 
 
-def _with_imports(df: DataFrame, py: bool) -> DataFrame:
-    strip_comments = (lambda r: F.regexp_replace(r, r"#[^\n]*", "")) if py else (lambda r: r)
-    df = _stage(df, lambda u: u.withField("stmt", rstrip_ws(u["raw"]))
-                             .withField("t", F.trim(_ws_collapse(strip_comments(u["raw"])))))
-    imports = F.flatten(F.transform("units", _py_imports if py else _js_imports))
-    df = df.select("*", _pin(imports).alias("imports"))
-    return df.select("*", _pin(F.array_distinct(F.transform("imports", lambda x: x["local_name"]))).alias("locals"))
-
-
 # ---------------------------------------------------------------- symbols
 
-def _sym(u, name, kind, exported, has_body, sig):
+def _sym(u, name, kind, exported, has_body, text, sig, used):
     return F.struct(name.alias("name"), kind.alias("kind"),
                     u["begin"].alias("start_line"), u["line"].alias("decl_line"),
-                    (u["begin"] + F.size(F.split(u["full"], "\n")) - 1).alias("end_line"),
+                    (u["begin"] + F.size(F.split(text, "\n")) - 1).alias("end_line"),
                     exported.alias("is_exported"), has_body.alias("has_body"),
-                    u["full"].alias("text"), sig.alias("sig"), u["used"].alias("used"))
-
+                    text.alias("text"), sig.alias("sig"), used.alias("used"))
+
+
+def _used(text: Column, locals_: Column) -> Column:
+    return F.array_intersect(F.array_distinct(F.regexp_extract_all(text, F.lit(IDENT_RE), 1)), locals_)
+
+
+def _py_symbols(u: Column, locals_: Column) -> Column:
+    def of(d: Column) -> Column:
+        fn = F.regexp_extract(d, r"^(?:async\s+)?def\s+([A-Za-z_]\w*)", 1)
+        cl = F.regexp_extract(d, r"^class\s+([A-Za-z_]\w*)", 1)
+        va = F.regexp_extract(d, r"^([A-Za-z_]\w*)\s*(?::[^=]*)?=(?:[^=]|$)", 1)
+        named = record(fn=fn, cl=cl, va=F.when(va.isin(*PY_WORDS), "").otherwise(va),
+                       head=_len(F.regexp_extract(d, PY_HEADER, 0)))
+
+        def symbol(n: Column) -> Column:
+            kind = (F.when(n["fn"] != "", "function").when(n["cl"] != "", "class")
+                    .when(n["va"] != "", "variable"))
+            has_body = (n["fn"] != "") | (n["cl"] != "")
+            sig = F.when(has_body & (n["head"] > 0),
+                         F.concat(_first(u["raw"], u["off"] + n["head"]), F.lit("\n    pass"))) \
+                .otherwise(u["raw"])
+            one = _sym(u, F.concat(n["fn"], n["cl"], n["va"]), kind, F.lit(True), has_body, u["raw"], sig,
+                       _used(u["raw"], locals_))
+            return F.filter(F.array(one), lambda s: s["kind"].isNotNull())
+
+        return let(named, symbol)
+
+    return let(_from(u["m"], u["off"]), of)
+
+
+_INNERMOST = r"\([^()\[\]{}]*+\)|\[[^()\[\]{}]*+\]|\{[^()\[\]{}]*+\}|<[^<>=()]*+>"
+
+
+def _more_names(d: Column) -> Column:
+    """The names a const/let/var statement declares after the first one."""
+    flat = d
+    for _ in range(8):
+        flat = F.regexp_replace(flat, _INNERMOST, "")
+    parts = F.split(F.regexp_replace(flat, r"^(?:const|let|var)\s+", ""), ",")
+    names = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
+                        lambda p: F.regexp_extract(p, rf"^\s*({NAME})\s*(?::[^=]*)?(?:=(?!>)|;|\z)", 1))
+    return F.filter(names, lambda n: n != "")
+
+
+def _class_sig(text: Column, header: Column) -> Column:
+    """A class with the blocks of its members emptied.  Strings, comments
+    and parenthesised groups become numbered tokens, so braces inside of them
+    stay; what is left is collapsed from the innermost block outwards."""
+    inner = F.regexp_extract(_from(text, _len(header)), r"^([\s\S]*)\}[^}]*\z", 1)
+    tail = F.regexp_extract(text, r"\}([^}]*)\z", 1)
+
+    def of(lexemes: Column) -> Column:
+        body = F.array_join(F.transform(lexemes, lambda x, i: F.when(
+            x.rlike("^(?://|/\\*|[\"'`(]|/.)"), F.concat(F.lit(STRING), i.cast("string"), F.lit(COMMENT)))
+            .otherwise(x)), "")
+        for _ in range(10):
+            body = F.regexp_replace(body, r"\{[^{}]*+\}", BLOCK)
+        lines = F.filter(F.split(body, "\n"), lambda line: line.rlike(r"\S"))
+
+        def back(part: Column, i: Column) -> Column:
+            token = F.get(lexemes, F.regexp_extract(part, r"^(\d+)\x02", 1).try_cast("int"))
+            return F.when(i == 0, part).otherwise(
+                F.concat(token, F.regexp_replace(part, r"^\d+\x02", "")))
+
+        kept = F.array_join(F.transform(F.split(F.array_join(lines, "\n"), STRING), back), "")
+        kept = F.regexp_replace(kept, BLOCK, "{}")
+        return F.concat(header, F.lit("\n"),
+                        F.when(kept == "", "").otherwise(F.concat(kept, F.lit("\n"))), F.lit("}"), tail)
+
+    return let(F.regexp_extract_all(inner, F.lit(CLASS_LEX), 0), of)
+
+
+def _js_symbols(u: Column, locals_: Column, is_ts: Column) -> Column:
+    def declared(d: Column) -> Column:
+        """What the masked declaration ``d`` is."""
+        exported, default = d.rlike(r"^export\s"), d.rlike(r"^export\s+default\s")
+        clause = d.rlike(r"^export\s*\{")
+        # an exported declaration's span is the inner declaration
+        cut = F.when(exported & ~default & ~clause, _len(F.regexp_extract(d, r"^export\s+", 0))).otherwise(0)
+        return record(
+            d=d, exported=exported, default=default, clause=clause, mexp=d.rlike(r"^module\.exports\s*="),
+            b=F.regexp_replace(d, r"^export\s+(default\s+)?", ""),
+            text=F.concat(_first(u["raw"], u["off"]), _from(u["raw"], u["off"] + cut)))
+
+    def named(a: Column) -> Column:
+        b = a["b"]
+        ts = lambda p: F.when(is_ts, F.regexp_extract(b, p, 1)).otherwise("")
+        fn = F.regexp_extract(b, rf"^(?:async\s+)?function\b\s*\*?\s*({NAME})", 1)
+        cls = F.regexp_extract(b, rf"^(?:abstract\s+)?class\s+({NAME})", 1)
+        or_default = lambda n: F.when(n != "", n).when(a["default"], "default")
+        return record(
+            fn=F.when(b.rlike(r"^(?:async\s+)?function\b"), or_default(fn)),
+            cls=F.when(b.rlike(r"^(?:abstract\s+)?class\b"), or_default(cls)),
+            iface=ts(rf"^interface\s+({NAME})"), alias=ts(rf"^type\s+({NAME})"),
+            enum=ts(rf"^(?:const\s+)?enum\s+({NAME})"), ext=ts(rf"^declare\s+function\s+({NAME})"),
+            var=F.regexp_extract(b, rf"^(?:const|let|var)\s+({NAME})", 1),
+            fn_head=F.regexp_extract(b, JS_FUNCTION, 0), arrow=F.regexp_extract(b, JS_ARROW, 0),
+            value_head=F.regexp_extract(b, JS_FUNCTION_VALUE, 0),
+            cls_head=F.regexp_extract(b, JS_CLASS, 0))
+
+    def symbols(a: Column, n: Column) -> Column:
+        enum_like = (n["alias"] != "") | (n["enum"] != "")
+        is_var = (n["var"] != "") & (n["enum"] == "")
+        calls = is_var & ((n["arrow"] != "") | (n["value_head"] != ""))
+        kind = (F.when(a["mexp"], "variable").when(n["fn"].isNotNull(), "function")
+                .when(n["cls"].isNotNull(), "class").when(n["iface"] != "", "interface")
+                .when(enum_like, "type").when(n["ext"] != "", "function")
+                .when(calls, "function").when(is_var, "variable"))
+        name = (F.when(a["mexp"], "module.exports").when(n["fn"].isNotNull(), n["fn"])
+                .when(n["cls"].isNotNull(), n["cls"]).when(n["iface"] != "", n["iface"])
+                .when(n["alias"] != "", n["alias"]).when(n["enum"] != "", n["enum"])
+                .when(n["ext"] != "", n["ext"]).when(is_var, n["var"]))
+        is_fn = n["fn"].isNotNull() | (calls & (n["ext"] == ""))
+        text = a["text"]
+        # where the declaration b starts in the text: it is its last part
+        at = _len(text) - _len(a["b"])
+        block = F.when(n["fn"].isNotNull(), n["fn_head"]).otherwise(n["value_head"])
+        tail = F.regexp_extract(text, r"\}([^}\n]*)\z", 1)
+        cut = lambda k: rstrip_ws(_first(text, at + k))
+        fn_sig = (F.when(block != "", F.concat(cut(_len(block) - 1), F.lit(" {}"), tail))
+                  .when(n["arrow"] != "", F.concat(
+                      cut(_len(n["arrow"])), F.lit(" {}"),
+                      F.when(_from(a["b"], _len(n["arrow"])).rlike(r"^\s*\{"), tail)
+                      .when(text.endswith(";"), ";").otherwise("")))
+                  .otherwise(text))
+        cls_sig = F.when(n["cls_head"] != "",
+                         _class_sig(text, _first(text, at + _len(n["cls_head"])))).otherwise(text)
+        sig = F.when(is_fn, fn_sig).when(kind == "class", cls_sig).otherwise(text)
+        exported = a["mexp"] | a["exported"] | (n["ext"] != "")
+        used = _used(text, locals_)
+        one = F.filter(F.array(_sym(u, name, kind, exported, is_fn | (kind == "class"), text, sig, used)),
+                       lambda s: s["name"].isNotNull())
+        plain = lambda x, ex: _sym(u, x, F.lit("variable"), ex, F.lit(False), text, text, used)
+        declares = a["b"].rlike(r"^(?:const|let|var)\s") & (n["enum"] == "")
+        more = F.when(declares, F.transform(_more_names(a["b"]), lambda x: plain(x, exported))) \
+            .otherwise(F.filter(one, lambda s: F.lit(False)))
+        # export { a, b as c }: one variable symbol per specifier, named by alias
+        clause = F.transform(
+            split_names(F.regexp_extract(_ws_collapse(text), r"\{([^}]*)\}", 1)),
+            lambda x: plain(F.when(x.rlike(_AS), F.regexp_extract(x, rf"{_AS}({NAME})", 1)).otherwise(x),
+                            F.lit(True)))
+        return F.when(a["clause"], clause).otherwise(F.concat(one, more))
 
-def _used(raw_text: Column) -> Column:
-    return F.array_intersect(F.array_distinct(F.regexp_extract_all(raw_text, F.lit(IDENT_RE), 1)),
-                             F.col("locals"))
+    return let(declared(_from(u["m"], u["off"])),
+               lambda a: let(named(a), lambda n: symbols(a, n)))
 
 
-def _py_symbols(df: DataFrame) -> DataFrame:
-    def classify(u):
-        d = u["decl"]
-        return (u.withField("fn", F.regexp_extract(d, r"^(?:async\s+)?def\s+([A-Za-z_]\w*)", 1))
-                .withField("cl", F.regexp_extract(d, r"^class\s+([A-Za-z_]\w*)", 1))
-                .withField("va", F.regexp_extract(d, r"^([A-Za-z_]\w*)\s*(?::[^=]*)?=(?:[^=]|$)", 1))
-                .withField("full", rstrip_ws(u["raw"]))
-                .withField("used", _used(u["raw"]))
-                # the header ends at the first line (from def/class on) ending in ':'
-                .withField("p", F.array_position(
-                    F.transform(F.slice(F.col("lines"), u["line"] + 1, u["end"] - u["line"]),
-                                lambda l: l.rlike(r":\s*(#.*)?$")), True)))
+# ------------------------------------------------------------------ entry
 
-    df = _stage(df, classify)
+PASS_THROUGH = ("raw_bytes", "raw_tokens")
 
-    def symbol(u):
-        fn, cl, va = u["fn"], u["cl"], u["va"]
-        kind = F.when(fn != "", "function").when(cl != "", "class").when(va != "", "variable")
-        name = F.when(fn != "", fn).when(cl != "", cl).when(va != "", va)
-        has_body = (fn != "") | (cl != "")
-        head = F.array_join(F.slice(F.col("lines"), u["begin"] + 1, u["line"] + u["p"] - u["begin"]), "\n")
-        sig = F.when(has_body & (u["p"] > 0), F.concat(rstrip_ws(head), F.lit("\n    pass"))).otherwise(u["full"])
-        return F.filter(F.array(_sym(u, name, kind, F.lit(True), has_body, sig)), lambda s: s["name"].isNotNull())
 
-    return df.select("path", "language", *_extra(df), "imports",
-                     F.flatten(F.transform("units", symbol)).alias("symbols"))
+def _extra(df: DataFrame) -> list[str]:
+    """Per-file measures computed before parsing and carried along."""
+    return [c for c in PASS_THROUGH if c in df.columns]
 
 
-def _js_symbols(df: DataFrame) -> DataFrame:
-    is_ts = F.col("language") == "typescript"
+def _parsed(text: Column, py: bool, is_ts: Column) -> Column:
+    def of(units: Column) -> Column:
+        imports = F.flatten(F.transform(units, _py_imports if py else _js_imports))
 
-    def flags(u):
-        d = u["decl"]
-        return (u.withField("exported", d.rlike(r"^export\s"))
-                .withField("is_default", d.rlike(r"^export\s+default\s"))
-                .withField("is_clause", d.rlike(r"^export\s*\{"))
-                .withField("mexp", d.rlike(r"^module\.exports\s*="))
-                .withField("body0", F.regexp_replace(d, r"^export\s+(default\s+)?", "")))
-
-    def names(u):
-        b = u["body0"]
-        return (u.withField("is_fn", b.rlike(r"^(async\s+)?function\b"))
-                .withField("fn_name", F.regexp_extract(b, r"^(?:async\s+)?function\b\s*\*?\s*(" + NAME + ")", 1))
-                .withField("is_cls", b.rlike(r"^class\b"))
-                .withField("cls_name", F.regexp_extract(b, r"^class\s+(" + NAME + ")", 1))
-                .withField("var_name", F.regexp_extract(b, r"^(?:const|let|var)\s+(" + NAME + ")", 1))
-                .withField("rhs", F.regexp_extract(b, r"^(?:const|let|var)\s+" + NAME + r"\s*(?::[^=]*)?=\s*(.*)$", 1))
-                .withField("iface", F.when(is_ts, F.regexp_extract(b, r"^interface\s+(" + NAME + ")", 1)).otherwise(""))
-                .withField("talias", F.when(is_ts, F.regexp_extract(b, r"^type\s+(" + NAME + ")", 1)).otherwise(""))
-                .withField("enum", F.when(is_ts, F.regexp_extract(b, r"^(?:const\s+)?enum\s+(" + NAME + ")", 1))
-                           .otherwise(""))
-                .withField("declared", F.when(is_ts, F.regexp_extract(b, r"^declare\s+function\s+(" + NAME + ")", 1))
-                           .otherwise("")))
-
-    def kinds(u):
-        fname = F.when(u["fn_name"] != "", u["fn_name"]).when(u["is_default"], F.lit("default"))
-        cname = F.when(u["cls_name"] != "", u["cls_name"]).when(u["is_default"], F.lit("default"))
-        is_fn = u["is_fn"] & fname.isNotNull()
-        is_cls = u["is_cls"] & cname.isNotNull()
-        is_arrow = u["rhs"].rlike(r"^(async\s+)?(\([^)]*\)\s*(:[^=]*)?=>|" + NAME + r"\s*=>)")
-        is_fexpr = u["rhs"].rlike(r"^(async\s+)?function\b")
-        has_var = u["var_name"] != ""
-        kind = (F.when(u["mexp"], "variable").when(is_fn, "function").when(is_cls, "class")
-                .when(u["iface"] != "", "interface").when(u["talias"] != "", "type")
-                .when(u["enum"] != "", "type").when(u["declared"] != "", "function")
-                .when(has_var & (is_arrow | is_fexpr), "function").when(has_var, "variable"))
-        name = (F.when(u["mexp"], F.lit("module.exports")).when(is_fn, fname).when(is_cls, cname)
-                .when(u["iface"] != "", u["iface"]).when(u["talias"] != "", u["talias"])
-                .when(u["enum"] != "", u["enum"]).when(u["declared"] != "", u["declared"])
-                .when(has_var, u["var_name"]))
-        is_declare = (u["declared"] != "") & ~u["is_fn"]
-        # an exported declaration's span is the inner declaration ('export ' cut)
-        decl_out = F.when(u["exported"] & ~u["is_default"] & ~u["is_clause"],
-                          F.regexp_replace(u["decl"], r"^export\s+", "")).otherwise(u["decl"])
-        r0 = u["line"] - u["begin"]
-        raw = F.array_join(F.transform(_span(u), lambda l, k: F.when(k == r0, decl_out).otherwise(l)), "\n")
-        return (u.withField("kind", kind).withField("name", name).withField("is_declare", is_declare)
-                .withField("is_arrow", is_arrow).withField("r0", r0).withField("raw", raw))
-
-    def texts(u):
-        return u.withField("full", rstrip_ws(u["raw"])).withField("used", _used(u["raw"]))
-
-    def header(u):
-        fl = F.split(u["full"], "\n")
-        q = F.array_position(F.transform(F.slice(fl, u["r0"] + 1, F.size(fl) - u["r0"]),
-                                         lambda l: l.rlike(r"\{\s*$")), True)
-        return u.withField("fl", fl).withField("q", q).withField("hdr_n", u["r0"] + q)
-
-    for fn in (flags, names, kinds, texts, header):
-        df = _stage(df, fn)
-
-    def symbol(u):
-        fl, q, hdr_n, full, kind = u["fl"], u["q"], u["hdr_n"], u["full"], u["kind"]
-        hdr = F.slice(fl, F.lit(1), hdr_n)
-        last = F.regexp_replace(F.element_at(hdr, -1), r"\s*\{\s*$", "")
-        head = F.array_join(F.concat(F.slice(hdr, F.lit(1), hdr_n - 1), F.array(last)), "\n")
-        tail = F.regexp_extract(full, r"\}([^}\n]*)$", 1)
-        fn_sig = (F.when(q > 0, F.concat(head, F.lit(" {}"), tail))
-                  .when(u["is_arrow"], F.concat(F.regexp_extract(full, r"^([^\n]*?=>)", 1), F.lit(" {}"),
-                                                F.when(full.rlike(r";$"), F.lit(";")).otherwise(F.lit(""))))
-                  .otherwise(full))
-        inner = F.slice(fl, hdr_n + 1, F.greatest(F.size(fl) - hdr_n - 1, F.lit(0)))
-        nonblank = F.filter(inner, lambda l: l.rlike(r"\S"))
-        ind = F.array_min(F.transform(nonblank, _indent))
-        kept = F.transform(F.filter(nonblank, lambda l: (_indent(l) == ind) & ~l.rlike(r"^\s*\}")),
-                           lambda l: F.regexp_replace(l, r"\{\s*$", "{}"))
-        cls_sig = F.when((q > 0) & (F.size(fl) > hdr_n),
-                         F.array_join(F.concat(hdr, kept, F.array(F.element_at(fl, -1))), "\n")).otherwise(full)
-        sig = (F.when((kind == "function") & ~u["is_declare"], fn_sig)
-               .when(kind == "class", cls_sig).otherwise(full))
-        is_exported = u["mexp"] | u["exported"] | u["is_declare"]
-        has_body = ((kind == "function") & ~u["is_declare"]) | (kind == "class")
-        one = F.filter(F.array(_sym(u, u["name"], kind, is_exported, has_body, sig)),
-                       lambda s: s["name"].isNotNull())
-        # export { a, b as c } — one variable symbol per specifier, named by alias
-        clause_names = split_names(F.regexp_extract(_ws_collapse(full), r"\{([^}]*)\}", 1))
-        clause = F.transform(
-            clause_names,
-            lambda x: _sym(u, F.when(x.rlike(r"\s+as\s+"), F.regexp_extract(x, r"\s+as\s+(" + NAME + ")", 1))
-                           .otherwise(x), F.lit("variable"), F.lit(True), F.lit(False), full))
-        return F.when(u["is_clause"], clause).otherwise(one)
+        def with_imports(imps: Column) -> Column:
+            locals_ = F.array_distinct(F.transform(imps, lambda x: x["local_name"]))
 
-    return df.select("path", "language", *_extra(df), "imports",
-                     F.flatten(F.transform("units", symbol)).alias("symbols"))
+            def with_locals(names: Column) -> Column:
+                symbols = F.flatten(F.transform(
+                    units, lambda u: _py_symbols(u, names) if py else _js_symbols(u, names, is_ts)))
+                return record(symbols=F.transform(symbols, lambda s, i: s.withField("ord", i)),
+                              imports=imps)
 
+            return let(locals_, with_locals)
 
-# ------------------------------------------------------------------ entry
+        return let(imports, with_imports)
 
-def _parse(files: DataFrame, py: bool) -> DataFrame:
-    df = _with_units(files)
-    df = _with_imports(df, py)
-    df = _py_symbols(df) if py else _js_symbols(df)
-    numbered = F.transform("symbols", lambda s, i: s.withField("ord", i))
-    # pinned: field pruning through a later explode must not copy the whole
-    # definition once per extracted field
-    return df.select("path", "language", _pin(numbered).alias("symbols"), _pin(F.col("imports")).alias("imports"),
-                     *_extra(df))
+    return let(F.split(text, "\n"), lambda lines: let(F.split(_masked(text, py), "\n"), lambda mlines: let(
+        _units(lines, mlines, py), of)))
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """``files(path, language, text)`` → one row per file with its symbol
-    and import arrays (see module doc).  Python and JavaScript/TypeScript
-    rows take separate narrow branches of the same scan."""
-    is_py = F.col("language") == "python"
-    return _parse(files.where(is_py), True).unionByName(_parse(files.where(~is_py), False))
+    """``files(path, language, text)`` to one row per file with its symbol
+    and import arrays (see module doc), in one pass that picks the rules by
+    the row's language."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    is_ts = F.col("language") == "typescript"
+    found = F.when(F.col("language") == "python", _parsed(text, True, is_ts)) \
+        .otherwise(_parsed(text, False, is_ts))
+    return (files.select("path", "language", found.alias("found"), *_extra(files))
+            .select("path", "language", "found.symbols", "found.imports", *_extra(files)))
 
 
 def explode_rows(df: DataFrame, keep: list[str], arr, alias: str) -> DataFrame:
@@ -363,7 +452,7 @@ def explode_rows(df: DataFrame, keep: list[str], arr, alias: str) -> DataFrame:
 
 
 def symbols_table(parsed: DataFrame) -> DataFrame:
-    """One row per symbol: (path, language, ord, name, kind, ...)."""
+    """One row per symbol: (path, language, name, kind, ..., ord)."""
     return explode_rows(parsed, ["path", "language"], "symbols", "s").select("path", "language", "s.*")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slimctx.operators.extract import explode_rows
-from slimctx.operators.skew import split_hot_join
+from slimctx.operators.skew import salted_join
 from slimctx.session import materialize
 
 
@@ -51,14 +51,6 @@ def symbol_edges(parsed: DataFrame, resolved: DataFrame) -> tuple[DataFrame, Dat
     return sym_edges, star_edges
 
 
-def _cut(df: DataFrame, level: int, max_depth: int) -> DataFrame:
-    """Every level is read again by the next level, the visited set and the
-    final union: cut lineage once per level with a table written in the
-    shared checkpoint folder, so
-    no level is recomputed (and a lost executor only costs one level)."""
-    return materialize(df)
-
-
 def bfs(seeds: DataFrame, sym_edges: DataFrame, star_edges: DataFrame, max_depth: int = 3) -> DataFrame:
     """Traverse from ``seeds(entry, syms ARRAY<STRING>)`` (the entry file is
     the path).  Returns ``nodes(entry, path, depth, syms)`` where ``syms``
@@ -72,16 +64,16 @@ def bfs(seeds: DataFrame, sym_edges: DataFrame, star_edges: DataFrame, max_depth
     visited = start.select("entry", "path")
     frontier = start
     for level in range(1, max_depth + 1):
-        # hub files make one path hot on the frontier side: split it off
-        by_sym = (split_hot_join(frontier.select("entry", "path", F.explode("syms").alias("sym")),
-                                 edges, ["path", "sym"], "path")
+        # hub files make one path hot on the frontier side: the join is salted
+        by_sym = (salted_join(frontier.select("entry", "path", F.explode("syms").alias("sym")),
+                              edges, ["path", "sym"])
                   .select("entry", F.col("dst").alias("path"), F.col("dst_sym").alias("sym")))
-        by_star = (split_hot_join(frontier.select("entry", "path"), stars, ["path"], "path")
+        by_star = (salted_join(frontier.select("entry", "path"), stars, ["path"])
                    .select("entry", F.col("dst").alias("path"), F.lit("*").alias("sym")))
         asked = (by_sym.unionByName(by_star)
                  .groupBy("entry", "path")
                  .agg(F.array_sort(F.collect_set("sym")).alias("syms")))
-        asked = _cut(asked, level, max_depth)
+        asked = materialize(asked, "level")   # read by the next level and the final union
         levels.append(asked.withColumn("depth", F.lit(level)))
         if level == max_depth:
             break
@@ -110,13 +102,13 @@ def closure(seeds: DataFrame, sym_edges: DataFrame, star_edges: DataFrame, max_d
     delta = start.select("entry", "path", "sym")
     parts = [start]
     for level in range(1, max_depth + 1):
-        by_sym = (split_hot_join(delta, edges, ["path", "sym"], "path")
+        by_sym = (salted_join(delta, edges, ["path", "sym"])
                   .select("entry", F.col("dst").alias("path"), F.col("dst_sym").alias("sym")))
         new_files = delta.select("entry", "path").distinct()
-        by_star = (split_hot_join(new_files, stars, ["path"], "path")
+        by_star = (salted_join(new_files, stars, ["path"])
                    .select("entry", F.col("dst").alias("path"), F.lit("*").alias("sym")))
         nxt = by_sym.unionByName(by_star).distinct().join(seen, ["entry", "path", "sym"], "left_anti")
-        nxt = _cut(nxt, level, max_depth)
+        nxt = materialize(nxt, "level")
         parts.append(nxt.withColumn("depth", F.lit(level)))
         seen = seen.unionByName(nxt)
         delta = nxt

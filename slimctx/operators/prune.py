@@ -5,7 +5,7 @@ The pruned text of a node depends only on (path, is_entry, requested names),
 so it is computed once per distinct key and joined back to the nodes.  A hub
 file that every entry reaches is therefore rewritten a handful of times, not
 once per entry; the join back is keyed by the same hot path but carries one
-small row per key on the right side (AQE splits the hot partition).
+row per key on the right side (adaptive execution splits a hot partition).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slimctx.functions.text import TokenExpr, heuristic_tokens, strip_ws
-from slimctx.operators.skew import split_hot_join
+from slimctx.operators.skew import salted_join
 
 
 def default_request(parsed: DataFrame) -> DataFrame:
@@ -65,11 +65,10 @@ def pruned_texts(nodes: DataFrame, parsed: DataFrame, token_expr: TokenExpr = he
     """One row per distinct (path, is_entry, syms): the rewritten source,
     kept symbol names (in file order, matches only) and its tokens."""
     keys = (nodes.select("path", (F.col("depth") == 0).alias("is_entry"), "syms")
-            .withColumn("key", F.concat_ws(" ", "syms"))
-            .dropDuplicates(["path", "is_entry", "key"]))
+            .dropDuplicates(["path", "is_entry", "syms"]))
     j = keys.join(parsed.select("path", "symbols", "imports"), "path", "inner")
     source, names, n_kept, _ = _source(F.col("is_entry"), F.col("syms"))
-    out = j.select("path", "is_entry", "key", source.alias("source"), names.alias("symbols"),
+    out = j.select("path", "is_entry", "syms", source.alias("source"), names.alias("symbols"),
                    n_kept.alias("n_blocks"))
     return out.select("*", token_expr(F.col("source")).alias("estimated_tokens"))
 
@@ -79,14 +78,23 @@ def prune(nodes: DataFrame, parsed: DataFrame, token_expr: TokenExpr = heuristic
     """``pruned(entry, path, rel_path, depth, is_entry, symbols, source,
     estimated_tokens)`` — the entry in full, every dependency as signatures."""
     texts = pruned_texts(nodes, parsed, token_expr)
-    n = nodes.select("entry", "path", "depth", (F.col("depth") == 0).alias("is_entry"),
-                     F.concat_ws(" ", "syms").alias("key"))
-    rel = F.col("path") if not root else F.substring(F.col("path"), len(root.rstrip("/")) + 2, 1 << 30)
-    return (split_hot_join(n, texts, ["path", "is_entry", "key"], "path")
-            .select("entry", "path", rel.alias("rel_path"), "depth", "is_entry", "symbols", "source",
+    n = nodes.select("entry", "path", "depth", (F.col("depth") == 0).alias("is_entry"), "syms")
+    # the request is part of the key as an array: joined names could collide;
+    # texts are the large side here, so they are not repeated for salts
+    return (n.join(texts, ["path", "is_entry", "syms"])
+            .withColumn("rel_path", relative_path(F.col("path"), root))
+            .select("entry", "path", "rel_path", "depth", "is_entry", "symbols", "source",
                     "estimated_tokens"))
 
 
+def relative_path(path: Column, root: str | None) -> Column:
+    """The path below ``root``; paths outside of it stay whole (P10)."""
+    if not root:
+        return path
+    prefix = root.rstrip("/") + "/"
+    return F.when(path.startswith(prefix), F.substring(path, len(prefix) + 1, 1 << 30)).otherwise(path)
+
+
 def raw_tokens(files: DataFrame, token_expr: TokenExpr = heuristic_tokens) -> DataFrame:
     """(path, raw_bytes, raw_tokens) of the unpruned files."""
     return files.select("path", F.octet_length("text").alias("raw_bytes"),
@@ -113,7 +121,7 @@ def ratio2(num: Column, den: Column) -> Column:
 def bench_files(nodes: DataFrame, pruned: DataFrame, raw: DataFrame) -> DataFrame:
     """Per entry and reachable file: raw vs pruned tokens."""
     p = pruned.select("entry", "path", "estimated_tokens")
-    j = (split_hot_join(nodes.select("entry", "path", "depth"), raw, ["path"], "path")
+    j = (salted_join(nodes.select("entry", "path", "depth"), raw, ["path"])
          .join(p, ["entry", "path"], "left"))
     pt = F.coalesce(F.col("estimated_tokens"), F.lit(0)).cast("bigint")
     return j.select("entry", "path", "depth", "raw_bytes", "raw_tokens", pt.alias("pruned_tokens"),

@@ -129,3 +129,16 @@ def weighted_by_request(log: DataFrame) -> DataFrame:
         F.when((F.col("files") > 1) & (F.col("baseline_tokens") > 0),
                F.round(F.col("tokens_saved").cast(_EXACT) * 100 / F.col("baseline_tokens"), 2)
                .cast("double")))
+
+
+def report(log: DataFrame) -> dict[str, DataFrame]:
+    """Every series of the dashboard, by name."""
+    return {"totals": totals(log), "means": mean_reduction(log), "token_split": token_split(log),
+            "top_files": top_files(log), "daily_cumulative": daily_cumulative(log),
+            "histogram": reduction_histogram(log)}
+
+
+def write_report(log: DataFrame, path: str) -> None:
+    """Write the series as one dataset: a parquet table each below ``path``."""
+    for name, df in report(log).items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")

@@ -1,11 +1,11 @@
 """Import specifier → corpus file.
 
-Each relative specifier expands into an ordered candidate list (exact,
+Each distinct (directory, language, specifier) expands into an ordered candidate list (exact,
 extension by importer language, index / package file); the candidates are
 equi-joined against the corpus paths and the lowest-ordered hit wins.  The
-join is an ordinary shuffle join: AQE turns it into a broadcast when the
-*measured* path list is small and splits partitions that a hub file makes
-hot.  Nothing is collected to the driver.
+importers of a hub in one directory thus share one row of candidates, and the
+way back to the importing files is a salted join.  Nothing is collected to
+the driver.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slimctx.operators.extract import explode_rows
+from slimctx.operators.skew import salted_join
 from slimctx.functions.paths import (JS_EXTS, JS_INDEX, PY_INDEX, TS_EXTS, dirname, join_path,
                                      normpath, parent_n)
 
@@ -48,9 +49,12 @@ def resolve_specifiers(parsed: DataFrame, corpus_paths: DataFrame) -> DataFrame:
     specs = (explode_rows(parsed.select(F.col("path").alias("src"), "language", "imports"), ["src", "language"],
                           F.array_distinct(F.transform("imports", lambda i: i["specifier"])), "specifier")
              .where(F.col("specifier").startswith(".")))           # external packages never resolve
-    cands = specs.select("src", "specifier",
-                         F.explode(candidates(F.col("src"), F.col("language"), F.col("specifier"))).alias("c"))
-    hits = cands.join(corpus_paths.select(F.col("path").alias("cand")),
-                      F.col("c.cand") == F.col("cand"), "inner")
-    return (hits.groupBy("src", "specifier")
-            .agg(F.min_by(F.col("cand"), F.col("c.ord")).alias("dst")))
+    key = ["dir", "language", "specifier"]
+    asked = specs.withColumn("dir", dirname(F.col("src")))
+    inside = F.when(F.col("dir") == "", F.lit("x")).otherwise(F.concat(F.col("dir"), F.lit("/x")))
+    cands = (asked.select(*key).distinct()
+             .select(*key, F.explode(candidates(inside, F.col("language"), F.col("specifier"))).alias("c"))
+             .select(*key, "c.ord", "c.cand"))
+    hits = cands.join(corpus_paths.select(F.col("path").alias("cand")), "cand")
+    found = hits.groupBy(*key).agg(F.min_by("cand", "ord").alias("dst"))
+    return salted_join(asked, found, key).select("src", "specifier", "dst")

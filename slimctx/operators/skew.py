@@ -1,59 +1,23 @@
-"""Hot-key split for equi-joins (one key may hold a third of all rows).
+"""Salted equi-join: one plan for every size and every distribution of keys.
 
-A hub file is reached from a large share of all entries, so in the
-traversal and rewrite joins a single ``path`` value can dominate the big
-side.  ``split_hot_join`` finds such values with a partial+final
-aggregate, joins their rows by broadcasting the *matching rows of the
-small side only*, and joins every other key with the ordinary shuffle
-join (AQE's skew rule still applies there).
-
-Bounds, all checked before anything is broadcast or collected:
-
-* a key is hot when it holds more than ``1/max_hot`` of the big side's
-  rows (and at least ``min_rows``), so there are at most ``max_hot`` hot
-  keys and only that list reaches the driver;
-* the small side's rows for those keys are counted and broadcast only
-  when they are at most ``max_broadcast_rows``; otherwise the plain join
-  (with AQE skew splitting) is used.
-
-Tuning: session settings ``slimctx.skew.minRows`` (default 100000),
-``slimctx.skew.maxHot`` (1000), ``slimctx.skew.maxBroadcastRows``
-(1000000).
-"""
+A hub file is reached from a large share of all entries, so one key can hold
+a third of the big side.  The big side is dealt out by key and a salt hashed
+from its whole row, the small side is repeated once per salt; a key's rows
+then spread over ``SALTS`` tasks whatever their number.  The small sides are
+slim (edges, token counts), never file texts.  Nothing is counted, collected
+or broadcast by hand; adaptive execution may still broadcast a side that it
+has measured to be small, or split a partition further."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _conf(df: DataFrame, key: str, default: int) -> int:
-    return int(df.sparkSession.conf.get(f"slimctx.skew.{key}", str(default)))
-
-
-def hot_values(big: DataFrame, key: str, max_hot: int, min_rows: int) -> list:
-    """Values of ``key`` holding more than 1/max_hot of ``big`` (≤ max_hot values)."""
-    n = big.count()
-    threshold = max(n // max_hot, min_rows - 1)
-    if n <= threshold:
-        return []
-    hot = (big.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-           .where(F.col("_n") > threshold).select(key).limit(max_hot))
-    return [r[0] for r in hot.collect()]
+SALTS = 8
 
 
-def split_hot_join(big: DataFrame, small: DataFrame, on: list[str], key: str, how: str = "inner") -> DataFrame:
-    """``big.join(small, on, how)`` with hot ``key`` values split off."""
-    max_hot = _conf(big, "maxHot", 1000)
-    min_rows = _conf(big, "minRows", 100000)
-    max_bc = _conf(big, "maxBroadcastRows", 1000000)
-    hot = hot_values(big, key, max_hot, min_rows)
-    if not hot:
-        return big.join(small, on, how)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))     # null keys stay cold
-    small_hot = small.where(is_hot)
-    if small_hot.count() > max_bc:          # size check before any broadcast
-        return big.join(small, on, how)
-    cold = big.where(~is_hot).join(small.where(~is_hot), on, how)
-    warm = big.where(is_hot).join(F.broadcast(small_hot), on, how)
-    return cold.unionByName(warm)
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``big.join(small, on, how)`` (inner or left) with the keys salted."""
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
+    every = small.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return salted.join(every, [*on, "_salt"], how).drop("_salt")

@@ -28,7 +28,9 @@ from slimctx.session import materialize as _materialize
 
 class CorpusIndex:
     def __init__(self, files: DataFrame, materialize: bool = True,  # noqa: F811
-                 token_expr: TokenExpr = heuristic_tokens):
+                 token_expr: TokenExpr = heuristic_tokens, listing: DataFrame | None = None):
+        """``listing``: every path of the tree, when some of its files could not
+        be read; imports may then resolve to files that ``files`` lacks."""
         self.spark = files.sparkSession
         self.files = files
         self.token_expr = token_expr
@@ -41,13 +43,20 @@ class CorpusIndex:
             # survives executor loss (never a local checkpoint)
             parsed = _materialize(parsed)
         self.parsed = parsed
-        self.paths = files.select("path")
-        self.resolved = resolve_specifiers(parsed, self.paths)
+        self.paths = parsed.select("path")
+        self.resolved = resolve_specifiers(parsed, listing if listing is not None else self.paths)
+        if materialize:
+            self.resolved = _materialize(self.resolved)
         sym_edges, star_edges = G.symbol_edges(parsed, self.resolved)
         if materialize:
             # read once per traversal level
             sym_edges, star_edges = _materialize(sym_edges), _materialize(star_edges)
+        #: all edges, also to files that could not be read
         self.sym_edges, self.star_edges = sym_edges, star_edges
+        readable = self.paths.select(F.col("path").alias("dst"))
+        self._open_sym, self._open_star = (
+            (sym_edges, star_edges) if listing is None else
+            (sym_edges.join(readable, "dst", "left_semi"), star_edges.join(readable, "dst", "left_semi")))
 
     # ------------------------------------------------------------ seeds
     def seeds(self, entries: Iterable[str] | DataFrame | None = None,
@@ -56,6 +65,8 @@ class CorpusIndex:
         ``entry`` (and optionally ``syms``), or None for every file.
         ``symbols`` — comma list or list applied to all entries; missing →
         exported symbols (else all) of each entry."""
+        if entries is None and not symbols:
+            return P.default_request(self.parsed).select(F.col("path").alias("entry"), "syms")
         if entries is None:
             ent = self.paths.select(F.col("path").alias("entry"))
         elif isinstance(entries, DataFrame):
@@ -77,7 +88,16 @@ class CorpusIndex:
         """E5: ``nodes(entry, path, depth, syms)``; only files of the corpus
         become nodes (unresolved imports are dropped, P5/P12)."""
         fn = G.bfs if mode == "bfs" else G.closure
-        return fn(seeds, self.sym_edges, self.star_edges, depth)
+        return fn(seeds, self._open_sym, self._open_star, depth)
+
+    def file_edges(self) -> DataFrame:
+        """(src, specifier, dst, readable): a dependency that cannot be read
+        keeps its edge, its file is skipped by the traversal (P12)."""
+        known = self.paths.select(F.col("path").alias("dst"), F.lit(True).alias("known"))
+        edges = self.sym_edges.select("src", "specifier", "dst").unionByName(
+            self.star_edges.select("src", "specifier", "dst")).distinct()
+        return edges.join(known, "dst", "left").select(
+            "src", "specifier", "dst", F.coalesce("known", F.lit(False)).alias("readable"))
 
     def prune(self, seeds: DataFrame, depth: int = 3, mode: str = "bfs", root: str | None = None) -> DataFrame:
         """One row per (entry, reachable file) with the pruned source."""
@@ -117,6 +137,28 @@ def render_text(pruned: DataFrame) -> DataFrame:
     return per.select("entry", "total_tokens", "files", text.alias("text"))
 
 
+def render_blocks(pruned: DataFrame) -> DataFrame:
+    """S7 for entries of any size: (entry, part, depth, path, text) rows, the
+    files of an entry (part 0) and its footer (part 1).  Nothing is gathered
+    per entry; sorted by all columns but ``text`` the rows are the document."""
+    block = F.concat(F.lit("# === "), F.col("rel_path"), F.lit(" ("), F.col("estimated_tokens").cast("string"),
+                     F.lit(" tokens) ===\n"),
+                     F.regexp_replace(F.regexp_replace("source", r"\s+$", ""), r"^\s+", ""), F.lit("\n"))
+    total = pruned.groupBy("entry").agg(F.sum("estimated_tokens").cast("string").alias("t"),
+                                        F.count(F.lit(1)).cast("string").alias("n"))
+    footer = F.concat(F.lit("# ---\n# Total: "), F.col("t"), F.lit(" tokens across "), F.col("n"), F.lit(" file(s)\n"))
+    return (pruned.select("entry", F.lit(0).alias("part"), "depth", "path", block.alias("text"))
+            .unionByName(total.select("entry", F.lit(1).alias("part"), F.lit(0).alias("depth"),
+                                      F.lit("").alias("path"), footer.alias("text"))))
+
+
+def write_text(pruned: DataFrame, path: str) -> None:
+    """The text documents of all entries in order, as text files."""
+    order = ["entry", "part", "depth", "path"]
+    (render_blocks(pruned).repartitionByRange(*order).sortWithinPartitions(*order)
+     .select("text").write.mode("overwrite").text(path))
+
+
 def render_json(pruned: DataFrame, seeds: DataFrame) -> DataFrame:
     """One JSON document per entry (fixed key order)."""
     f = F.struct(F.col("path"), F.col("rel_path"), F.col("depth"), F.col("is_entry"), F.col("symbols"),

@@ -198,10 +198,26 @@ def q_render_text(spark, sf_dir):
     return render_text(_sweep_pruned(spark, sf_dir))
 
 
+JSON_SCHEMA = ("entry string, requested_symbols array<string>, total_tokens bigint, files array<struct<path:string,"
+               "rel_path:string,depth:int,is_entry:boolean,symbols:array<string>,source:string,"
+               "estimated_tokens:bigint>>")
+
+
 def q_render_json(spark, sf_dir):
+    """The JSON documents of all entries, parsed back to one row per file."""
     idx = _index(spark, sf_dir)
     seeds = idx.seeds()
-    return render_json(idx.prune(seeds), seeds)
+    docs = render_json(idx.prune(seeds), seeds).select(F.from_json("json", JSON_SCHEMA).alias("d"))
+    return (docs.select("d.entry", "d.total_tokens", _csv("d.requested_symbols").alias("requested_symbols"),
+                        F.explode("d.files").alias("f"))
+            .select("entry", "total_tokens", "requested_symbols", "f.path", "f.rel_path", "f.depth", "f.is_entry",
+                    _csv("f.symbols").alias("symbols"), "f.source", "f.estimated_tokens"))
+
+
+def q_prune_below_root(spark, sf_dir):
+    """Paths shown relative to one directory; files outside keep theirs (P10)."""
+    idx = _index(spark, sf_dir)
+    return idx.prune(idx.seeds(), root="src/p1").select("entry", "path", "rel_path", "depth")
 
 
 def q_token_estimate(spark, sf_dir):
@@ -270,9 +286,7 @@ def q_unparseable_skipped(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(
         F.concat(F.lit("web/page"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"),
         F.col("html").alias("text"))
-    tree = code.unionByName(pages)
-    kept = tree.where(extension_of(F.col("path")).isin(*SUPPORTED_EXTS))
-    skipped = tree.join(kept.select("path"), "path", "left_anti")
+    skipped = code.unionByName(pages).where(~extension_of(F.col("path")).isin(*SUPPORTED_EXTS))
     return skipped.select("path", extension_of(F.col("path")).alias("ext"),
                           language_of(F.col("path")).alias("read_as"),
                           heuristic_tokens(F.col("text")).alias("raw_tokens"))
@@ -293,15 +307,6 @@ def q_log_append_roundtrip(spark, sf_dir):
                        "pruned_tokens", "tokens_saved", "reduction_pct", "files_traversed")
 
 
-def q_python_parser_agreement(spark, sf_dir):
-    """Line rules vs the standard Python parser over every Python file
-    (non-SQL: the parser runs per Arrow batch; rows-only check)."""
-    from slimctx.operators.exact_python import agreement, exact_python_symbols
-    files = load_corpus(spark, sf_dir)
-    rules = symbols_table(parse_files(files)).where(F.col("language") == "python")
-    return agreement(rules, exact_python_symbols(files))
-
-
 CORPUS_QUERIES = {
     "corpus_language_counts": q_corpus_language_counts,
     "symbols_py": q_symbols_py,
@@ -325,6 +330,7 @@ CORPUS_QUERIES = {
     "prune_files": q_prune_files,
     "render_text": q_render_text,
     "render_json": q_render_json,
+    "prune_below_root": q_prune_below_root,
     "token_estimate": q_token_estimate,
     "token_totals": q_token_totals,
     "bench_entry": q_bench_entry,
@@ -334,6 +340,5 @@ CORPUS_QUERIES = {
     "invalid_utf8": q_invalid_utf8,
     "unparseable_skipped": q_unparseable_skipped,
     "log_append_roundtrip": q_log_append_roundtrip,
-    "python_parser_agreement": q_python_parser_agreement,
 }
 

@@ -68,8 +68,8 @@ def _streamed(spark, sf_dir, series):
     first = F.col("event_type").isin("click", "view")
     for wave in (first, ~first):
         (log_from_events(events.where(wave))
-         .write.mode("append").option("maxRecordsPerFile", 2500).json(log_dir))
-        result = catch_up(spark, log_dir, work, series, max_files_per_trigger=8)
+         .write.mode("append").json(log_dir))
+        result = catch_up(spark, log_dir, work, series)
     return result
 
 
@@ -81,6 +81,14 @@ def q_stream_daily_cumulative(spark, sf_dir):
     return _streamed(spark, sf_dir, "daily_cumulative")
 
 
+def q_stream_per_file(spark, sf_dir):
+    return _streamed(spark, sf_dir, "per_file")
+
+
+def q_stream_histogram(spark, sf_dir):
+    return _streamed(spark, sf_dir, "histogram")
+
+
 LOG_QUERIES = {
     "log_totals": q_log_totals,
     "log_mean_reduction": q_log_mean_reduction,
@@ -92,4 +100,6 @@ LOG_QUERIES = {
     "log_malformed_lines": q_log_malformed_lines,
     "stream_log_totals": q_stream_log_totals,
     "stream_daily_cumulative": q_stream_daily_cumulative,
+    "stream_per_file": q_stream_per_file,
+    "stream_histogram": q_stream_histogram,
 }

@@ -1,17 +1,17 @@
 """DuckDB oracle SQL for the corpus queries.
 
-Written as plain SQL over the pre-registered ``documents`` view: lines are
-unnested with their index, statement boundaries come from window functions
-(running count of non-decorator lines, ``lead`` for the next boundary), and
-the traversal is three unrolled levels with anti joins.  The file text
-itself comes from the shared template in ``slimctx.sources.corpus`` so both
-engines see identical bytes.
+Written as plain SQL over the pre-registered ``documents`` view.  The expected
+symbols, signatures, lines and imports follow by construction from the
+statements of the templates (``slimctx.sources.corpus``) and doc_id
+arithmetic; no file is parsed here.  The traversal is three unrolled levels
+with anti joins.
 """
 
 from __future__ import annotations
 
 from slimctx.functions.text import IDENT_RE
-from slimctx.sources.corpus import content_sql, path_sql
+from slimctx.sources.corpus import (COMMENT, TEMPLATES, Stmt, content_sql, path_sql,
+                                    statement_lines)
 
 
 def q(s: str) -> str:
@@ -75,240 +75,61 @@ files AS (
 
 # ---------------------------------------------------------------- extraction
 
+def _start(template: list[Stmt], k: int, comment_lines: str) -> str:
+    """The line a statement begins at: what stands before it."""
+    parts = ["0"]
+    for st in template[:k]:
+        n = " + ".join(comment_lines if x == COMMENT else "1" for x in st.lines)
+        parts.append(f"CASE WHEN {st.when} THEN {n} ELSE 0 END" if st.when else f"({n})")
+    return " + ".join(parts)
+
+
+def _text(lines: list[str]) -> str:
+    return " || chr(10) || ".join(f"({x})" for x in lines)
+
+
+def _expected() -> tuple[str, str]:
+    """The rows of all symbols and imports, from the templates alone."""
+    symbols, imports = [], []
+    for cond, prefix, template in TEMPLATES:
+        for k, st in enumerate(template):
+            where = f"{cond} AND ({st.when})" if st.when else cond
+            begin = _start(template, k, "n_comment")
+            text = _text(statement_lines(st, "duckdb", prefix, False))
+            for sub, y in enumerate(st.symbols):
+                symbols.append(
+                    f"SELECT path, {begin} AS \"begin\", {st.skip} AS skip, {sub} AS sub, {y.name} AS name, "
+                    f"'{y.kind}' AS kind, {str(y.exported).lower()} AS is_exported, "
+                    f"{str(y.sig is not None).lower()} AS has_body, {text} AS ftext, "
+                    f"{_text(y.sig) if y.sig is not None else text} AS sig FROM docs2 WHERE {where}")
+            whole = _text(statement_lines(st, "duckdb", prefix))
+            for sub, (local, export, spec) in enumerate(st.imports):
+                imports.append(
+                    f"SELECT path, {begin} + {st.skip} AS line, {sub} AS sub, {whole} AS stmt, {local} AS local_name, "
+                    f"{export} AS export_name, {spec} AS specifier FROM docs2 WHERE {where}")
+    return "\nUNION ALL\n".join(symbols), "\nUNION ALL\n".join(imports)
+
+
+_SYMBOLS, _IMPORTS = _expected()
+
+# What every statement holds is known from the template that made it: nothing
+# below parses a file.  The only pattern is that of an identifier.
 EXTRACT = f"""
-flines AS (SELECT path, language, string_split(text, chr(10)) AS lines FROM files),
-lns AS (
-  SELECT path, language, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS ln FROM flines
+docs2 AS (
+  SELECT *, {path_sql()} AS path,
+         1 + length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS n_comment
+  FROM docs
 ),
-bnd AS (
-  SELECT path, language, ln,
-         CASE WHEN (language = 'python' AND {rx('line', r'^#')})
-                OR (language <> 'python' AND {rx('line', r'^(//|/\*)')}) THEN 'c'
-              WHEN starts_with(line, '@') THEN 'd' ELSE 'x' END AS k
-  FROM lns WHERE {rx('line', r'^[^\s)\]}]')}
-),
-bnd2 AS (
-  SELECT *,
-         lead(ln) OVER (PARTITION BY path ORDER BY ln) AS next_ln,
-         coalesce(sum(CASE WHEN k <> 'd' THEN 1 ELSE 0 END)
-                  OVER (PARTITION BY path ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp
-  FROM bnd
-),
-bnd3 AS (SELECT *, min(ln) OVER (PARTITION BY path, grp) AS begin_ln FROM bnd2),
-units AS (
-  SELECT b.path, b.language, f.lines, b.ln AS line, b.begin_ln AS "begin",
-         coalesce(b.next_ln, len(f.lines)) AS "end"
-  FROM bnd3 b JOIN flines f USING (path) WHERE b.k = 'x'
-),
-u AS (
-  SELECT *, lines[line + 1] AS decl,
-         array_to_string(list_slice(lines, "begin" + 1, "end"), chr(10)) AS raw
-  FROM units
-),
--- imports ----------------------------------------------------------------
-py_imp_u AS (
-  SELECT path, line, {rstrip('raw')} AS stmt,
-         trim({collapse(f"regexp_replace(raw, {q('#[^' + chr(10) + ']*')}, '', 'g')")}) AS t
-  FROM u WHERE language = 'python'
-),
-py_imp AS (
-  SELECT path, line, stmt,
-         CASE WHEN {rx('x', r'\s+as\s+')} THEN {ex('x', r'\s+as\s+(\S+)$')}
-              ELSE regexp_replace(x, {q(r'\s+as\s+.*$')}, '') END AS local_name,
-         CASE WHEN {rx('x', r'\s+as\s+')}
-              THEN string_split(regexp_replace(x, {q(r'\s+as\s+.*$')}, ''), '.')[-1]
-              ELSE regexp_replace(x, {q(r'\s+as\s+.*$')}, '') END AS export_name,
-         {ex('t', r'^from\s+(\.*)\s*([\w.]*)\s+import\s+(.*)$', 1)}
-           || {ex('t', r'^from\s+(\.*)\s*([\w.]*)\s+import\s+(.*)$', 2)} AS specifier
-  FROM (SELECT *, unnest({split_names(f"regexp_replace({ex('t', r'^from\s+(\.*)\s*([\w.]*)\s+import\s+(.*)$', 3)}, '[()]', '', 'g')")}) AS x
-        FROM py_imp_u WHERE {rx('t', r'^from\s')})
-  UNION ALL
-  SELECT path, line, stmt,
-         CASE WHEN {rx('x', r'\s+as\s+')} THEN {ex('x', r'\s+as\s+(\S+)$')}
-              ELSE regexp_replace(x, {q(r'\s+as\s+.*$')}, '') END,
-         regexp_replace(x, {q(r'\s+as\s+.*$')}, ''),
-         regexp_replace(x, {q(r'\s+as\s+.*$')}, '')
-  FROM (SELECT *, unnest({split_names(ex('t', r'^import\s+(.*)$'))}) AS x
-        FROM py_imp_u WHERE {rx('t', r'^import\s')})
-),
-js_imp_u AS (
-  SELECT path, line, {rstrip('raw')} AS stmt, trim({collapse('raw')}) AS t FROM u WHERE language <> 'python'
-),
-js_es AS (
-  SELECT path, line, stmt,
-         {ex('t', r'''^import\s+(?:type\s+)?(.*?)\s*from\s*["'`]([^"'`]*)["'`]''', 1)} AS clause,
-         {ex('t', r'''^import\s+(?:type\s+)?(.*?)\s*from\s*["'`]([^"'`]*)["'`]''', 2)} AS spec
-  FROM js_imp_u WHERE {rx('t', r'^import\s')}
-),
-js_rq AS (
-  SELECT path, line, stmt,
-         {ex('t', r'''^(?:const|let|var)\s+(\{[^}]*\}|''' + NAME + r''')\s*=\s*require\(\s*["'`]([^"'`]*)["'`]\s*\)''', 1)} AS pat,
-         {ex('t', r'''^(?:const|let|var)\s+(\{[^}]*\}|''' + NAME + r''')\s*=\s*require\(\s*["'`]([^"'`]*)["'`]\s*\)''', 2)} AS spec
-  FROM js_imp_u
-),
-js_imp AS (
-  SELECT path, line, stmt, {ex('clause', '^(' + NAME + ')')} AS local_name, 'default' AS export_name, spec AS specifier
-  FROM js_es WHERE spec <> '' AND {ex('clause', '^(' + NAME + ')')} <> ''
-  UNION ALL
-  SELECT path, line, stmt,
-         CASE WHEN {rx('x2', r'\s+as\s+')} THEN {ex('x2', r'\s+as\s+(' + NAME + ')')} ELSE x2 END,
-         regexp_replace(x2, {q(r'\s+as\s+.*$')}, ''), spec
-  FROM (SELECT *, regexp_replace(x, {q(r'^type\s+')}, '') AS x2
-        FROM (SELECT *, unnest({split_names(ex('clause', r'\{([^}]*)\}'))}) AS x FROM js_es WHERE spec <> ''))
-  UNION ALL
-  SELECT path, line, stmt, {ex('clause', r'\*\s*as\s+(' + NAME + ')')}, '*', spec
-  FROM js_es WHERE spec <> '' AND {ex('clause', r'\*\s*as\s+(' + NAME + ')')} <> ''
-  UNION ALL
-  SELECT path, line, stmt,
-         CASE WHEN contains(x, ':') THEN trim({ex('x', r':\s*(.*)$')}) ELSE x END,
-         trim(regexp_replace(x, {q(':.*$')}, '')), spec
-  FROM (SELECT *, unnest({split_names("regexp_replace(pat, '[{}]', '', 'g')")}) AS x
-        FROM js_rq WHERE spec <> '' AND starts_with(pat, '{{'))
-  UNION ALL
-  SELECT path, line, stmt, pat, 'default', spec
-  FROM js_rq WHERE spec <> '' AND NOT starts_with(pat, '{{')
-),
-imps AS (SELECT * FROM py_imp UNION ALL SELECT * FROM js_imp),
+imps AS ({_IMPORTS}),
 locs AS (SELECT path, list_distinct(list(local_name)) AS locals FROM imps GROUP BY path),
--- python symbols ------------------------------------------------------------
-py_s0 AS (
-  SELECT u.*,
-         {ex('decl', r'^(?:async\s+)?def\s+([A-Za-z_]\w*)')} AS fn,
-         {ex('decl', r'^class\s+([A-Za-z_]\w*)')} AS cl,
-         {ex('decl', r'^([A-Za-z_]\w*)\s*(?::[^=]*)?=(?:[^=]|$)')} AS va,
-         list_position(list_transform(list_slice(lines, line + 1, "end"),
-                                      lambda l: {rx('l', r':\s*(#.*)?$')}), true) AS p
-  FROM u WHERE language = 'python'
-),
-py_sym AS (
-  SELECT path, line, "begin", 0 AS sub, raw, {rstrip('raw')} AS ftext,
-         CASE WHEN fn <> '' THEN fn WHEN cl <> '' THEN cl ELSE va END AS name,
-         CASE WHEN fn <> '' THEN 'function' WHEN cl <> '' THEN 'class' ELSE 'variable' END AS kind,
-         true AS is_exported, (fn <> '' OR cl <> '') AS has_body,
-         CASE WHEN (fn <> '' OR cl <> '') AND coalesce(p, 0) > 0
-              THEN {rstrip("array_to_string(list_slice(lines, \"begin\" + 1, line + p), chr(10))")}
-                   || chr(10) || '    pass'
-              ELSE {rstrip('raw')} END AS sig
-  FROM py_s0 WHERE fn <> '' OR cl <> '' OR va <> ''
-),
--- javascript / typescript symbols -----------------------------------------
-js_s0 AS (
-  SELECT u.*, language = 'typescript' AS is_ts,
-         {rx('decl', r'^export\s')} AS exported,
-         {rx('decl', r'^export\s+default\s')} AS is_default,
-         {rx('decl', r'^export\s*\{')} AS is_clause,
-         {rx('decl', r'^module\.exports\s*=')} AS mexp,
-         regexp_replace(decl, {q(r'^export\s+(default\s+)?')}, '') AS body0
-  FROM u WHERE language <> 'python'
-),
-js_s1 AS (
-  SELECT *,
-         {rx('body0', r'^(async\s+)?function\b')} AS is_fn,
-         {ex('body0', r'^(?:async\s+)?function\b\s*\*?\s*(' + NAME + ')')} AS fn_name,
-         {rx('body0', r'^class\b')} AS is_cls,
-         {ex('body0', r'^class\s+(' + NAME + ')')} AS cls_name,
-         {ex('body0', r'^(?:const|let|var)\s+(' + NAME + ')')} AS var_name,
-         {ex('body0', r'^(?:const|let|var)\s+' + NAME + r'\s*(?::[^=]*)?=\s*(.*)$')} AS rhs,
-         {ex('body0', r'^interface\s+(' + NAME + ')')} AS iface,
-         {ex('body0', r'^type\s+(' + NAME + ')')} AS talias,
-         {ex('body0', r'^(?:const\s+)?enum\s+(' + NAME + ')')} AS enum_name,
-         {ex('body0', r'^declare\s+function\s+(' + NAME + ')')} AS declared
-  FROM js_s0
-),
-js_s2 AS (
-  SELECT *,
-         CASE WHEN fn_name <> '' THEN fn_name WHEN is_default THEN 'default' END AS fname,
-         CASE WHEN cls_name <> '' THEN cls_name WHEN is_default THEN 'default' END AS cname,
-         {rx('rhs', r'^(async\s+)?(\([^)]*\)\s*(:[^=]*)?=>|' + NAME + r'\s*=>)')} AS is_arrow,
-         {rx('rhs', r'^(async\s+)?function\b')} AS is_fexpr,
-         CASE WHEN exported AND NOT is_default AND NOT is_clause
-              THEN regexp_replace(decl, {q(r'^export\s+')}, '') ELSE decl END AS decl_out
-  FROM js_s1
-),
-js_s3 AS (
-  SELECT *,
-         CASE WHEN mexp THEN 'variable'
-              WHEN is_fn AND fname IS NOT NULL THEN 'function'
-              WHEN is_cls AND cname IS NOT NULL THEN 'class'
-              WHEN is_ts AND iface <> '' THEN 'interface'
-              WHEN is_ts AND talias <> '' THEN 'type'
-              WHEN is_ts AND enum_name <> '' THEN 'type'
-              WHEN is_ts AND declared <> '' THEN 'function'
-              WHEN var_name <> '' AND (is_arrow OR is_fexpr) THEN 'function'
-              WHEN var_name <> '' THEN 'variable' END AS kind,
-         CASE WHEN mexp THEN 'module.exports'
-              WHEN is_fn AND fname IS NOT NULL THEN fname
-              WHEN is_cls AND cname IS NOT NULL THEN cname
-              WHEN is_ts AND iface <> '' THEN iface
-              WHEN is_ts AND talias <> '' THEN talias
-              WHEN is_ts AND enum_name <> '' THEN enum_name
-              WHEN is_ts AND declared <> '' THEN declared
-              WHEN var_name <> '' THEN var_name END AS name,
-         (is_ts AND declared <> '' AND NOT is_fn) AS is_declare,
-         array_to_string(list_transform(list_slice(lines, "begin" + 1, "end"),
-             lambda l, k: CASE WHEN k - 1 = line - "begin" THEN decl_out ELSE l END), chr(10)) AS raw2
-  FROM js_s2
-),
-js_s4 AS (
-  SELECT *, {rstrip('raw2')} AS ftext, line - "begin" AS r0 FROM js_s3
-),
-js_s5 AS (
-  SELECT *, string_split(ftext, chr(10)) AS fl,
-         coalesce(list_position(list_transform(list_slice(string_split(ftext, chr(10)), r0 + 1, len(string_split(ftext, chr(10)))),
-                                      lambda l: {rx('l', r'\{\s*$')}), true), 0) AS qq
-  FROM js_s4
-),
-js_s6 AS (
-  SELECT *, r0 + qq AS hdr_n,
-         list_filter(list_slice(fl, r0 + qq + 1, len(fl) - 1), lambda l: {rx('l', r'\S')}) AS nonblank
-  FROM js_s5
-),
-js_s7 AS (
-  SELECT *, list_min(list_transform(nonblank, lambda l: length({ex('l', r'^[ \t]*', 0)}))) AS ind FROM js_s6
-),
-js_sig AS (
-  SELECT *,
-    CASE
-      WHEN kind = 'function' AND NOT is_declare THEN
-        CASE WHEN qq > 0 THEN
-               array_to_string(list_concat(list_slice(fl, 1, hdr_n - 1),
-                   [regexp_replace(fl[hdr_n], {q(r'\s*\{\s*$')}, '')]), chr(10))
-               || ' {{}}' || {ex('ftext', r'\}([^}' + chr(10) + r']*)$')}
-             WHEN is_arrow THEN {ex('ftext', r'^([^' + chr(10) + r']*?=>)')} || ' {{}}'
-                               || CASE WHEN {rx('ftext', ';$')} THEN ';' ELSE '' END
-             ELSE ftext END
-      WHEN kind = 'class' THEN
-        CASE WHEN qq > 0 AND len(fl) > hdr_n THEN
-               array_to_string(list_concat(list_slice(fl, 1, hdr_n),
-                   list_transform(list_filter(nonblank,
-                       lambda l: length({ex('l', r'^[ \t]*', 0)}) = ind AND NOT {rx('l', r'^\s*\}')}),
-                       lambda l: regexp_replace(l, {q(r'\{\s*$')}, '{{}}')),
-                   [fl[-1]]), chr(10))
-             ELSE ftext END
-      ELSE ftext END AS sig
-  FROM js_s7
-),
-js_sym AS (
-  SELECT path, line, "begin", 0 AS sub, raw2 AS raw, ftext, name, kind,
-         (mexp OR exported OR is_declare) AS is_exported,
-         ((kind = 'function' AND NOT is_declare) OR kind = 'class') AS has_body, sig
-  FROM js_sig WHERE NOT is_clause AND name IS NOT NULL
-  UNION ALL
-  SELECT path, line, "begin", sub, raw, ftext,
-         CASE WHEN {rx('x', r'\s+as\s+')} THEN {ex('x', r'\s+as\s+(' + NAME + ')')} ELSE x END,
-         'variable', true, false, ftext
-  FROM (SELECT path, line, "begin", raw2 AS raw, ftext,
-               unnest({split_names(ex(collapse('ftext'), r'\{([^}]*)\}'))}) AS x,
-               generate_subscripts({split_names(ex(collapse('ftext'), r'\{([^}]*)\}'))}, 1) AS sub
-        FROM js_sig WHERE is_clause)
-),
-syms0 AS (SELECT * FROM py_sym UNION ALL SELECT * FROM js_sym),
+syms0 AS ({_SYMBOLS}),
 syms AS (
-  SELECT s.path, CAST(row_number() OVER (PARTITION BY s.path ORDER BY s.line, s.sub) - 1 AS INTEGER) AS ord,
-         s.name, s.kind, s."begin" AS start_line, s.line AS decl_line,
-         s."begin" + len(string_split(s.ftext, chr(10))) - 1 AS end_line,
+  SELECT s.path,
+         CAST(row_number() OVER (PARTITION BY s.path ORDER BY s."begin", s.sub) - 1 AS INTEGER) AS ord,
+         s.name, s.kind, CAST(s."begin" AS INTEGER) AS start_line, CAST(s."begin" + s.skip AS INTEGER) AS decl_line,
+         CAST(s."begin" + len(string_split(s.ftext, chr(10))) - 1 AS INTEGER) AS end_line,
          s.is_exported, s.has_body, s.ftext AS text, s.sig,
-         list_intersect(list_distinct(regexp_extract_all(s.raw, {q(IDENT_RE)}, 1)),
+         list_intersect(list_distinct(regexp_extract_all(s.ftext, {q(IDENT_RE)}, 1)),
                         coalesce(l.locals, [])) AS used
   FROM syms0 s LEFT JOIN locs l USING (path)
 )"""
@@ -555,9 +376,9 @@ FROM syms s JOIN files f USING (path) WHERE f.language = 'javascript'""",
 SELECT s.path, s.ord, s.name, s.kind, s.start_line, s.decl_line, s.end_line, s.is_exported, s.has_body
 FROM syms s JOIN files f USING (path) WHERE f.language = 'typescript'""",
     "imports_py": _SYMS_BASE + """
-SELECT path, line, local_name, export_name, specifier FROM py_imp""",
+SELECT path, line, local_name, export_name, specifier FROM imps WHERE path LIKE '%.py'""",
     "imports_js": _SYMS_BASE + """
-SELECT path, line, local_name, export_name, specifier FROM js_imp""",
+SELECT path, line, local_name, export_name, specifier FROM imps WHERE path NOT LIKE '%.py'""",
     "identifiers_per_symbol": _SYMS_BASE + f"""
 SELECT path, ord, name, len(list_distinct(regexp_extract_all(text, {q(IDENT_RE)}, 1))) AS n_identifiers,
        {_csv('list_sort(used)')} AS used
@@ -624,6 +445,13 @@ SELECT entry, CAST(sum(estimated_tokens) AS BIGINT) AS total_tokens, count(*) AS
        || CAST(sum(estimated_tokens) AS VARCHAR) || ' tokens across ' || CAST(count(*) AS VARCHAR)
        || ' file(s)' || chr(10) AS text
 FROM blocks GROUP BY entry""",
+    "render_json": FULL_PRUNE + f"""
+SELECT p.entry, b.pruned_tokens AS total_tokens, {_csv('b.requested_symbols')} AS requested_symbols, p.path, p.rel_path,
+       p.depth, p.is_entry, {_csv('p.symbols')} AS symbols, p.source, p.estimated_tokens
+FROM pruned p JOIN bench b ON b.entry = p.entry""",
+    "prune_below_root": FULL_PRUNE + """
+SELECT entry, path, CASE WHEN starts_with(path, 'src/p1/') THEN substr(path, 8) ELSE path END AS rel_path, depth
+FROM pruned""",
     "token_estimate": f"""
 SELECT doc_id, length(text) AS chars, {tokens('text')} AS tokens FROM documents""",
     "token_totals": FULL_PRUNE + """

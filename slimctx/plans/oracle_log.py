@@ -102,3 +102,9 @@ FROM L"""),
 # the streamed series must equal the batch ones
 LOG_SQL["stream_log_totals"] = LOG_SQL["log_totals"]
 LOG_SQL["stream_daily_cumulative"] = LOG_SQL["log_daily_cumulative"]
+LOG_SQL["stream_per_file"] = _with("""
+SELECT coalesce(file, '<unknown>') AS file, CAST(sum(coalesce(tokens_saved, 0)) AS BIGINT) AS tokens_saved
+FROM L GROUP BY 1""")
+LOG_SQL["stream_histogram"] = _with("""
+SELECT greatest(least(CAST(floor(coalesce(reduction_pct, 0.0) / 10) AS INTEGER), 9), 0) AS bucket, count(*) AS runs
+FROM L GROUP BY 1""")

@@ -2,8 +2,9 @@
 
 Everything that needs to write intermediate data (stream inputs, stream
 checkpoints, lineage cuts) goes below ``spark.checkpoint.dir`` — the
-shared folder a cluster names.  Only when that setting is absent (tests,
-a laptop) do we create a local one.
+shared folder a cluster names.  Without that setting a local master (tests,
+a laptop) gets a folder of its own; on a cluster that is an error, since each
+executor would write to its own disk.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ SESSION_DEFAULTS = {
 }
 
 
+#: (application, folder) of every intermediate table, for ``clean_scratch``.
+_WRITTEN: list[tuple[str, str]] = []
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "slimctx", driver_memory: str | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
@@ -60,6 +65,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="slimctx-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
@@ -71,6 +79,7 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new, unique folder below the checkpoint root for one job's output."""
     root = checkpoint_root(spark)
     path = os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+    _WRITTEN.append((spark.sparkContext.applicationId, path))
     return path
 
 
@@ -84,3 +93,15 @@ def materialize(df, name: str = "table"):
     path = scratch_dir(spark, f"mat-{name}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def clean_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables this session wrote; returns how many.
+    Results that still read them have to be written first."""
+    paths = [p for app, p in _WRITTEN if app == spark.sparkContext.applicationId]
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        hadoop_path = jvm.org.apache.hadoop.fs.Path(p)
+        hadoop_path.getFileSystem(conf).delete(hadoop_path, True)
+    _WRITTEN[:] = [x for x in _WRITTEN if x[0] != spark.sparkContext.applicationId]
+    return len(paths)

@@ -3,18 +3,20 @@
 The log is an append-only folder of JSON-lines files.  The streaming
 queries keep the dashboard series up to date as new files arrive:
 
-* ``totals`` / per-file / per-day / histogram — ``groupBy`` aggregates in
-  ``complete`` mode; state is bounded by #files + #days + 10 buckets, so no
-  watermark is needed (there is no event-time window in the reference).
-* running total by day — non-time windows are not allowed on streams, so
-  each micro-batch's complete day table goes through ``foreachBatch`` and
-  the window is applied there, in batch, on one row per day.
-
-Every query writes its result table with ``foreachBatch`` (overwrite) below
-the shared checkpoint folder and keeps its checkpoint there, so a restart
-resumes from the last committed batch.  ``trigger(availableNow=True)``
-processes what is there and stops (tests, catch-up jobs); a long-running
-deployment uses ``processingTime`` instead.
+* ``totals`` / per-file / per-day / histogram are ``groupBy`` aggregates in
+  ``update`` mode: a micro-batch hands on the keys it changed, nothing else.
+  State is bounded by #files + #days + 10 buckets, so no watermark is needed
+  (there is no event-time window).
+* running total by day: non-time windows are not allowed on streams, so the
+  window is applied when the series is read, on one row per day.
+
+Each micro-batch writes the changed rows to a folder of its own, named by its
+batch id, below the shared checkpoint folder.  A batch that is replayed after
+a failure replaces its own folder, so every result counts once; readers take
+the row of the latest batch of every key and never miss an earlier one.  A
+restart resumes from the checkpoint.  ``trigger(availableNow=True)`` processes
+what is there and stops (tests, catch-up jobs); a long-running deployment uses
+``processingTime`` instead.
 """
 
 from __future__ import annotations
@@ -28,15 +30,23 @@ from slimctx.operators import report
 from slimctx.sources.usage_log import stream_log
 
 
-def _run(agg: DataFrame, out: str, ckpt: str, transform=None, available_now: bool = True,
-         processing_time: str | None = None):
-    def write(batch: DataFrame, epoch: int) -> None:
-        res = transform(batch) if transform else batch
-        res.write.mode("overwrite").parquet(out)
+def write_batch(batch: DataFrame, batch_id: int, out: str) -> None:
+    batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+
+def read_series(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """The latest row of every key."""
+    rows = spark.read.parquet(out)
+    values = F.struct(*[c for c in rows.columns if c not in keys and c != "batch"])
+    return (rows.groupBy(*keys).agg(F.max_by(values, "batch").alias("v"))
+            .select(*keys, "v.*"))
 
-    w = (agg.writeStream.outputMode("complete")
+
+def _run(agg: DataFrame, out: str, ckpt: str, available_now: bool = True,
+         processing_time: str | None = None):
+    w = (agg.writeStream.outputMode("update")
          .option("checkpointLocation", ckpt)
-         .foreachBatch(write))
+         .foreachBatch(lambda batch, batch_id: write_batch(batch, batch_id, out)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "30 seconds")
     return w.start()
 
@@ -65,23 +75,23 @@ def _agg_hist(log: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("runs")))
 
 
+#: name -> (aggregate, key columns, what is applied when the series is read)
 SERIES = {
-    "totals": (_agg_totals, None),
-    "daily_cumulative": (_agg_days, _running),
-    "per_file": (_agg_files, None),
-    "histogram": (_agg_hist, None),
+    "totals": (_agg_totals, [], None),
+    "daily_cumulative": (_agg_days, ["day"], _running),
+    "per_file": (_agg_files, ["file"], None),
+    "histogram": (_agg_hist, ["bucket"], None),
 }
 
 
 def start_series(spark: SparkSession, log_dir: str, work_dir: str, series: str,
                  max_files_per_trigger: int | None = None, available_now: bool = True):
-    """Start one dashboard series as a streaming query over ``log_dir``.
-    Results land in ``work_dir/<series>/out`` (parquet)."""
-    agg_fn, post = SERIES[series]
+    """Start one dashboard series as a streaming query over ``log_dir``; its
+    batches land in ``work_dir/<series>/out`` (see ``read_series``)."""
     log = stream_log(spark, log_dir, max_files_per_trigger)
     out = os.path.join(work_dir, series, "out")
     ckpt = os.path.join(work_dir, series, "checkpoint")
-    return _run(agg_fn(log), out, ckpt, post, available_now), out
+    return _run(SERIES[series][0](log), out, ckpt, available_now), out
 
 
 def catch_up(spark: SparkSession, log_dir: str, work_dir: str, series: str,
@@ -92,4 +102,6 @@ def catch_up(spark: SparkSession, log_dir: str, work_dir: str, series: str,
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return spark.read.parquet(out)
+    _, keys, post = SERIES[series]
+    rows = read_series(spark, out, keys)
+    return post(rows) if post else rows

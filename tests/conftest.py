@@ -19,8 +19,6 @@ def spark():
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     apply_defaults(s)
-    # tiny inputs: let the hot-key split path run in every traversal test
-    s.conf.set("slimctx.skew.minRows", "1")
     # tests have no cluster checkpoint folder: set our own (only where unset)
     if not s.sparkContext.getCheckpointDir():
         d = tempfile.mkdtemp(prefix="slimctx-test-ckpt-")

@@ -1,6 +1,11 @@
-from slimctx.operators.extract import imports_table, parse_files, symbols_table
+import time
+
+import pytest
 from conftest import make_files
 from fixtures import DECORATED, JS_APP, JS_FORMS, PY_APP, TS_APP
+from pyspark.sql import functions as F
+
+from slimctx.operators.extract import imports_table, parse_files, symbols_table
 
 
 def _syms(spark, files):
@@ -13,68 +18,140 @@ def _imps(spark, files):
             for r in imports_table(parse_files(make_files(spark, files))).orderBy("path", "line").collect()]
 
 
-def test_python_symbols_and_imports(spark):
-    s = _syms(spark, PY_APP)
-    assert {n for (p, n) in s if p == "app/main.py"} == {"hello", "spare", "Settings"}
-    assert s[("app/main.py", "hello")].kind == "function"
-    assert s[("app/main.py", "Settings")].kind == "class"
-    assert all(r.is_exported for r in s.values())
-    assert s[("app/main.py", "hello")].used == ["shout"]
-    assert s[("app/text.py", "shout")].sig == "def shout(s: str) -> str:\n    pass"
-    assert s[("app/text.py", "Fmt")].sig == "class Fmt:\n    pass"        # methods go too
-    assert _imps(spark, PY_APP) == [("app/main.py", "shout", "shout", ".text")]
+def _kinds(syms, path):
+    return {n: r.kind for (p, n), r in syms.items() if p == path}
+
+
+@pytest.fixture(scope="module")
+def py(spark):
+    return _syms(spark, PY_APP)
+
+
+@pytest.fixture(scope="module")
+def js(spark):
+    return _syms(spark, JS_APP)
+
+
+def test_python_symbols(py):
+    assert _kinds(py, "sky/plan.py") == {
+        "QUERY": "variable", "schedule": "function", "rise": "function", "wait": "function",
+        "Dome": "class", "limit": "variable"}
+    assert _kinds(py, "sky/units.py") == {"to_degrees": "function", "to_hours": "function", "EPOCH": "variable"}
+    assert all(r.is_exported for r in py.values())
+    assert py["sky/plan.py", "schedule"].used == ["to_degrees"]
+
 
+def test_python_text_keeps_strings_and_brackets(py):
+    q = py["sky/plan.py", "QUERY"]
+    assert q.text == 'QUERY = """\nSELECT star\ndef not_code():\n"""'
+    assert (q.start_line, q.end_line) == (9, 12)
+    assert py["sky/plan.py", "limit"].text == "limit: int = len([\n3,\n4])"
 
-def test_decorators_and_annotated_assignment(spark):
+
+def test_python_signatures(py):
+    sig = {n: r.sig for (p, n), r in py.items()}
+    assert sig["schedule"] == \
+        "def schedule(target, nights=(1, 2), *, site: dict[str, int] = None) -> list:\n    pass"
+    assert sig["rise"] == "def rise(t):\n    pass"
+    assert sig["wait"] == 'async def wait(\n    seconds,\n    label="): not the end",\n):\n    pass'
+    assert sig["Dome"] == "class Dome(object):\n    pass"
+    assert sig["to_degrees"] == "def to_degrees(hours, minutes=0):\n    pass"
+
+
+def test_python_imports(spark):
+    assert _imps(spark, PY_APP) == [("sky/plan.py", "to_degrees", "to_degrees", ".units"),
+                                    ("sky/plan.py", "os", "os", "os"),
+                                    ("sky/plan.py", "js", "json", "json")]
+
+
+def test_decorators_over_several_lines(spark):
     s = _syms(spark, DECORATED)
-    c = s[("d/deco.py", "cached")]
-    assert c.text.startswith("@functools.cache\n@other\ndef cached")
-    assert c.sig == "@functools.cache\n@other\ndef cached(x):\n    pass"
-    assert s[("d/deco.py", "VALUE")].kind == "variable"
-    assert _imps(spark, DECORATED) == [("d/deco.py", "functools", "functools", "functools")]
+    c = s["oven/heat.py", "heated"]
+    assert c.sig == "@contextlib.contextmanager\n@retry(\n    times=3,\n)\ndef heated(degrees):\n    pass"
+    assert (c.start_line, c.decl_line, c.end_line) == (3, 7, 8)
+    assert s["oven/heat.py", "PREHEAT"].kind == "variable"
 
 
-def test_javascript_commonjs(spark):
-    s = _syms(spark, JS_APP)
-    names = {n for (p, n) in s if p == "web/list.js"}
-    assert names == {"render", "compose", "module.exports"}      # no '{ fmt }' pseudo-symbol
-    assert s[("web/list.js", "compose")].kind == "function"
-    assert s[("web/list.js", "compose")].sig == "const compose = (...fs) => {};"
-    assert s[("web/list.js", "render")].sig == "function render(rows) {}"
-    assert s[("web/list.js", "module.exports")].is_exported
-    assert not s[("web/list.js", "render")].is_exported
-    assert ("web/list.js", "fmt", "fmt", "./fmtlib") in _imps(spark, JS_APP)
+def test_javascript_symbols(js):
+    assert _kinds(js, "seeds/catalog.js") == {
+        "path": "variable", "pack": "function", "label": "function", "twice": "function",
+        "inline": "function", "rows": "variable", "beds": "variable", "sow": "variable", "Plot": "class",
+        "module.exports": "variable"}
+    assert _kinds(js, "seeds/scale.js") == {"weigh": "function", "tare": "function", "module.exports": "variable"}
+
+
+def test_javascript_signatures(js):
+    sig = {n: r.sig for (p, n), r in js.items()}
+    assert sig["pack"] == "function pack({\n  kind,\n  count = 12,\n}) {}"
+    assert sig["label"] == "const label = ({\n  name,\n}) => {};"
+    assert sig["twice"] == "const twice = (f) => {};"
+    assert sig["inline"] == "function inline(a) {}"
+    assert sig["tare"] == "const tare = function (g) {};"
+    assert js["seeds/scale.js", "weigh"].sig == "function weigh(g) {}"
+    assert sig["Plot"] == ('class Plot {\n  #area = 4;\n  // grow the ( plot\n  async water(\n    litres,\n'
+                           '    { warm = false } = {},\n  ) {}\n  static of(s = "}{") {}\n}')
+    assert js["seeds/catalog.js", "label"].text.endswith("function phantom() {`;\n};")
+
+
+def test_javascript_requires(spark):
+    got = _imps(spark, JS_APP)
+    assert ("seeds/catalog.js", "weigh", "weigh", "./scale") in got
+    assert ("seeds/catalog.js", "path", "default", "path") in got and len(got) == 2
 
 
 def test_typescript(spark):
     s = _syms(spark, TS_APP)
-    assert s[("ts/model.ts", "Account")].kind == "interface"
-    assert s[("ts/model.ts", "Level")].kind == "type"
-    assert s[("ts/model.ts", "Account")].text.startswith("interface Account")   # 'export ' is cut
-    assert s[("ts/service.ts", "load")].is_exported and not s[("ts/service.ts", "local")].is_exported
-    assert s[("ts/service.ts", "load")].sig == "function load(id: number): Reply<Account> {}"
-    assert sorted(s[("ts/service.ts", "load")].used) == ["Account", "Reply"]
+    assert _kinds(s, "ferry/board.ts") == {"next": "function", "late": "function", "quay": "function"}
+    assert _kinds(s, "ferry/tables.ts") == {"Crossing": "interface", "Tide": "type", "Deck": "type",
+                                            "tidal": "function"}
+    sig = {n: r.sig for (p, n), r in s.items()}
+    assert sig["next"] == "function next(c: Crossing, at: { hour: number }): { port: string } {}"
+    assert sig["late"] == "const late = async (c: Crossing): Promise<number> => {};"
+    assert s["ferry/tables.ts", "Crossing"].text.startswith("interface Crossing")
+    assert not s["ferry/board.ts", "quay"].is_exported
+    assert sorted(s["ferry/board.ts", "next"].used) == ["Crossing", "Tide"]
 
 
 def test_es_module_forms(spark):
     s = _syms(spark, JS_FORMS)
-    assert s[("f/entry.js", "Gadget")].kind == "variable"
-    assert s[("f/entry.js", "default")].kind == "function"
-    w = s[("f/entry.js", "Widget")]
-    assert w.kind == "class" and w.is_exported
-    assert w.sig == "class Widget extends Base {\n  constructor(x) {}\n  draw() {}\n}"
-    assert s[("f/dep/index.js", "b")].kind == "variable"
+    assert _kinds(s, "map/view.js") == {"Sheet": "class", "Page": "variable", "default": "function"}
+    assert s["map/view.js", "Sheet"].sig == "class Sheet extends Paper {\n  constructor(w) {}\n  fold() {}\n}"
     imps = _imps(spark, JS_FORMS)
-    assert ("f/entry.js", "Dflt", "default", "./dep") in imps
-    assert ("f/entry.js", "alpha", "a", "./dep") in imps
-    assert ("f/entry.js", "ns", "*", "./dep") in imps
-    assert not any(i[3] == "./side.css" for i in imps)          # side-effect import: nothing
+    assert imps == [("map/view.js", "Tiles", "default", "./layer"), ("map/view.js", "scale", "zoom", "./layer"),
+                    ("map/view.js", "pan", "pan", "./layer"), ("map/view.js", "all", "*", "./layer")]
+
+
+def test_awkward_files(spark):
+    files = {"a.py": "", "b.js": "", "c.py": "\n\n# only a comment\n", "d.py": "x = 'open\ny = 1\n",
+             "e.js": "const a = `never closed\nfunction f() {}\n", "f.py": "def f(:\n  pass\n\ndef g():\n  pass\n",
+             "g.js": "const p = <p>it's (open</p>;\n\nfunction after(x) {\n  return x;\n}\n", "h.py": "@alone\n",
+             "i.js": "// " + "{" * 3000 + "\nfunction z() {}\n", "j.py": 'S = "' + "a" * 200_000 + '"\n'}
+    s = _syms(spark, files)
+    names = {p: {n for (q, n) in s if q == p} for p in files}
+    assert names == {"a.py": set(), "b.js": set(), "c.py": set(), "d.py": {"x", "y"}, "e.js": {"a"},
+                     "f.py": {"f", "g"}, "g.js": {"p", "after"}, "h.py": set(), "i.js": {"z"}, "j.py": {"S"}}
+
+
+def test_parsing_is_linear(spark):
+    def seconds(n):
+        text = "".join(f"from .m{i} import f{i}\n" for i in range(n)) + "".join(
+            f"\n\ndef g{i}(x):\n    return f{i}(x)\n" for i in range(n))
+        df = make_files(spark, {"big.py": text})
+        best = 1e9
+        for _ in range(2):
+            t = time.time()
+            got = symbols_table(parse_files(df)).agg(F.count("*"), F.sum(F.size("used"))).first()
+            best = min(best, time.time() - t)
+            assert tuple(got) == (n, n)
+        return best
+
+    seconds(100)                                   # compile
+    small, large = seconds(1600), seconds(3200)
+    assert large <= 2.5 * small + 0.5
 
 
 def test_invalid_utf8_is_replaced(spark):
-    from pyspark.sql import functions as F
-
     from slimctx.functions.text import lossy_utf8
-    df = spark.createDataFrame([(bytearray(b"ok \xc3( \xff end"),)], "b binary")
-    out = df.select(lossy_utf8(F.col("b")).alias("t")).first().t
-    assert out == b"ok \xc3( \xff end".decode("utf-8", errors="replace")
+    raw = b"sea \xe2\x28 \xfe shore"
+    df = spark.createDataFrame([(bytearray(raw),)], "b binary")
+    assert df.select(lossy_utf8(F.col("b")).alias("t")).first().t == raw.decode("utf-8", errors="replace")

@@ -25,22 +25,22 @@ def _nodes(spark, files, entry, syms, depth=3, mode="bfs"):
 
 
 def test_entry_and_dependency(spark):
-    n = _nodes(spark, PY_APP, "app/main.py", "hello")
-    assert n == {"app/main.py": (0, ["hello"]), "app/text.py": (1, ["shout"])}
+    n = _nodes(spark, PY_APP, "sky/plan.py", "schedule")
+    assert n == {"sky/plan.py": (0, ["schedule"]), "sky/units.py": (1, ["to_degrees"])}
 
 
 def test_depth_zero_is_entry_only(spark):
-    assert list(_nodes(spark, PY_APP, "app/main.py", "hello", depth=0)) == ["app/main.py"]
+    assert list(_nodes(spark, PY_APP, "sky/plan.py", "schedule", depth=0)) == ["sky/plan.py"]
 
 
 def test_cycle_terminates_and_merges_back(spark):
-    n = _nodes(spark, CYCLE, "cyc/a.py", "one", depth=5)
-    assert n == {"cyc/a.py": (0, ["one", "three"]), "cyc/b.py": (1, ["two"])}
+    n = _nodes(spark, CYCLE, "hill/up.py", "climb", depth=5)
+    assert n == {"hill/up.py": (0, ["camp", "climb"]), "hill/down.py": (1, ["rest"])}
 
 
 def test_diamond(spark):
-    n = _nodes(spark, DIAMOND, "dia/top.py", "go")
-    assert n["dia/base.py"] == (2, ["b1", "b2"])
+    n = _nodes(spark, DIAMOND, "bread/loaf.py", "bake")
+    assert n["bread/mill.py"] == (2, ["bran", "flour"])
 
 
 def test_late_merge_is_output_only_in_bfs(spark):
@@ -58,8 +58,8 @@ def test_star_imports_are_followed(spark):
 
 
 def test_javascript_traversal(spark):
-    n = _nodes(spark, JS_APP, "web/list.js", "render")
-    assert n["web/fmtlib.js"] == (1, ["fmt"])
+    n = _nodes(spark, JS_APP, "seeds/catalog.js", "pack")
+    assert n["seeds/scale.js"] == (1, ["weigh"])
 
 
 @pytest.mark.parametrize("depth", [1, 2, 3])

@@ -7,29 +7,29 @@ ALL = {**PY_APP, **JS_APP, **TS_APP}
 
 def test_prune_python(spark):
     idx = CorpusIndex(make_files(spark, PY_APP))
-    p = {r.path: r for r in idx.prune(idx.seeds(["app/main.py"], "hello")).collect()}
-    entry = p["app/main.py"].source
-    assert entry.startswith("from .text import shout\n\ndef hello(who: str) -> str:")
-    assert "spare" not in entry and "Settings" not in entry
-    assert p["app/text.py"].source == "def shout(s: str) -> str:\n    pass\n"
-    assert p["app/text.py"].estimated_tokens == max(1, len(p["app/text.py"].source) // 4)
-    assert p["app/main.py"].symbols == ["hello"]
+    p = {r.path: r for r in idx.prune(idx.seeds(["sky/plan.py"], "schedule")).collect()}
+    entry = p["sky/plan.py"].source
+    assert entry.startswith("from .units import to_degrees\n\ndef schedule(target, nights=(1, 2)")
+    assert "rise" not in entry and "Dome" not in entry
+    assert p["sky/units.py"].source == "def to_degrees(hours, minutes=0):\n    pass\n"
+    assert p["sky/units.py"].estimated_tokens == max(1, len(p["sky/units.py"].source) // 4)
+    assert p["sky/plan.py"].symbols == ["schedule"]
 
 
 def test_unknown_request_keeps_everything(spark):
     idx = CorpusIndex(make_files(spark, PY_APP))
-    p = {r.path: r for r in idx.prune(idx.seeds(["app/main.py"], "nothing_here")).collect()}
-    assert list(p) == ["app/main.py"]                       # nothing followed
-    src = p["app/main.py"].source
-    assert "def hello" in src and "def spare" in src and "class Settings" in src
-    assert p["app/main.py"].symbols == []
+    p = {r.path: r for r in idx.prune(idx.seeds(["sky/plan.py"], "nothing_here")).collect()}
+    assert list(p) == ["sky/plan.py"]                       # nothing followed
+    src = p["sky/plan.py"].source
+    assert "def schedule" in src and "def rise" in src and "class Dome" in src
+    assert p["sky/plan.py"].symbols == []
 
 
 def test_render_text(spark):
     idx = CorpusIndex(make_files(spark, PY_APP))
-    t = render_text(idx.prune(idx.seeds(["app/main.py"], "hello"))).first().text
-    assert t.startswith("# === app/main.py (")
-    assert "# === app/text.py (" in t and t.endswith(" tokens across 2 file(s)\n")
+    t = render_text(idx.prune(idx.seeds(["sky/plan.py"], "schedule"))).first().text
+    assert t.startswith("# === sky/plan.py (")
+    assert "# === sky/units.py (" in t and t.endswith(" tokens across 2 file(s)\n")
 
 
 def _bench(spark, parts):
@@ -51,5 +51,5 @@ def test_bench_invariants_and_partition_independence(spark):
         assert r["pruned_tokens"] == sum(v["pruned_tokens"] for v in files)
         assert r["pruned_tokens"] <= r["baseline_tokens"]
         assert r["compression_ratio"] >= 1.0
-    assert b["app/main.py"]["baseline_files"] == 2 and b["app/main.py"]["reduction_pct"] > 0
+    assert b["sky/plan.py"]["baseline_files"] == 2 and b["sky/plan.py"]["reduction_pct"] > 0
     assert (b, f) == _bench(spark, 16)

@@ -1,59 +1,66 @@
 import json
 
+import pytest
+from fixtures import RUNS
 from pyspark.sql import functions as F
 
 from slimctx.operators import report
 from slimctx.sources.usage_log import LOG_SCHEMA, read_log
-from fixtures import SAMPLE_LOG
 
 
 def _log(spark, tmp_path, rows, extra_lines=()):
     p = tmp_path / "log"
     p.mkdir()
-    with open(p / "part-0.json", "w") as f:
-        for r in rows:
-            f.write(json.dumps(r) + "\n")
-        for line in extra_lines:
-            f.write(line + "\n")
+    (p / "part-0.json").write_text("".join(json.dumps(r) + "\n" for r in rows)
+                                   + "".join(x + "\n" for x in extra_lines))
     return read_log(spark, str(p))
 
 
-def test_totals_and_mean(spark, tmp_path):
-    log = _log(spark, tmp_path, SAMPLE_LOG)
-    t = report.totals(log).first()
-    assert (t.total_invocations, t.total_baseline_tokens, t.total_pruned_tokens, t.total_tokens_saved) == \
-        (3, 450, 160, 290)
+def test_totals_and_means(spark, tmp_path):
+    log = _log(spark, tmp_path, RUNS)
+    assert tuple(report.totals(log).first()) == (4, 2000, 776, 1224)
     m = report.mean_reduction(log).first()
-    assert abs(m.avg_reduction_pct - 65.57) < 0.01
-    assert abs(m.weighted_reduction_pct - 64.44) < 0.01      # 290 / 450
+    assert m.avg_reduction_pct == pytest.approx(50.34)        # (25 + 91 + 42.5 + 42.86) / 4
+    assert m.weighted_reduction_pct == pytest.approx(61.2)    # 1224 / 2000
+    assert {r.part: r.tokens for r in report.token_split(log).collect()} == {"pruned": 776, "saved": 1224}
 
 
-def test_top_files_daily_histogram(spark, tmp_path):
-    log = _log(spark, tmp_path, SAMPLE_LOG)
-    top = [(r.file, r.tokens_saved) for r in report.top_files(log).collect()]
-    assert top == [("src/a.py", 170), ("src/b.py", 120)]
-    daily = [(r.day, r.cumulative_saved) for r in report.daily_cumulative(log).orderBy("day").collect()]
-    assert daily == [("2026-05-29", 190), ("2026-05-30", 290)]
+def test_files_days_and_histogram(spark, tmp_path):
+    log = _log(spark, tmp_path, RUNS)
+    assert [(r.file, r.tokens_saved) for r in report.top_files(log).collect()] == [
+        ("sky/plan.py", 910), ("ferry/board.ts", 194), ("seeds/scale.js", 120)]
+    assert [tuple(r) for r in report.daily_cumulative(log).orderBy("day").collect()] == [
+        ("2031-03-04", 1070, 1070), ("2031-03-05", 120, 1190), ("2031-03-06", 34, 1224)]
     hist = {r.label: r.runs for r in report.reduction_histogram(log).collect()}
-    assert len(hist) == 10 and hist["60-70"] == 2 and hist["70-80"] == 1
-    assert sum(hist.values()) == 3
+    assert {k: v for k, v in hist.items() if v} == {"20-30": 1, "40-50": 2, "90-100": 1}
+    assert len(hist) == 10
+
+
+def test_report_returns_and_writes_every_series(spark, tmp_path):
+    log = _log(spark, tmp_path, RUNS)
+    series = report.report(log)
+    out = str(tmp_path / "series")
+    report.write_report(log, out)
+    for name, df in series.items():
+        back = spark.read.parquet(f"{out}/{name}")
+        assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    assert set(series) == {"totals", "means", "token_split", "top_files", "daily_cumulative", "histogram"}
 
 
 def test_loader_tolerance(spark, tmp_path):
-    log = _log(spark, tmp_path, SAMPLE_LOG[:1], ["", "not json", "42", '{"ts": "2026-05-29", "tokens_saved": 50}'])
+    log = _log(spark, tmp_path, RUNS[1:2], ["", "{broken", "[]", "17", '{"tokens_saved": 9}'])
     assert log.count() == 2
-    assert report.totals(log).first().total_tokens_saved == 120
+    assert report.totals(log).first().total_tokens_saved == 919
 
 
 def test_missing_log_is_empty(spark, tmp_path):
     log = read_log(spark, str(tmp_path / "nope"))
     assert log.count() == 0
-    t = report.totals(log).first()
-    assert (t.total_invocations, t.total_tokens_saved) == (0, 0)
+    assert tuple(report.totals(log).first()) == (0, 0, 0, 0)
 
 
 def test_edges_of_histogram_and_days(spark):
-    rows = [("x", None, -5.0), (None, "f", 100.0), ("2026-01-01T00:00:00Z", "f", 99.9)]
+    rows = [("x", None, -5.0), (None, "f", 100.0), ("2031-01-01T00:00:00Z", "f", 99.9)]
     log = spark.createDataFrame(rows, "ts string, file string, reduction_pct double")
     for c in LOG_SCHEMA.fieldNames():
         if c not in log.columns:
@@ -61,6 +68,5 @@ def test_edges_of_histogram_and_days(spark):
     hist = {r.bucket: r.runs for r in report.reduction_histogram(log).collect()}
     assert hist[0] == 1 and hist[9] == 2            # negative clamped, 100 % in last bucket
     days = {r.day for r in report.daily_cumulative(log).collect()}
-    assert days == {"unknown", "2026-01-01"}
-    top = {r.file for r in report.top_files(log).collect()}
-    assert "<unknown>" in top
+    assert days == {"unknown", "2031-01-01"}
+    assert "<unknown>" in {r.file for r in report.top_files(log).collect()}

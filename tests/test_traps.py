@@ -41,9 +41,9 @@ def test_render_json_structure(spark):
     from conftest import make_files
     from fixtures import PY_APP
     idx = CorpusIndex(make_files(spark, PY_APP))
-    seeds = idx.seeds(["app/main.py"], "hello")
+    seeds = idx.seeds(["sky/plan.py"], "schedule")
     doc = json.loads(render_json(idx.prune(seeds), seeds).first().json)
     assert list(doc) == ["entry", "requested_symbols", "total_tokens", "files"]
-    assert doc["requested_symbols"] == ["hello"]
+    assert doc["requested_symbols"] == ["schedule"]
     assert [f["depth"] for f in doc["files"]] == [0, 1] and doc["files"][0]["is_entry"]
     assert doc["total_tokens"] == sum(f["estimated_tokens"] for f in doc["files"])
