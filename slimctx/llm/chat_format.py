@@ -152,10 +152,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [batch.column("conv_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()),
              pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string()),
-             pa.array(cols[4], pa.int64()), batch.column("n_tokens"),
-             batch.column("n_loss_tokens")],
+             pa.array(cols[4], pa.int64())],
             names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256",
-                   "formatted_chars", "n_tokens", "n_loss_tokens"])
+                   "formatted_chars"])
 
 
 def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,10 +164,28 @@ def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   "conv_id long, turn long, role string, text string")
     chats = format_chats(table(spark, sf_dir, "conversations")
                          .select("conv_id", "turn", "role", "text").unionByName(extra))
-    return (chats.select("conv_id", "formatted", "loss_spans",
-                         F.size("token_ids").cast("long").alias("n_tokens"),
-                         F.size(F.filter("loss_mask", lambda x: x)).cast("long")
-                         .alias("n_loss_tokens"))
+    return (chats.select("conv_id", "formatted", "loss_spans")
             .mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, "
-                        "loss_chars long, loss_sha256 string, formatted_chars long, "
-                        "n_tokens long, n_loss_tokens long"))
+                        "loss_chars long, loss_sha256 string, formatted_chars long"))
+
+
+OP1_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'),
+                   (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+), c AS (
+  SELECT *, length(role) + length(text) + length('<|im_start|><|im_sep|><|im_end|>')
+         + len(regexp_extract_all(role, '<\\*\|')) + len(regexp_extract_all(text, '<\\*\|'))
+         AS chars FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text))
+         AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT)
+         AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text)
+                       FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""

@@ -523,3 +523,30 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def op7_query(docs: DataFrame) -> DataFrame:
     """Components of documents with a shingle similarity of 0.8 or more."""
     return jaccard_join(docs.select("doc_id", "text")).drop("rid")
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i + 1 : i + 5], ' ') AS sh
+  FROM (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - 4, 1))) AS i FROM w WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), links AS (
+  SELECT a, b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k
+    FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id
+  ) p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+  WHERE 100 * k >= 80 * (na.n + nb.n - k)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM w
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), low AS (
+  SELECT a, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id
+FROM w JOIN low ON low.a = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+"""

@@ -28,8 +28,11 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_chat_format": chat_format.OP1_SQL,
     "op2_decontaminate": decontaminate.OP2_SQL,
     "op4_url_filter": url_filter.OP4_SQL,
+    "op7_jaccard_join": jaccard_join.OP7_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
+    "op10_embedding_dedup": embedding_dedup.OP10_SQL,
 }
