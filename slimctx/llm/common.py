@@ -94,8 +94,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     self-links allowed.  Returns (node, root), root the smallest node of the
     component; nodes without a link to another node are absent.  Every round
     is two aggregations and joins over the edge list, written as a table in
-    the shared folder; no list of neighbours is ever gathered, and a node
-    with very many links is split by ``join_unique``."""
+    the shared folder; no list of neighbours is ever gathered, and the join's
+    rows of a node with very many links are split by adaptive execution."""
     e = materialize(edges.filter("a <> b")
                     .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                     .distinct(), "cc")
@@ -107,14 +107,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = (state["n"], state["h"])
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"),
-                                    F.count("*").alias("w"))
-        large = materialize(join_unique(both, low, ["u"], "w", 2 * state["n"])
-                            .filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                            .distinct(), "cc-large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("w"))
-        down = join_unique(large, low, ["u"], "w", large.count())
-        e = materialize(down.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = (both.join(low, "u").filter("v > u")
+                 .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        e = materialize(large.join(low, "u").filter("v <> m")
+                        .select(F.col("v").alias("u"), F.col("m").alias("v"))
                         .unionByName(low.select("u", F.col("m").alias("v")))
-                        .distinct(), "cc-small")
+                        .distinct(), "cc")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

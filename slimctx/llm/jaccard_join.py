@@ -11,8 +11,9 @@ Two documents link when 100 * intersection >= ``percent`` * union.
 2. Equal sets are one class.  Each class sends its prefix in that order, n -
    ceil(percent n / 100) + 1 shingles, and a 512-bit bitmap of its whole set.
    Two linked sets share a shingle of their prefixes.
-3. Classes that share a prefix shingle are chained in order of size and the
-   chain's pairs verified, which joins groups of near copies at linear cost.
+3. Classes that share one of their first prefix shingles are chained, in
+   another random order for each shingle, and the chains' pairs verified:
+   groups of near copies become components at linear cost.
 4. Where a prefix shingle still connects different components, a signature
    tree is built over its classes in order of size: a node holds the OR of
    the bitmaps, the size range, the range of components and the most shingles
@@ -53,7 +54,8 @@ TEXT_BLOCK = 1 << 20
 COUNTED = 2_000_000       # shingles counted together in a task
 HOT_DOCS = 100            # documents that make a shingle frequent
 MAX_HOT = 200_000         # frequent shingles sent to every task, at most
-CHAIN_HOT = 4             # frequent shingles of a document that chain
+CHAIN = 6                 # prefix shingles of a document that chain, of the rare
+                          # and of the frequent ones
 SALT = 8192               # classes of a frequent shingle chained together
 GROUP_BLOCK = 2048        # classes of a shingle in one block
 FANOUT = 8                # of the signature tree
@@ -178,6 +180,10 @@ def prefix_rows(classes: DataFrame, hot: np.ndarray, counts: np.ndarray) -> Data
             rank = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
             rank -= batch.column("cold").to_numpy()[at]
             rid = batch.column("rid").to_numpy()[at]
+            # classes are chained in another random order for each shingle
+            nth = mix(token ^ mix(rid.view(np.uint64)))
+            first = rank + batch.column("cold").to_numpy()[at]
+            chain = (first < CHAIN) | ((rank >= 0) & (rank < CHAIN))
             salt = np.zeros(len(token), np.uint64)
             common = np.flatnonzero(rank >= 0)
             if len(common):
@@ -187,11 +193,11 @@ def prefix_rows(classes: DataFrame, hot: np.ndarray, counts: np.ndarray) -> Data
             yield pa.RecordBatch.from_arrays(
                 [pa.array(token.view(np.int64)), pa.array(salt.astype(np.int32)),
                  pa.array(batch.column("n").to_numpy()[at]), pa.array(rid),
-                 pa.array(rank < CHAIN_HOT), pa.array(rank >= 0)],
-                names=["token", "salt", "n", "rid", "chain", "hot"])
+                 pa.array(nth.view(np.int64)), pa.array(chain), pa.array(rank >= 0)],
+                names=["token", "salt", "n", "rid", "nth", "chain", "hot"])
 
     return classes.select("rid", "n", "cold", "prefix").mapInArrow(
-        run, "token long, salt int, n long, rid long, chain boolean, hot boolean")
+        run, "token long, salt int, n long, rid long, nth long, chain boolean, hot boolean")
 
 
 def _chained(percent: int):
@@ -204,7 +210,8 @@ def _chained(percent: int):
         same = np.zeros(len(token) + 1, bool)
         same[1:-1] = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
         before = np.roll(rid, 1)
-        fits = same[:-1] & chain & (100 * np.roll(n, 1) >= percent * n)
+        near = np.roll(n, 1)
+        fits = same[:-1] & chain & (100 * np.minimum(near, n) >= percent * np.maximum(near, n))
         take = np.zeros(len(token), bool)
         take[lo:hi] = (same[:-1] | same[1:] | hot)[lo:hi]
         return pa.RecordBatch.from_arrays(
@@ -301,7 +308,7 @@ def _bitmaps(column) -> np.ndarray:
 
 def _tree_join(percent: int):
     """Rows sorted by (token, b1, b2, n), whole units at a time, to pairs."""
-    def pairs(t: pa.Table) -> pa.RecordBatch:
+    def pairs(t: pa.Table) -> np.ndarray:
         key = [t.column(c).to_numpy() for c in ("token", "b1", "b2")]
         new = np.zeros(len(key[0]), bool)
         for k in key:
@@ -312,13 +319,15 @@ def _tree_join(percent: int):
         rid = t.column("rid").to_numpy()
         a, b = tree_pairs(unit, side, t.column("n").to_numpy(), t.column("comp").to_numpy(),
                           _bitmaps(t.column("bits")), percent)
-        x, y = np.minimum(rid[a], rid[b]), np.maximum(rid[a], rid[b])
-        both = np.unique(np.stack([x, y], 1), axis=0) if len(x) else np.empty((0, 2), np.int64)
+        return np.stack([np.minimum(rid[a], rid[b]), np.maximum(rid[a], rid[b])], 1)
+
+    def batch_of(found: list) -> pa.RecordBatch:
+        both = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])],
                                           names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
+        held, rows, found, size = [], 0, [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -331,10 +340,16 @@ def _tree_join(percent: int):
             other = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in key]))
             cut = int(other[-1]) + 1 if len(other) else 0   # rows of the last unit wait
             if cut:
-                yield pairs(t.slice(0, cut))
+                found.append(pairs(t.slice(0, cut)))
+                size += len(found[-1])
                 held, rows = t.slice(cut).to_batches(), len(t) - cut
+            if size > 500_000:             # a pair that meets in many units goes out once
+                yield batch_of(found)
+                found, size = [], 0
         if held:
-            yield pairs(pa.Table.from_batches(held))
+            found.append(pairs(pa.Table.from_batches(held)))
+        if found:
+            yield batch_of(found)
     return run
 
 
@@ -422,13 +437,15 @@ def _linked(percent: int):
 
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int,
            known: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b) of classes that link, by their whole sets: with ``known``
-    they connect what all linking pairs among ``pairs`` connect."""
+    """Pairs (a, b) of classes that link, by their whole sets.  With ``known``
+    links only as many as connect, together with those, what all linking
+    pairs among ``pairs`` connect."""
     bits = classes.select("rid", "n", "bits")
     wide = (pairs.join(bits.toDF("a", "an", "abits"), "a").join(bits.toDF("b", "bn", "bbits"), "b")
             .select("a", "b", "an", "bn", "abits", "bbits"))
     left = materialize(wide.mapInArrow(_prune(percent), "a long, b long"), "open-pairs")
-    ids = materialize(left.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "open-ids")
+    ids = materialize(left.select(F.col("a").alias("rid")).unionByName(
+        left.select(F.col("b").alias("rid"))).distinct(), "open-ids")
     ids, _ = sized_broadcast(ids, MAX_BROADCAST)
     sets = materialize(docs.join(ids, "rid", "left_semi").select("rid", "text")
                        .mapInArrow(_whole_sets, "rid long, n long, wide binary, whole binary"),
@@ -444,6 +461,8 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int,
                 .select("a", "b", "x", "y"))
         return materialize(full.mapInArrow(_linked(percent), "a long, b long"), "links")
 
+    if known is None:
+        return check(near.select("a", "b"))
     # first the closest pair of every class; then what still connects
     # different components, so groups of near copies cost few whole sets
     ends = near.select(F.col("a").alias("id"), "share", F.col("b").alias("to")).unionByName(
@@ -452,7 +471,7 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int,
                        .select(F.least("id", "m.to").alias("a"), F.greatest("id", "m.to").alias("b"))
                        .distinct(), "best-pairs")
     links = check(best)
-    roots = components(links if known is None else links.unionByName(known))
+    roots = components(links.unionByName(known))
     rest = near.select("a", "b").join(best, ["a", "b"], "left_anti")
     for end in ("a", "b"):
         rest = rest.join(roots.toDF(end, f"root_{end}"), end, "left").withColumn(
@@ -476,7 +495,7 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
              F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "classes")
 
     rows = (prefix_rows(classes, hot, counts)
-            .repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "rid"))
+            .repartition("token", "salt").sortWithinPartitions("token", "salt", "nth"))
     shared = materialize(rows.mapInArrow(_chained(percent),
                                          "token long, n long, rid long, prev long"), "shared")
     first = materialize(shared.filter("prev is not null and prev <> rid")

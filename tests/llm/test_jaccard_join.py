@@ -56,7 +56,7 @@ def corpus(seed, n=60):
 def test_against_brute_force(spark, seed, small, monkeypatch):
     if small:     # frequent shingles, blocks, salts and deep trees on little data
         for name, value in (("HOT_DOCS", 3), ("SALT", 3), ("GROUP_BLOCK", 4), ("FANOUT", 2),
-                            ("CHAIN_HOT", 1), ("MAX_BROADCAST", 0)):
+                            ("CHAIN", 1), ("MAX_BROADCAST", 0)):
             monkeypatch.setattr(J, name, value)
     docs = corpus(seed)
     rows = [(i, t, None) for i, t in docs.items()]
