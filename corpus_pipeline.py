@@ -7,7 +7,8 @@ returns the columns of documents, the last one the encoded documents.
 1. language_id: documents whose language cannot be told (no text, no letter)
    go.  The classifiers learn from the documents given.
 2. line_dedup: repeated lines go from the texts; ``n_chars`` follows.
-3. jaccard_join: of each group of near copies the smallest doc_id stays.
+3. jaccard_join: of each group of near copies the document of the smallest
+   doc_id stays (without any id: that of the smallest text hash).
 4. decontaminate: documents that hold a benchmark passage go.
 5. sentencepiece: what is left is encoded, with sampled segmentations.
 
@@ -65,9 +66,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     apply_defaults(spark)
     rows = materialize(jaccard_join.jaccard_join(docs.select("doc_id", "text")), "components")
-    first = (rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-             .groupBy("doc_id").agg(F.min("rid").alias("rid")))
-    gone = rows.join(first.select("rid"), "rid", "left_anti").select("rid")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid"))
+    first = rows.groupBy("root").agg(least.alias("first")).select("first.rid")
+    gone = rows.join(first, "rid", "left_anti").select("rid")
     return _without(docs, gone, F.xxhash64("doc_id", "text"))
 
 

@@ -481,8 +481,9 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int,
 
 
 def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, rid, n_shingles, component_id) of ``docs`` (doc_id, text);
-    ``rid`` identifies the text of a row."""
+    """(doc_id, rid, n_shingles, component_id, root) of ``docs`` (doc_id, text);
+    ``rid`` identifies the text of a row, ``root`` the component, also where
+    component_id is null or that of another component."""
     spark = docs.sparkSession
     arrow_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
@@ -534,14 +535,15 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     least = member.groupBy("root").agg(F.min("doc_id").alias("component_id"),
                                        F.count("*").alias("w"))
     linked = join_unique(member, least, ["root"], "w", member.count())
-    alone = every.filter("n = 0").withColumn("component_id", F.col("doc_id"))
-    cols = ["doc_id", "rid", F.col("n").alias("n_shingles"), "component_id"]
+    alone = (every.filter("n = 0").withColumn("component_id", F.col("doc_id"))
+             .withColumn("root", F.col("rid")))
+    cols = ["doc_id", "rid", F.col("n").alias("n_shingles"), "component_id", "root"]
     return linked.select(*cols).unionByName(alone.select(*cols)).distinct()
 
 
 def op7_query(docs: DataFrame) -> DataFrame:
     """Components of documents with a shingle similarity of 0.8 or more."""
-    return jaccard_join(docs.select("doc_id", "text")).drop("rid")
+    return jaccard_join(docs.select("doc_id", "text")).drop("rid", "root")
 
 
 OP7_SQL = r"""

@@ -46,3 +46,21 @@ def test_awkward_documents(spark):
     for name, stage in P.STAGES:
         at = P.materialize(stage(spark, at, d), name)
     assert at.count() == 0
+
+
+def test_near_copies_without_id_and_several_texts_of_one_id(spark):
+    text = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcdefg"}
+    near = {c: t + " more" for c, t in text.items()}
+    rows = [(None, text["a"], "en"), (None, text["b"], "en"), (None, near["b"], "en"),
+            (4, text["c"], "en"), (4, text["d"], "en"), (9, near["d"], "en"),
+            (None, near["e"], "en"), (7, text["e"], "en"), (8, text["f"], "en"),
+            (8, near["f"], "en"), (5, text["g"], "en"), (5, text["g"], "en"),
+            (6, "", "en"), (None, "", "en")]
+    kept = [(r.doc_id, r.text) for r in
+            P.near_copy_stage(spark, documents(spark, rows), None).collect()]
+    either = [{(None, text["b"]), (None, near["b"])}, {(8, text["f"]), (8, near["f"])}]
+    assert all(len(e & set(kept)) == 1 for e in either)
+    rest = [r for r in kept if not any(r in e for e in either)]
+    assert sorted(rest, key=str) == sorted(
+        [(None, text["a"]), (4, text["c"]), (4, text["d"]), (7, text["e"]), (5, text["g"]),
+         (5, text["g"]), (6, ""), (None, "")], key=str)
