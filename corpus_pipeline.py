@@ -5,7 +5,9 @@ Parquet and read again as the next one's input.
 returns the columns of documents, the last one the encoded documents.
 
 1. language_id: documents whose language cannot be told (no text, no letter)
-   go.  The classifiers learn from the documents given.
+   go.  The classifiers learn from the documents given; which language they
+   tell, its score and the ambiguous flag reject nothing, and without a label
+   to learn from only texts without a letter go as well.
 2. line_dedup: repeated lines go from the texts; ``n_chars`` follows.
 3. jaccard_join: of each group of near copies the document of the smallest
    doc_id stays (without any id: that of the smallest text hash).
@@ -49,6 +51,8 @@ def _without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     apply_defaults(spark)
     model = language_id.fit(docs.select("doc_id", "text", "lang"))
+    if not model.langs:     # nothing to tell languages by: all of them are unknown
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     told = language_id.predict(_packed(docs).select("all", "text"), model)
     return told.filter(F.col("lang_pred") != language_id.UNKNOWN).select("all.*")
 

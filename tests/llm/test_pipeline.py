@@ -64,3 +64,14 @@ def test_near_copies_without_id_and_several_texts_of_one_id(spark):
     assert sorted(rest, key=str) == sorted(
         [(None, text["a"]), (4, text["c"]), (4, text["d"]), (7, text["e"]), (5, text["g"]),
          (5, text["g"]), (6, ""), (None, "")], key=str)
+
+
+def test_language_stage_without_labels_or_ids(spark):
+    rows = [(1, "some words", "en"), (2, "d'autres mots", None), (3, "--- 12", "en"),
+            (4, None, "en"), (5, "", None), (6, "漢字", "fr")]
+    no_lang = documents(spark, [(i, t, None) for i, t, _ in rows])
+    no_id = documents(spark, [(None, t, g) for _, t, g in rows])
+    for docs in (no_lang, no_id):
+        got = P.language_stage(spark, docs, None)
+        assert got.columns == docs.columns
+        assert {r.text for r in got.collect()} == {"some words", "d'autres mots", "漢字"}
