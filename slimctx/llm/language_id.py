@@ -168,6 +168,13 @@ class Model:
         return best, like[np.arange(len(best)), best], top[:, -1] - second
 
 
+def low_hash(doc_id: Column, n: Column, per_lang: int) -> Column:
+    """Whether a document is among about 1.5 per_lang of ``n``; in doubles, as
+    the product of longs overflows beyond 2**23 documents."""
+    h = F.pmod(F.xxhash64(doc_id), F.lit(1 << 40)).cast("double")
+    return h * n < F.lit((1 << 40) * 1.5 * per_lang)
+
+
 def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> Model:
     """Learn from ``labelled`` (doc_id, text, lang): the counts are summed on
     the cluster; languages times SLOTS numbers reach the driver."""
@@ -179,9 +186,8 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> Model:
     counts, _ = sized_broadcast(materialize(
         usable.groupBy("lang").agg(F.count("*").alias("n")), "lang-counts"), MAX_LANGS)
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) * F.col("n") < (1 << 40) * 1.5 * per_lang
     picked = materialize(usable.select("doc_id", "lang").join(counts, "lang")
-                         .filter(low).withColumn("rank", F.row_number().over(order))
+                         .filter(low_hash(F.col("doc_id"), F.col("n"), per_lang)).withColumn("rank", F.row_number().over(order))
                          .filter(F.col("rank") <= per_lang)
                          .select("doc_id", "lang").distinct(), "lang-sample")
     grams = (usable.select("doc_id", "text", "lang").join(picked, ["doc_id", "lang"])

@@ -83,6 +83,15 @@ def test_sample_is_bounded(spark, toy):
     assert few.langs and set(few.langs) <= {"de", "en", "fr"}
 
 
+def test_hash_bound_of_a_large_language(spark):
+    ids = spark.range(1 << 18)
+    for n in (1 << 18, (1 << 23) + 1, 1 << 33, 1 << 45):
+        # as if each of the ids stood for n / 2**18 documents
+        per_lang = n >> 7
+        low = ids.filter(L.low_hash(F.col("id"), F.lit(n).cast("long"), per_lang)).count()
+        assert abs(low - 1.5 * (1 << 11)) < 300
+
+
 def test_blocks_do_not_change_sums(toy, monkeypatch):
     model = L.fit(toy)
     texts = ["der hund " * 50, "", "x", "le chat et " * 9, "ab"]
