@@ -9,6 +9,11 @@ occurrence but the earliest ranked one (smallest doc_id, then text hash, then
 position) is a repeat.  Runs of consecutive repeats that cover at least
 ``min_chars`` characters are removed, reported with their original offsets.
 
+Whole lines are units as well, of any length: every occurrence of a normalised
+line but the earliest is removed, also where no run covers it.  Equal lines are
+cut alike, so a line can only recur where its first unit does; the digests of
+lines are grouped among those.  ``whole_lines=False`` leaves the passages alone.
+
 A digest that very many units share is joined by a bounded broadcast; units
 are counted before they are shuffled, and nothing but the units of one
 document is ever ordered together.
@@ -36,7 +41,7 @@ from slimctx.session import materialize
 RADIUS = 3
 MIN_CHARS = 120
 BLOCK = 1 << 20
-UNIT_SCHEMA = "digest long, doc_id long, place long, span long"
+UNIT_SCHEMA = "digest long, doc_id long, place long, span long, line long, extent long"
 
 #: Bytes outside of words: all ASCII but letters and digits.
 NOT_WORD = np.ones(256, bool)
@@ -59,10 +64,18 @@ def _cuts(h: np.ndarray, line: np.ndarray, radius: int) -> np.ndarray:
 def units(data: np.ndarray, off: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, ...]:
     """(doc, number in doc, digest, start, stop) of every unit; offsets in
     code points of its text."""
+    return units_and_lines(data, off, radius)[:5]
+
+
+def units_and_lines(data: np.ndarray, off: np.ndarray,
+                    radius: int = RADIUS) -> tuple[np.ndarray, ...]:
+    """``units``, and of every line with words (its first unit, number of
+    units, digest, stop)."""
     start, stop, doc = words(data, off, NOT_WORD)
     if not len(start):
         none = np.empty(0, np.int64)
-        return none, none, none.astype(np.uint64), none, none
+        return none, none, none.astype(np.uint64), none, none, none, none, \
+            none.astype(np.uint64), none
     values = byte_values(lower_ascii())[data]
     h = segment_hashes(values, start, stop)
     breaks = np.cumsum(data == 10)
@@ -75,7 +88,12 @@ def units(data: np.ndarray, off: np.ndarray, radius: int = RADIUS) -> tuple[np.n
     udoc = doc[first]
     base = chars[off[udoc]]
     number = np.arange(len(first)) - np.searchsorted(udoc, udoc, "left")
-    return udoc, number, digest, chars[start[first]] - base, chars[stop[last]] - base
+    a, b = chars[start[first]] - base, chars[stop[last]] - base
+    uline = line[first]
+    head = np.flatnonzero(np.r_[True, uline[1:] != uline[:-1]])
+    tail = np.r_[head[1:], len(uline)] - 1
+    whole = segment_hashes(h, first[head], last[tail] + 1)
+    return udoc, number, digest, a, b, head, tail + 1 - head, whole, b[tail]
 
 
 def _unit_rows(radius: int):
@@ -85,20 +103,45 @@ def _unit_rows(radius: int):
             doc_id = batch.column("doc_id").to_numpy(zero_copy_only=False)
             text_h = batch.column("text_h").to_numpy(zero_copy_only=False)
             for i, j in blocks(off, BLOCK):
-                doc, number, digest, a, b = units(data[off[i]:off[j]], off[i:j + 1] - off[i],
-                                                  radius)
+                doc, number, digest, a, b, head, many, whole, end = units_and_lines(
+                    data[off[i]:off[j]], off[i:j + 1] - off[i], radius)
                 place = (text_h[i:j][doc] << 32) | number
+                # the first unit of a line carries the line
+                inner = np.ones(len(doc), bool)
+                inner[head] = False
+                line, extent = np.zeros((2, len(doc)), np.int64)
+                line[head], extent[head] = whole.view(np.int64), (many << 32) | end
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(digest.view(np.int64)), pa.array(doc_id[i:j][doc], pa.int64()),
-                     pa.array(place, pa.int64()), pa.array((a << 32) | b, pa.int64())],
-                    names=["digest", "doc_id", "place", "span"])
+                     pa.array(place, pa.int64()), pa.array((a << 32) | b, pa.int64()),
+                     pa.array(line, pa.int64(), mask=inner),
+                     pa.array(extent, pa.int64(), mask=inner)],
+                    names=["digest", "doc_id", "place", "span", "line", "extent"])
     return run
 
 
-def repeats(docs: DataFrame, radius: int = RADIUS, min_chars: int = MIN_CHARS) -> DataFrame:
+def _line_repeats(met: DataFrame) -> DataFrame:
+    """(doc_id, place, span, first_doc, n_units) of every line but the
+    earliest of its digest, from the shared units that begin lines."""
+    lines = met.filter("line is not null").select("line", "doc_id", "place", "span", "extent")
+    first = (lines.groupBy("line").agg(F.min(F.struct("doc_id", "place")).alias("first"),
+                                       F.count("*").alias("n")).filter("n > 1"))
+    start = F.shiftright("span", 32)
+    stop = F.col("extent").bitwiseAND(F.lit(0xFFFFFFFF))
+    return (join_unique(lines, first, ["line"], "n", lines.count())
+            .filter(F.struct("doc_id", "place") > F.col("first"))
+            .select("doc_id", "place", F.shiftleft(start, 32).bitwiseOR(stop).alias("span"),
+                    F.col("first.doc_id").alias("first_doc"),
+                    F.shiftright("extent", 32).alias("n_units"))
+            .dropDuplicates(["doc_id", "place"]))
+
+
+def repeats(docs: DataFrame, radius: int = RADIUS, min_chars: int = MIN_CHARS,
+            whole_lines: bool = False) -> DataFrame:
     """(doc_id, text_h, start, stop, n_units, kept_doc_id): the passages to
     remove, and the document that holds the first occurrence of their first
-    unit."""
+    unit.  With ``whole_lines`` also every repeated line that is in no such
+    passage, and the document that holds the line first."""
     arrow_batches(docs.sparkSession)
     low32 = F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF))
     every = materialize(
@@ -108,24 +151,39 @@ def repeats(docs: DataFrame, radius: int = RADIUS, min_chars: int = MIN_CHARS) -
     shared = (every.groupBy("digest").agg(F.min("doc_id").alias("first_doc"),
                                           F.count("*").alias("n")).filter("n > 1"))
     met = materialize(join_unique(every, shared, ["digest"], "n", every.count())
-                      .select("digest", "doc_id", "place", "span", "first_doc"), "shared-units")
+                      .select("digest", "doc_id", "place", "span", "first_doc", "line", "extent"),
+                      "shared-units")
     keeper = (met.filter("doc_id = first_doc").groupBy("digest")
               .agg(F.min("place").alias("first_place"), F.count("*").alias("n")))
     home = join_unique(met.filter("doc_id = first_doc"), keeper, ["digest"], "n",
                        met.filter("doc_id = first_doc").count())
     again = (met.filter("doc_id > first_doc")
              .unionByName(home.filter("place > first_place").select(*met.columns))
-             .select("doc_id", F.shiftright("place", 32).alias("text_h"),
-                     F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("unit"),
-                     F.shiftright("span", 32).alias("start"),
-                     F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).alias("stop"), "first_doc")
-             .dropDuplicates(["doc_id", "text_h", "unit"]))
-    in_doc = W.partitionBy("doc_id", "text_h").orderBy("unit")
-    return (again.withColumn("run", F.col("unit") - F.row_number().over(in_doc))
+             .select("doc_id", "place", "span", "first_doc")
+             .dropDuplicates(["doc_id", "place"]).withColumn("n_units", F.lit(None).cast("long")))
+    if whole_lines:
+        again = again.unionByName(_line_repeats(met))
+    again = again.select(
+        "doc_id", F.shiftright("place", 32).alias("text_h"),
+        F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("unit"),
+        F.shiftright("span", 32).alias("start"),
+        F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).alias("stop"), "first_doc", "n_units")
+    # a unit (n_units null) comes before the line that it begins
+    unit = F.col("n_units").isNull()
+    in_doc = (W.partitionBy("doc_id", "text_h").orderBy("unit", F.col("n_units").isNotNull())
+              .rowsBetween(W.unboundedPreceding, W.currentRow))
+    span = [F.col(c) for c in ("start", "stop", "n_units")] + [F.col("first_doc")
+                                                               .alias("kept_doc_id")]
+    runs = (again.withColumn("run", F.col("unit") - F.count(F.when(unit, 1)).over(in_doc))
             .groupBy("doc_id", "text_h", "run")
             .agg(F.min("start").alias("start"), F.max("stop").alias("stop"),
-                 F.count("*").alias("n_units"), F.min_by("first_doc", "unit").alias("kept_doc_id"))
-            .filter(F.col("stop") - F.col("start") >= min_chars).drop("run"))
+                 F.count(F.when(unit, 1)).alias("n_units"),
+                 F.min_by("first_doc", F.when(unit, F.col("unit"))).alias("first_doc"),
+                 F.collect_list(F.when(~unit, F.struct(*span))).alias("lines")))
+    passage = F.col("stop") - F.col("start") >= min_chars
+    return (runs.select("doc_id", "text_h", F.explode(
+        F.when(passage, F.array(F.struct(*span))).otherwise(F.col("lines"))).alias("s"))
+        .select("doc_id", "text_h", "s.*"))
 
 
 def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -154,5 +212,5 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def op3_query(docs: DataFrame) -> DataFrame:
-    """Every repeated passage that goes, with its original offsets."""
-    return repeats(docs.select("doc_id", "text")).drop("text_h")
+    """Every repeated passage and line that goes, with its original offsets."""
+    return repeats(docs.select("doc_id", "text"), whole_lines=True).drop("text_h")

@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from helpers import documents
+from helpers import LOW, documents, plain_words
 
 from slimctx.llm import substring_dedup as S
 
@@ -94,3 +94,63 @@ def test_several_texts_of_one_id(spark):
     t = " ".join(f"w{i}" for i in range(80))
     df = documents(spark, [(1, "first " + t, None), (1, "second " + t, None), (2, t, None)])
     assert len(S.repeats(df).collect()) == 2
+
+
+def line_spans(docs):
+    """(doc_id, start, stop, first doc) of every repeated line, without S.units."""
+    first, out = {}, set()
+    for d in sorted(docs):
+        at = 0
+        for line in (docs[d] or "").split("\n"):
+            ws = plain_words(line)
+            if ws:
+                low = line.translate(LOW)
+                a, b = at + low.index(ws[0]), at + low.rindex(ws[-1]) + len(ws[-1])
+                if tuple(ws) in first:
+                    out.add((d, a, b, first[tuple(ws)]))
+                else:
+                    first[tuple(ws)] = d
+            at += len(line) + 1
+    return out
+
+
+def test_whole_lines_of_any_length(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijé") for _ in range(6))
+    common = [" ".join(word() for _ in range(k)) for k in (1, 2, 4, 9, 14, 40)]
+    docs = {}
+    for i in range(60):
+        own = [" ".join(word() for _ in range(rnd.randint(1, 30))) for _ in range(6)]
+        for line in rnd.sample(common, 3):
+            styled = rnd.choice([line, "  " + line.translate(UP) + ".", line.replace(" ", ", ")])
+            own.insert(rnd.randrange(len(own) + 1), styled)
+        docs[i] = "\n".join(own)
+    # lines inside of other lines are no repeats, lines without words no units
+    docs |= {70: "x " + common[3] + " y\n--\n--", 71: common[0] + "\n\n" + common[0], 72: docs[3],
+             73: None, 74: "---"}
+    df = documents(spark, [(i, t, None) for i, t in docs.items()] + [(None, docs[0], None),
+                                                                    (0, docs[0], None)])
+    found = S.repeats(df, whole_lines=True)
+    spans = found.collect()
+    passages = {(s.doc_id, s.start, s.stop) for s in S.repeats(df).collect()}
+    want = line_spans(docs)
+    short = {w for w in want if not any(
+        p[0] == w[0] and p[1] <= w[1] and w[2] <= p[2] for p in passages)}
+    assert len(short) > 80 and len(passages) > 10
+    got = {(s.doc_id, s.start, s.stop, s.kept_doc_id) for s in spans}
+    assert {g for g in got if g[:3] not in passages} == short
+    assert passages <= {g[:3] for g in got} and len(got) == len(spans)
+    lines = {(s.doc_id, s.start, s.stop, s.kept_doc_id) for s in S.op3_query(df).collect()}
+    assert lines == got
+    for r in S.remove(df.filter("doc_id is not null"), found).collect():
+        whole = docs[r.doc_id]
+        assert "".join((whole or "")[k.start:k.stop] for k in r.kept) == (r.text or "")
+    seen = set()
+    for d in sorted(docs):
+        text = docs[d] or ""
+        for s in sorted((s for s in spans if s.doc_id == d), key=lambda s: -s.start):
+            text = text[:s.start] + text[s.stop:]
+        for line in text.split("\n"):
+            ws = tuple(plain_words(line))
+            assert not ws or ws not in seen
+            seen.add(ws)
