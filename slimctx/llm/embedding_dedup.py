@@ -41,6 +41,7 @@ SAMPLE = 20_000
 PER_COLUMN = 256         # vectors wanted in a cell of the grid
 MAX_CODEWORDS = 256
 INDEX_BLOCK, QUERY_BLOCK = 1024, 4096
+PLANES = 1 << 20         # plane distances computed at once
 SLACK = 1e-6             # of rounding in bounds
 
 KEYS = ["label", "dim", "i", "iblock", "qblock"]
@@ -96,7 +97,11 @@ class Half:
     def bounds(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(nearest codeword, least squared distance to each region)."""
         d = squares(x, self.c)
-        plane = ((d[:, :, None] - d[:, None, :]) / self.gaps[None]).max(2)
+        plane = np.empty_like(d)
+        rows = max(1, PLANES // len(self.c) ** 2)
+        for i in range(0, len(d), rows):
+            e = d[i:i + rows]
+            plane[i:i + rows] = ((e[:, :, None] - e[:, None, :]) / self.gaps[None]).max(2)
         return d.argmin(1), np.maximum(plane - SLACK, 0) ** 2
 
 

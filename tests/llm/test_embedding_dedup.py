@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -91,3 +92,19 @@ def test_empty_ties_and_null_ids(spark):
     assert got == [(0, 0, 0), (3, 1, 3), (3, 1, 3), (4, 1, 3), (9, 1, 3)]
     assert E.embedding_dedup(table(spark, rows).limit(0)).count() == 0
     assert [r.n_links for r in E.embedding_dedup(table(spark, [(1, None, 1)])).collect()] == [0]
+
+
+def test_plane_bounds_in_bounded_memory():
+    rng = np.random.RandomState(3)
+    for k, n in ((5, 1), (7, 0), (256, 3000)):
+        half, x = E.Half(rng.randn(k, 8)), rng.randn(n, 8)
+        tracemalloc.start()
+        near, low = half.bounds(x)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 100e6 and near.shape == (n,) and low.shape == (n, k)
+        d = E.squares(x, half.c)
+        for r in range(0, n, 100):
+            plane = ((d[r][:, None] - d[r][None]) / half.gaps).max(1)
+            assert np.array_equal(low[r], np.maximum(plane - E.SLACK, 0) ** 2)
+            assert near[r] == d[r].argmin()
