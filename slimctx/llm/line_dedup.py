@@ -3,16 +3,17 @@
 Every batch of documents becomes one *run*: a table of (line digest, number
 of documents, largest doc_id), sorted by digest.  Runs of one level are
 merged into one run of the next level as soon as ``fanout`` of them exist, so
-a corpus fed in n batches is rewritten log_fanout(n) times.  The documents
-then drop the lines that the merge anti-join with the runs rejects.
+a corpus fed in n batches is rewritten log_fanout(n) times.
 
 Two uses:
 
 * ``line_dedup`` (whole table): a line goes when its key has at least
   ``min_chars`` code points and is held by at least ``min_docs`` documents,
-  except in the largest doc_id that holds it;
+  except in the largest doc_id that holds it; the runs count, then the lines
+  are joined plainly with the common digests;
 * ``LineRuns.fresh`` (stream of batches): keeps of a new batch the lines no
-  earlier run holds, then adds the batch as a run of its own.
+  earlier run holds, by a merge anti-join, then adds the batch as a run of its
+  own.
 
 Defined results: null or empty text is one empty line; a line key is the line
 without blanks ``[\\x20\\x09-\\x0D]`` at its ends and with A-Z in lower case;
