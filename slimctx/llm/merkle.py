@@ -26,7 +26,8 @@ range and tree, and a running sum over the ranges.
 Defined results: ties of an id are ordered by their leaf; repeated rows are
 leaves of their own; a null group is a tree of its own, the first; rows
 without id come first in their tree and are never tampered with; null and
-empty values have different leaves; an empty table has no rows (and no root);
+empty values have different leaves; a length that cannot grow by 1 is tampered
+with to null; an empty table has no rows (and no root);
 other columns are ignored.
 """
 
@@ -175,7 +176,7 @@ def op11_query(docs: DataFrame) -> DataFrame:
 
     tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
     rows = docs.select("doc_id", "lang", leaf(F.col("n_chars")).alias("leaf"), F.when(
-        tampered, leaf(F.col("n_chars") + 1)).alias("tampered"))
+        tampered, leaf(F.try_add(F.col("n_chars"), F.lit(1)))).alias("tampered"))
     folded = fold(F.coalesce("tampered", "leaf"), F.col("path"))
     return (manifest(rows, "lang", ["doc_id"])
             .select("doc_id", "leaf", "subroot", "root", siblings_digest(F.col("path")).alias("proof_sha256"),

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from slimctx.llm import (chat_format, decontaminate, embedding_dedup, jaccard_join, language_id,
-                         line_dedup, sentencepiece_sample, substring_dedup, url_filter, warc)
+from slimctx.llm import (chat_format, decontaminate, embedding_dedup, host_rules, jaccard_join,
+                         language_id, line_dedup, merkle, sentencepiece_sample, substring_dedup,
+                         url_filter, warc)
 from slimctx.llm.common import table
 
 
@@ -25,6 +26,8 @@ QUERIES = {
     "op8_line_dedup": _op(line_dedup.op8_query, "documents"),
     "op9_warc": _op(warc.op9_query, "pages"),
     "op10_embedding_dedup": _op(embedding_dedup.op10_query, "embeddings"),
+    "op11_merkle": _op(merkle.op11_query, "documents"),
+    "op13_host_rules": _op(host_rules.op13_query, "documents"),
 }
 
 ORACLE_SQL = {
@@ -35,4 +38,6 @@ ORACLE_SQL = {
     "op8_line_dedup": line_dedup.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
     "op10_embedding_dedup": embedding_dedup.OP10_SQL,
+    "op11_merkle": merkle.OP11_SQL,
+    "op13_host_rules": host_rules.OP13_SQL,
 }
