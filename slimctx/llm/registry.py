@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from slimctx.llm import (chat_format, decontaminate, embedding_dedup, host_rules, jaccard_join,
                          language_id, line_dedup, merkle, sentencepiece_sample, substring_dedup,
-                         url_filter, warc)
+                         token_align, url_filter, warc)
 from slimctx.llm.common import table
 
 
@@ -27,6 +27,7 @@ QUERIES = {
     "op9_warc": _op(warc.op9_query, "pages"),
     "op10_embedding_dedup": _op(embedding_dedup.op10_query, "embeddings"),
     "op11_merkle": _op(merkle.op11_query, "documents"),
+    "op12_token_align": _op(token_align.op12_query, "documents"),
     "op13_host_rules": _op(host_rules.op13_query, "documents"),
 }
 
