@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from slimctx.functions.bind import let, record
 from slimctx.functions.text import IDENT_RE, rstrip_ws, split_names
 
-NAME = r"[A-Za-z_$][\w$]*"
+#: Names in headers and imports: letters of every script.
+PY_NAME = r"[\p{L}\p{Nl}_][\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}]*"
+NAME = r"[\p{L}\p{Nl}_$][\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}$]*"
 STRING, COMMENT, BLOCK = "\x01", "\x02", "\x03"     # in masked text
 
 # Possessive quantifiers throughout: linear, and no recursion on long texts.
@@ -70,8 +72,8 @@ JS_ARROW = (rf"{_VAR}(?:async\s+)?(?:{_GENERIC}{PAREN}\s*(?::(?:[^={{}};]|\{{[^{
             r"\s*=>")
 JS_FUNCTION_VALUE = rf"{_VAR}(?:async\s+)?function\b\s*\*?\s*(?:{NAME})?\s*{_GENERIC}{PAREN}\s*{_RETURNS}\s*\{{"
 JS_CLASS = r"^(?:default\s+)?(?:abstract\s+)?class\b[^{]*\{"
-PY_HEADER = (rf"^(?:(?:async\s+)?def\s+\w+\s*(?:\[[^\]]*\]\s*)?{PAREN}\s*(?:->[^:]*)?"
-             rf"|class\s+\w+\s*(?:\[[^\]]*\]\s*)?(?:{PAREN})?\s*):")
+PY_HEADER = (rf"^(?:(?:async\s+)?def\s+{PY_NAME}\s*(?:\[[^\]]*\]\s*)?{PAREN}\s*(?:->[^:]*)?"
+             rf"|class\s+{PY_NAME}\s*(?:\[[^\]]*\]\s*)?(?:{PAREN})?\s*):")
 # Words that can stand before a colon without naming a variable.
 PY_WORDS = ("else", "try", "finally", "except", "lambda", "if", "elif", "while", "for", "with",
             "return", "match", "case")
@@ -170,7 +172,7 @@ def _none(u):
     return F.filter(F.array(_item(u, F.lit(""), F.lit(""), F.lit(""))), lambda s: F.lit(False))
 
 
-_FROM = r"^from\s+(\.*)\s*([\w.]*)\s+import\s+(.*)$"
+_FROM = r"^from\s+(\.*)\s*([\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}.]*)\s+import\s+(.*)$"
 _AS = r"\s+as\s+"
 
 
@@ -260,9 +262,9 @@ def _used(text: Column, locals_: Column) -> Column:
 
 def _py_symbols(u: Column, locals_: Column) -> Column:
     def of(d: Column) -> Column:
-        fn = F.regexp_extract(d, r"^(?:async\s+)?def\s+([A-Za-z_]\w*)", 1)
-        cl = F.regexp_extract(d, r"^class\s+([A-Za-z_]\w*)", 1)
-        va = F.regexp_extract(d, r"^([A-Za-z_]\w*)\s*(?::[^=]*)?=(?:[^=]|$)", 1)
+        fn = F.regexp_extract(d, rf"^(?:async\s+)?def\s+({PY_NAME})", 1)
+        cl = F.regexp_extract(d, rf"^class\s+({PY_NAME})", 1)
+        va = F.regexp_extract(d, rf"^({PY_NAME})\s*(?::[^=]*)?=(?:[^=]|$)", 1)
         named = record(fn=fn, cl=cl, va=F.when(va.isin(*PY_WORDS), "").otherwise(va),
                        head=_len(F.regexp_extract(d, PY_HEADER, 0)))
 

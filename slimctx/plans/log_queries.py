@@ -65,7 +65,8 @@ def _streamed(spark, sf_dir, series):
     events = table(spark, sf_dir, "events")
     work = scratch_dir(spark, f"stream-{series}")
     log_dir = os.path.join(work, "log")
-    first = F.col("event_type").isin("click", "view")
+    # a null event type is in the second wave
+    first = F.coalesce(F.col("event_type").isin("click", "view"), F.lit(False))
     for wave in (first, ~first):
         (log_from_events(events.where(wave))
          .write.mode("append").json(log_dir))

@@ -155,3 +155,13 @@ def test_invalid_utf8_is_replaced(spark):
     raw = b"sea \xe2\x28 \xfe shore"
     df = spark.createDataFrame([(bytearray(raw),)], "b binary")
     assert df.select(lossy_utf8(F.col("b")).alias("t")).first().t == raw.decode("utf-8", errors="replace")
+
+
+def test_names_in_every_script(spark):
+    files = {"a.py": "from größe.maß import länge as ü\n\ndef café(a):\n    return a + ü\n\nclass Élan:\n    x = 1\n\nñ = 2\n",
+             "b.ts": "import { été } from './saison';\nexport function número(a: string): string {\n  return a;\n}\nconst 変数 = 1;\n"}
+    s = _syms(spark, files)
+    assert _kinds(s, "a.py") == {"café": "function", "Élan": "class", "ñ": "variable"}
+    assert "return" not in s["a.py", "café"].sig and "return" not in s["b.ts", "número"].sig
+    assert set(_kinds(s, "b.ts")) == {"número", "変数"}
+    assert _imps(spark, files) == [("a.py", "ü", "länge", "größe.maß"), ("b.ts", "été", "été", "./saison")]

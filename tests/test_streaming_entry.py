@@ -48,3 +48,15 @@ def test_entry_contract(spark):
     assert set(sql) <= set(qs)
     llm = {q for q in qs if q.startswith("op") or q == "pipeline"}
     assert set(qs) - set(sql) - llm == set()
+
+
+def test_rows_without_event_type_are_streamed(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from slimctx.plans.log_queries import q_log_totals, q_stream_log_totals
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    (events.withColumn("event_type", F.when(F.col("event_id") % 10 > 0, F.col("event_type")))
+     .write.parquet(str(tmp_path / "events.parquet")))
+    got = q_stream_log_totals(spark, str(tmp_path)).first()
+    assert got == q_log_totals(spark, str(tmp_path)).first()
+    assert got.total_invocations == events.count()
