@@ -42,6 +42,8 @@ CRLF = "\r\n"
 #: RFC 4648, and the digits of conv() in base 32.
 BASE32, CONV32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 VERSION = "WARC/1.1"
+#: The seconds of the years 1970 to 9999; record dates are page ids modulo these.
+DATE_SECONDS = 253_402_300_800
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}"
 URN = "urn:x-page:"
@@ -83,8 +85,8 @@ def _record() -> Column:
     html = F.when(revisit, F.lit("")).otherwise(F.coalesce(F.col("html"), F.lit("")))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
     length = F.octet_length(html) + len(HTTP)
-    stamp = F.date_format(F.timestamp_seconds(F.coalesce(F.col("page_id"), F.lit(0))),
-                          "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    seconds = F.pmod(F.coalesce(F.col("page_id"), F.lit(0)).cast("long"), F.lit(DATE_SECONDS))
+    stamp = F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     lines = [
         F.lit(VERSION),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
@@ -172,7 +174,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the archives below ``path``; ``intact`` tells
     whether the payload of a response has the digest and length it declares."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    arrow_batches(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(_read, READ_SCHEMA)
 

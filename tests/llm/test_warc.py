@@ -71,3 +71,17 @@ def test_query_on_a_whole_table(spark):
     want = brute([(r.page_id, r.url, r.html) for r in pages.collect()])
     assert order([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)
                   for r in got]) == order([(a, c, d, e, f) for a, _, c, d, e, f in want])
+
+
+def test_page_ids_of_any_size_and_session_settings(spark, tmp_path):
+    ids = [2 ** 63 - 1, -2 ** 63, -1, 10 ** 13, 253_402_300_800, 2 ** 62]
+    rows = [(i, "u", f"<p>{i % 3}</p>") for i in ids]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    path = str(tmp_path / "w")
+    A.write_archives(table(spark, rows), path)
+    got = A.read_archives(spark, path).collect()
+    assert order([(r.page_id, r.url, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)
+                  for r in got]) == order(brute(rows))
+    dates = spark.read.option("lineSep", "\r\n").text(path).filter("value like 'WARC-Date%'")
+    assert dates.filter(r"value rlike '^WARC-Date: \\d{4}-'").count() == dates.count() == len(ids)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
