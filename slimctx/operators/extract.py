@@ -1,19 +1,21 @@
 """Per-file extraction of symbols and imports.
 
 The text of a file is cut into lexemes by one regular expression; strings and
-comments are masked character by character, so the masked text has the same
-length and the same lines.  A top-level statement starts at a line that
-begins in column 0 (masked: not blank, not a closing bracket, not inside a
-string or comment) while no bracket is open, which a running state over the
-lines tells.  Decorators belong to the statement that follows.  Headers and
-bodies are found on the masked statement, with brackets matched, and cut out
-of the original text at the same positions.
+comments are masked character by character.  ``flatten`` then follows the
+bracket depth over the masked text and fills what lies inside of any bracket,
+however deep, so in the flat text every bracketed group is ``(...)`` with
+fill between: its partner is the next closing bracket, and a line break or
+semicolon that is left stands at depth 0.  Masked and flat text have the
+length of the original.  Statements are cut on the flat text: at semicolons,
+after a closing brace that a declaration follows, and at line breaks.
+Decorators belong to the statement that follows.  Headers and bodies are
+found on the flat statement and cut out of the original at the same positions.
 
 All of it runs inside one row per file with higher-order array functions, so
 extraction is a narrow, shuffle-free projection and the file text is never
 exploded into many rows; only the slim result arrays are exploded afterwards.
 Every intermediate value is bound by ``let``, so it is computed once and the
-work is linear in the size of the file.
+work is linear in the size of the file (running sums go by blocks).
 
 Columns of ``parse_files``' result:
   path, language,
@@ -27,6 +29,8 @@ Columns of ``parse_files``' result:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +40,8 @@ from slimctx.functions.text import IDENT_RE, rstrip_ws, split_names
 #: Names in headers and imports: letters of every script.
 PY_NAME = r"[\p{L}\p{Nl}_][\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}]*"
 NAME = r"[\p{L}\p{Nl}_$][\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}$]*"
-STRING, COMMENT, BLOCK = "\x01", "\x02", "\x03"     # in masked text
+STRING, COMMENT = "\x01", "\x02"     # in masked text
+FILL, JOIN, CUT = "\x04", "\x05", "\x06"     # in flat text: inside of brackets, joined lines, new statement
 
 # Possessive quantifiers throughout: linear, and no recursion on long texts.
 _DQ = r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"?'
@@ -50,28 +55,19 @@ _JS_OPAQUE = [r"/\*[\s\S]*?(?:\*/|\z)", r"//[^\n]*+", _TEMPLATE, _DQ, _SQ, _REGE
 JS_LEX = "|".join([*_JS_OPAQUE, r"""[^"'`/]++""", "/"])
 
 
-def _nested(open_: str, close: str, other: str, depth: int = 6) -> str:
-    """A bracketed group with up to ``depth`` levels inside."""
-    inner = rf"{open_}{other}*+{close}"
-    for _ in range(depth):
-        inner = rf"{open_}(?:{other}|{inner})*+{close}"
-    return inner
-
-
-PAREN = _nested(r"\(", r"\)", r"[^()]")
-# in unmasked class bodies, with strings as a whole
-_RAW_PAREN = _nested(r"\(", r"\)", rf"""(?:[^()"'`]|{_DQ}|{_SQ}|{_TEMPLATE})""", 4)
-CLASS_LEX = "|".join([*_JS_OPAQUE, _RAW_PAREN, r"""[^"'`/(]++""", r"[/(]"])
-
-_GENERIC = r"(?:<[^()]*>\s*)?"
-_RETURNS = r"(?::\s*(?:\{[^{}]*+\}(?:\[\])?|(?:[^{};]|\{[^{}]*\}(?=\s*[>|&,\[\]]))+?))?"
+# in flat text
+PAREN, BRACE = r"\(\x04*+\)", r"\{\x04*+\}"
+_GENERIC = rf"(?:<(?:[^()]|{PAREN})*?>\s*)?"
+_RETURNS = rf"(?::\s*(?:{BRACE}(?:\[\])?|(?:[^{{}};]|{BRACE}(?=\s*[>|&,\[\]]))+?))?"
 _VAR = rf"^(?:const|let|var)\s+{NAME}\s*(?::(?:[^=]|=>)*?)?=(?!>)\s*"
 JS_FUNCTION = (rf"^(?:default\s+)?(?:async\s+)?function\b\s*\*?\s*(?:{NAME})?\s*{_GENERIC}{PAREN}"
                rf"\s*{_RETURNS}\s*\{{")
 JS_ARROW = (rf"{_VAR}(?:async\s+)?(?:{_GENERIC}{PAREN}\s*(?::(?:[^={{}};]|\{{[^{{}}]*\}})*)?|{NAME}\s*)"
             r"\s*=>")
 JS_FUNCTION_VALUE = rf"{_VAR}(?:async\s+)?function\b\s*\*?\s*(?:{NAME})?\s*{_GENERIC}{PAREN}\s*{_RETURNS}\s*\{{"
-JS_CLASS = r"^(?:default\s+)?(?:abstract\s+)?class\b[^{]*\{"
+# the body of a class is the group that ends the statement
+JS_CLASS = (rf"^(?:default\s+)?(?:abstract\s+)?class\b(?:[^{{}}]++|{BRACE}(?![;\s\x02]*+\z))*+"
+            rf"\{{(?=\x04*+\}}[;\s\x02]*+\z)")
 PY_HEADER = (rf"^(?:(?:async\s+)?def\s+{PY_NAME}\s*(?:\[[^\]]*\]\s*)?{PAREN}\s*(?:->[^:]*)?"
              rf"|class\s+{PY_NAME}\s*(?:\[[^\]]*\]\s*)?(?:{PAREN})?\s*):")
 # Words that can stand before a colon without naming a variable.
@@ -100,7 +96,7 @@ def _first(c: Column, n: Column) -> Column:
 
 def _masked(text: Column, py: bool) -> Column:
     def mask(x: Column) -> Column:
-        hide = lambda mark: F.regexp_replace(x, r"[^\n]", mark)
+        hide = lambda mark: F.repeat(F.lit(mark), _len(x))
         if py:
             return (F.when(x.startswith("#"), hide(COMMENT))
                     .when(x.startswith('"') | x.startswith("'"), hide(STRING)).otherwise(x))
@@ -112,53 +108,175 @@ def _masked(text: Column, py: bool) -> Column:
         F.regexp_extract_all(text, F.lit(PY_LEX if py else JS_LEX), 0), mask), "")
 
 
-#: A statement may start in spite of open brackets (a lexeme misread) when a
-#: blank line and one of these words announce it.
-_RESTART = {True: r"^(?:def|class|async|from|import|@)\b?",
-            False: r"^(?:export|import|function|class|const|let|var|interface|type|enum|declare)\b"}
+#: Running sums go by blocks of this size: no array grows element by element
+#: over a whole file.
+SPAN = 64
 
 
-def _tops(mlines: Column, py: bool) -> Column:
-    """ARRAY<STRUCT<i, k>>: the lines that start statements (x) or decorators (d)."""
-    def row(line: Column, i: Column) -> Column:
-        start = line.rlike(r"^[^\s)\]}\x01\x02]")
-        before = F.coalesce(F.get(mlines, i - 1), F.lit(""))
-        return record(
-            i=i, k=F.when(start, F.when(line.startswith("@"), "d").otherwise("x")),
-            sure=start & ~before.rlike(r"\S") & line.rlike(_RESTART[py]),
-            d=_len(F.translate(line, ")]}", "")) - _len(F.translate(line, "([{", "")))
-
-    def step(acc: Column, r: Column) -> Column:
-        top = r["k"].isNotNull() & ((acc["open"] == 0) | r["sure"])
-        return record(open=F.greatest(F.when(r["sure"], 0).otherwise(acc["open"]) + r["d"], F.lit(0)),
-                      tops=F.when(top, F.concat(acc["tops"], F.array(record(i=r["i"], k=r["k"]))))
-                      .otherwise(acc["tops"]))
-
-    zero = record(open=F.lit(0), tops=F.array().cast("array<struct<i:int,k:string>>"))
-    return F.aggregate(F.transform(mlines, row), zero, step, lambda acc: acc["tops"])
-
-
-def _units(lines: Column, mlines: Column, py: bool) -> Column:
-    """ARRAY<STRUCT<line, begin, off, raw, m>>: the statements with their
-    text, its masked form and the offset of the declaration behind decorators."""
-    def of(tops: Column) -> Column:
-        begins = F.filter(tops, lambda t, j: (j == 0) | (F.get(tops, j - 1)["k"] != "d"))
-        decls = F.filter(tops, lambda t: t["k"] == "x")
-        return let(begins, lambda bs: F.transform(decls, lambda t, j: record(
-            line=t["i"], begin=F.get(bs, j)["i"],
-            end=F.coalesce(F.get(bs, j + 1)["i"], F.size(lines)))))
-
-    def text(u: Column) -> Column:
-        span = lambda ls, n: F.array_join(F.slice(ls, u["begin"] + 1, n), "\n")
-        m = F.regexp_replace(span(mlines, u["end"] - u["begin"]),
-                             r"(?:\n(?:\x02[^\n]*+|[ \t\r]*+(?=\n|\z)))*+\s*\z", "")
-        return let(m, lambda m: record(
-            line=u["line"], begin=u["begin"], m=m,
-            off=F.when(u["line"] > u["begin"], _len(span(mlines, u["line"] - u["begin"])) + 1)
-            .otherwise(0),
-            raw=_first(span(lines, u["end"] - u["begin"]), _len(m))))
-
-    return let(_tops(mlines, py), lambda tops: F.transform(of(tops), text))
+def _blocks(steps: Column) -> Column:
+    last = F.floor(F.greatest(F.size(steps) - 1, F.lit(0)) / SPAN).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(steps, c * SPAN + 1, SPAN))
+
+
+def _running(steps: Column, body: Callable[[Callable], Column]) -> Column:
+    """``body`` of a function i -> the sum of the first i steps (0 <= i <=
+    size), where a sum never falls below 0.
+
+    Over a block the sum x becomes max(x + s, t), so blocks are summed up
+    first and each one starts from what lies before it."""
+    def effect(block: Column) -> Column:
+        return F.aggregate(block, record(s=F.lit(0), t=F.lit(0)), lambda acc, d: record(
+            s=acc["s"] + d, t=F.greatest(acc["t"] + d, F.lit(0))))
+
+    def starts(effects: Column) -> Column:
+        return F.aggregate(effects, F.array(F.lit(0)), lambda acc, e: F.concat(
+            acc, F.array(F.greatest(F.element_at(acc, -1) + e["s"], e["t"]))))
+
+    def within(block: Column, start: Column) -> Column:
+        return F.aggregate(block, F.array(start), lambda acc, d: F.concat(
+            acc, F.array(F.greatest(F.element_at(acc, -1) + d, F.lit(0)))))
+
+    def sums(blocks: Column) -> Column:
+        return let(starts(F.transform(blocks, effect)), lambda st: F.transform(
+            blocks, lambda block, c: within(block, F.get(st, c))))
+
+    def read(all_: Column) -> Column:
+        def at(i: Column) -> Column:
+            c = F.least(F.floor(i / SPAN).cast("int"), F.size(all_) - 1)
+            return F.get(F.get(all_, c), i - c * SPAN)
+        return body(at)
+
+    return let(_blocks(steps), lambda blocks: let(sums(blocks), read))
+
+
+def _cut(text: Column, lengths: Column) -> Column:
+    """``text`` in pieces of the given lengths.  A substring is searched from
+    the start of its text, so whole blocks of pieces are cut first."""
+    def of(at: Callable) -> Column:
+        n = F.size(lengths)
+        big = F.transform(_blocks(lengths), lambda b, c: F.substring(
+            text, at(c * SPAN) + 1, at(F.least(c * SPAN + SPAN, n)) - at(c * SPAN)))
+
+        def piece(bigs: Column) -> Column:
+            def one(k: Column, i: Column) -> Column:
+                c = F.floor(i / SPAN).cast("int")
+                return F.substring(F.get(bigs, c), at(i) - at(c * SPAN) + 1, k)
+            return F.transform(lengths, one)
+
+        return let(big, piece)
+
+    return _running(lengths, of)
+
+
+#: A statement may start in spite of open brackets (a lexeme misread) when a
+#: blank line and one of these words announce it.
+_RESTART = {True: r"(?:(?:def|class|async|from|import)\b|@)",
+            False: r"(?:export|import|function|class|const|let|var|interface|type|enum|declare)\b"}
+_CLOSE_ALL = -1_000_000
+
+
+def flatten(mask: Column, restart: str = r"(?!)") -> Column:
+    """The masked text with everything inside of brackets filled."""
+    again = rf"\n[ \t\r]*+\n(?={restart})"
+    tokens = F.regexp_extract_all(
+        mask, F.lit(rf"{again}|[(\[{{]|[)\]}}]|(?:[^()\[\]{{}}\n]++|(?!{again})\n)++"), 0)
+    opens = lambda t: t.isin("(", "[", "{")
+    closes = lambda t: t.isin(")", "]", "}")
+    resets = lambda t: t.rlike(r"\A\n[ \t\r]*+\n\z")
+
+    def of(ts: Column) -> Column:
+        # only blank lines before a restart word are tokens of their own
+        found = let(F.size(ts), lambda n: F.transform(ts, lambda t, i: record(t=t, d=(
+            F.when(opens(t), 1).when(closes(t), -1)
+            .when(resets(t) & F.coalesce(F.get(ts, i + 1), F.lit("")).rlike(rf"\A{restart}"), _CLOSE_ALL)
+            .otherwise(0)))))
+
+        def fill(steps: Column, at: Callable) -> Column:
+            hidden = lambda t, i: F.when(t["d"] == -1, at(i + 1) > 0).otherwise(
+                (t["d"] >= 0) & (at(i) > 0))
+            return F.array_join(F.transform(steps, lambda t, i: F.when(
+                hidden(t, i), F.repeat(F.lit(FILL), _len(t["t"]))).otherwise(t["t"])), "")
+
+        return let(found, lambda steps: _running(
+            F.transform(steps, lambda t: t["d"]), lambda at: fill(steps, at)))
+
+    return let(tokens, of)
+
+
+# Words that open a block statement, whose semicolons are its own.
+_PY_BLOCKS = r"(?:async|def|class|if|elif|else|for|while|with|try|except|finally|match|case)\b"
+#: What can only be the start of a declaration.
+_JS_DECLARES = (rf"(?:export\b|import\b|(?:async\s+)?function\b|(?:abstract\s+)?class\s+{NAME}"
+                rf"|(?:const|let|var)\s+(?:{NAME}|[{{\[])|interface\s+{NAME}|(?:const\s+)?enum\s+{NAME}"
+                rf"|type\s+{NAME}\s*[<=]|declare\s|module\.exports\b)")
+
+
+def _marked(flat: Column, py: bool) -> Column:
+    """The flat text with a mark before each statement."""
+    def apply(c: Column, *rules) -> Column:
+        for pattern, by in rules:
+            c = F.regexp_replace(c, pattern, by)
+        return c
+
+    if py:
+        return apply(
+            flat, (r"\\\r?\n", JOIN * 2),
+            # a decorator and the line that follows
+            (r"(?md)^(@[^\n]*+(?:\n[ \t\r]*+(?:\x02++\r?)?(?=\n))*+)\n", "$1" + JOIN),
+            (rf"(?md)(?:^(?!{_PY_BLOCKS})(?=[^\s)\]}}\x01\x02@])|(?!^)\G)[^;\n]*+;[ \t]*+(?=[^\s\x02])",
+             "$0" + CUT),
+            (r"\n(?=[^\s)\]}\x01\x02\x05])", "\n" + CUT))
+    goes_on = r"(?<!(?:=>|[=,+\-*%&|?:.<^!~])[ \t\r]{0,8}\n)"
+    return apply(
+        flat,
+        (rf"(?md)^([ \t]*+@{NAME}(?:\.{NAME})*+(?:{PAREN})?[ \t\r\x02]*+)\n", "$1" + JOIN),
+        (r";[ \t\r]*+\x02*+", "$0" + CUT),
+        (rf"\}}(?=[ \t]*+{_JS_DECLARES})", "}" + CUT),
+        (rf"\n{goes_on}(?=[^\s)\]}}\x01\x02\x06{{.,?:=&|+\-*%<^]|[ \t]++{_JS_DECLARES})", "\n" + CUT))
+
+
+_DECORATORS = {True: r"^(?:@[^\x05]*+\x05[\s\x02]*+)++",
+               False: rf"^(?:@{NAME}(?:\.{NAME})*+(?:{PAREN})?[\s\x02\x05]*+)++"}
+_TAIL = {True: r"(?:\n(?:\x02[^\n]*+|[ \t\r]*+(?=\n|\z)))*+[;\s]*+\z",
+         False: r"(?:\n[ \t]*+(?:\x02[\x02 \t\r]*+)?(?=\n|\z))*+\s*+\z"}
+
+
+def _statements(mask: Column, py: bool) -> Column:
+    """The flat text of each statement, with what stands before it."""
+    return let(flatten(mask, _RESTART[py]), lambda flat: F.split(_marked(flat, py), CUT))
+
+
+def _lines(c: Column) -> Column:
+    return _len(c) - _len(F.translate(c, "\n", ""))
+
+
+def _placed(flats: Column, raws: Column, masks: Column) -> Column:
+    """The statements with the lines and bytes that stand before them."""
+    return _running(F.transform(raws, _lines), lambda line: _running(
+        F.transform(raws, F.octet_length), lambda byte: F.transform(flats, lambda f, i: record(
+            flat=f, raw=F.get(raws, i), mask=F.get(masks, i), line=line(i), byte=byte(i)))))
+
+
+def _units(pieces: Column, py: bool) -> Column:
+    """ARRAY<STRUCT<line, begin, byte, off, raw, m, mask>>: the statements with
+    their text, its flat and its masked form, the offset of the declaration
+    behind decorators, and the lines and bytes before them."""
+    def unit(p: Column) -> Column:
+        def of(lead: Column) -> Column:
+            before = F.substring(p["raw"], F.lit(1), lead)
+            body = F.regexp_replace(_from(p["flat"], lead), _TAIL[py], "")
+            return let(body, lambda m: let(
+                record(m=m, off=_len(F.regexp_extract(m, _DECORATORS[py], 0)),
+                       raw=F.substring(p["raw"], lead + 1, _len(m)),
+                       begin=p["line"] + _lines(before)),
+                lambda u: record(
+                    line=u["begin"] + _lines(_first(u["raw"], u["off"])), begin=u["begin"],
+                    byte=p["byte"] + F.octet_length(before), off=u["off"], raw=u["raw"], m=u["m"],
+                    mask=F.substring(p["mask"], lead + 1, _len(m)))))
+
+        return let(_len(F.regexp_extract(p["flat"], r"^[\s\x02\x05]*+", 0)), of)
+
+    return F.filter(F.transform(pieces, unit), lambda u: u["m"] != "")
 
 
 # ---------------------------------------------------------------- imports
@@ -284,46 +402,36 @@ def _py_symbols(u: Column, locals_: Column) -> Column:
     return let(_from(u["m"], u["off"]), of)
 
 
-_INNERMOST = r"\([^()\[\]{}]*+\)|\[[^()\[\]{}]*+\]|\{[^()\[\]{}]*+\}|<[^<>=()]*+>"
-
-
 def _more_names(d: Column) -> Column:
     """The names a const/let/var statement declares after the first one."""
-    flat = d
-    for _ in range(8):
-        flat = F.regexp_replace(flat, _INNERMOST, "")
-    parts = F.split(F.regexp_replace(flat, r"^(?:const|let|var)\s+", ""), ",")
+    bare = F.regexp_replace(d, r"<(?:[^<>=()]|<[^<>=()]*+>)*+>", "")
+    parts = F.split(F.regexp_replace(bare, r"^(?:const|let|var)\s+", ""), ",")
     names = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
                         lambda p: F.regexp_extract(p, rf"^\s*({NAME})\s*(?::[^=]*)?(?:=(?!>)|;|\z)", 1))
     return F.filter(names, lambda n: n != "")
 
 
-def _class_sig(text: Column, header: Column) -> Column:
-    """A class with the blocks of its members emptied.  Strings, comments
-    and parenthesised groups become numbered tokens, so braces inside of them
-    stay; what is left is collapsed from the innermost block outwards."""
-    inner = F.regexp_extract(_from(text, _len(header)), r"^([\s\S]*)\}[^}]*\z", 1)
-    tail = F.regexp_extract(text, r"\}([^}]*)\z", 1)
-
-    def of(lexemes: Column) -> Column:
-        body = F.array_join(F.transform(lexemes, lambda x, i: F.when(
-            x.rlike("^(?://|/\\*|[\"'`(]|/.)"), F.concat(F.lit(STRING), i.cast("string"), F.lit(COMMENT)))
-            .otherwise(x)), "")
-        for _ in range(10):
-            body = F.regexp_replace(body, r"\{[^{}]*+\}", BLOCK)
-        lines = F.filter(F.split(body, "\n"), lambda line: line.rlike(r"\S"))
+def _class_sig(text: Column, head: Column, mask: Column) -> Column:
+    """A class with the blocks of its members emptied and its blank lines
+    dropped.  ``mask`` is the masked text behind the ``head`` characters of
+    the header, body brace included."""
+    def of(inner: Column) -> Column:
+        parts = F.regexp_extract_all(flatten(inner), F.lit(
+            rf"{BRACE}|\n\s*+|(?:[^\n{{]++|(?!{BRACE})\{{)++"), 0)
 
-        def back(part: Column, i: Column) -> Column:
-            token = F.get(lexemes, F.regexp_extract(part, r"^(\d+)\x02", 1).try_cast("int"))
-            return F.when(i == 0, part).otherwise(
-                F.concat(token, F.regexp_replace(part, r"^\d+\x02", "")))
+        def shorten(ps: Column) -> Column:
+            raws = _cut(F.substring(text, head + 1, _len(inner)), F.transform(ps, _len))
+            return F.array_join(F.zip_with(ps, raws, lambda p, raw: (
+                F.when(p.startswith("\n"), F.regexp_extract(raw, r"\n[^\n]*+\z", 0))
+                .when(p.rlike(rf"\A{BRACE}\z"), "{}").otherwise(raw))), "")
 
-        kept = F.array_join(F.transform(F.split(F.array_join(lines, "\n"), STRING), back), "")
-        kept = F.regexp_replace(kept, BLOCK, "{}")
-        return F.concat(header, F.lit("\n"),
-                        F.when(kept == "", "").otherwise(F.concat(kept, F.lit("\n"))), F.lit("}"), tail)
+        kept = F.regexp_replace(let(parts, shorten), r"\A[ \t\r]*+(?:\n|\z)|\n[ \t\r]*+\z", "")
+        tail = _from(text, head + _len(inner) + 1)
+        return let(kept, lambda k: F.concat(
+            _first(text, head), F.lit("\n"),
+            F.when(k == "", "").otherwise(F.concat(k, F.lit("\n"))), F.lit("}"), tail))
 
-    return let(F.regexp_extract_all(inner, F.lit(CLASS_LEX), 0), of)
+    return let(F.regexp_extract(mask, r"^([\s\S]*)\}[^}]*+\z", 1), of)
 
 
 def _js_symbols(u: Column, locals_: Column, is_ts: Column) -> Column:
@@ -380,7 +488,9 @@ def _js_symbols(u: Column, locals_: Column, is_ts: Column) -> Column:
                       .when(text.endswith(";"), ";").otherwise("")))
                   .otherwise(text))
         cls_sig = F.when(n["cls_head"] != "",
-                         _class_sig(text, _first(text, at + _len(n["cls_head"])))).otherwise(text)
+                         _class_sig(text, at + _len(n["cls_head"]),
+                                    _from(u["mask"], _len(u["mask"]) - _len(a["b"])
+                                          + _len(n["cls_head"])))).otherwise(text)
         sig = F.when(is_fn, fn_sig).when(kind == "class", cls_sig).otherwise(text)
         exported = a["mexp"] | a["exported"] | (n["ext"] != "")
         used = _used(text, locals_)
@@ -411,37 +521,49 @@ def _extra(df: DataFrame) -> list[str]:
     return [c for c in PASS_THROUGH if c in df.columns]
 
 
-def _parsed(text: Column, py: bool, is_ts: Column) -> Column:
-    def of(units: Column) -> Column:
-        imports = F.flatten(F.transform(units, _py_imports if py else _js_imports))
-
-        def with_imports(imps: Column) -> Column:
-            locals_ = F.array_distinct(F.transform(imps, lambda x: x["local_name"]))
+def _found(units: Column, py: bool, is_ts: Column) -> Column:
+    imports = F.flatten(F.transform(units, _py_imports if py else _js_imports))
 
-            def with_locals(names: Column) -> Column:
-                symbols = F.flatten(F.transform(
-                    units, lambda u: _py_symbols(u, names) if py else _js_symbols(u, names, is_ts)))
-                return record(symbols=F.transform(symbols, lambda s, i: s.withField("ord", i)),
-                              imports=imps)
+    def with_imports(imps: Column) -> Column:
+        locals_ = F.array_distinct(F.transform(imps, lambda x: x["local_name"]))
 
-            return let(locals_, with_locals)
+        def with_locals(names: Column) -> Column:
+            symbols = F.flatten(F.transform(
+                units, lambda u: _py_symbols(u, names) if py else _js_symbols(u, names, is_ts)))
+            return record(symbols=F.transform(symbols, lambda s, i: s.withField("ord", i)),
+                          imports=imps)
 
-        return let(imports, with_imports)
+        return let(locals_, with_locals)
 
-    return let(F.split(text, "\n"), lambda lines: let(F.split(_masked(text, py), "\n"), lambda mlines: let(
-        _units(lines, mlines, py), of)))
+    return let(imports, with_imports)
 
 
 def parse_files(files: DataFrame) -> DataFrame:
     """``files(path, language, text)`` to one row per file with its symbol
     and import arrays (see module doc), in one pass that picks the rules by
     the row's language."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    keep = ["path", "language", *_extra(files)]
+
+    def by_language(rules: Callable) -> Column:
+        return F.when(F.col("language") == "python", rules(True)).otherwise(rules(False))
+
+    # Steps keep the nesting of lambdas low.  Each reads the columns of the
+    # one before through let: they may be merged into one projection.
+    masked = files.select(*keep, F.coalesce("text", F.lit("")).alias("text")).withColumn(
+        "mask", by_language(lambda py: let(F.col("text"), lambda t: _masked(t, py))))
+    cut = masked.withColumn("flats", by_language(lambda py: let(
+        F.col("mask"), lambda m: _statements(m, py))))
+    lengths = lambda body: let(F.transform("flats", _len), body)
+    placed = (cut.withColumn("raws", lengths(lambda n: let(F.col("text"), lambda t: _cut(t, n))))
+              .withColumn("masks", lengths(lambda n: let(F.col("mask"), lambda m: _cut(m, n))))
+              .withColumn("pieces", let(F.col("flats"), lambda fs: let(F.col("raws"), lambda rs: let(
+                  F.col("masks"), lambda ms: _placed(fs, rs, ms))))))
+    units = placed.select(*keep, by_language(lambda py: let(
+        F.col("pieces"), lambda ps: _units(ps, py))).alias("units"))
     is_ts = F.col("language") == "typescript"
-    found = F.when(F.col("language") == "python", _parsed(text, True, is_ts)) \
-        .otherwise(_parsed(text, False, is_ts))
-    return (files.select("path", "language", found.alias("found"), *_extra(files))
-            .select("path", "language", "found.symbols", "found.imports", *_extra(files)))
+    found = units.select(*keep, by_language(lambda py: let(
+        F.col("units"), lambda us: _found(us, py, is_ts))).alias("found"))
+    return found.select("path", "language", "found.symbols", "found.imports", *_extra(files))
 
 
 def explode_rows(df: DataFrame, keep: list[str], arr, alias: str) -> DataFrame:
