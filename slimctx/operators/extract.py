@@ -110,11 +110,12 @@ def _masked(text: Column, py: bool) -> Column:
 
 #: Running sums go by blocks of this size: no array grows element by element
 #: over a whole file.
-SPAN = 64
+SHIFT = 6
+SPAN = 1 << SHIFT
 
 
 def _blocks(steps: Column) -> Column:
-    last = F.floor(F.greatest(F.size(steps) - 1, F.lit(0)) / SPAN).cast("int")
+    last = F.shiftright(F.greatest(F.size(steps) - 1, F.lit(0)), SHIFT)
     return F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(steps, c * SPAN + 1, SPAN))
 
 
@@ -142,7 +143,7 @@ def _running(steps: Column, body: Callable[[Callable], Column]) -> Column:
 
     def read(all_: Column) -> Column:
         def at(i: Column) -> Column:
-            c = F.least(F.floor(i / SPAN).cast("int"), F.size(all_) - 1)
+            c = F.least(F.shiftright(i, SHIFT), F.size(all_) - 1)
             return F.get(F.get(all_, c), i - c * SPAN)
         return body(at)
 
@@ -159,7 +160,7 @@ def _cut(text: Column, lengths: Column) -> Column:
 
         def piece(bigs: Column) -> Column:
             def one(k: Column, i: Column) -> Column:
-                c = F.floor(i / SPAN).cast("int")
+                c = F.shiftright(i, SHIFT)
                 return F.substring(F.get(bigs, c), at(i) - at(c * SPAN) + 1, k)
             return F.transform(lengths, one)
 
@@ -258,9 +259,10 @@ def _placed(flats: Column, raws: Column, masks: Column) -> Column:
 
 
 def _units(pieces: Column, py: bool) -> Column:
-    """ARRAY<STRUCT<line, begin, byte, off, raw, m, mask>>: the statements with
-    their text, its flat and its masked form, the offset of the declaration
-    behind decorators, and the lines and bytes before them."""
+    """ARRAY<STRUCT<line, begin, byte, off, raw, m, mask, d>>: the statements
+    with their text, its flat and its masked form, the offset of the
+    declaration behind decorators, the lines and bytes before them, and the
+    declaration with its fill squeezed, which tells what it is."""
     def unit(p: Column) -> Column:
         def of(lead: Column) -> Column:
             before = F.substring(p["raw"], F.lit(1), lead)
@@ -272,7 +274,8 @@ def _units(pieces: Column, py: bool) -> Column:
                 lambda u: record(
                     line=u["begin"] + _lines(_first(u["raw"], u["off"])), begin=u["begin"],
                     byte=p["byte"] + F.octet_length(before), off=u["off"], raw=u["raw"], m=u["m"],
-                    mask=F.substring(p["mask"], lead + 1, _len(m)))))
+                    mask=F.substring(p["mask"], lead + 1, _len(m)),
+                    d=F.regexp_replace(_from(m, u["off"]), FILL + "++", FILL))))
 
         return let(_len(F.regexp_extract(p["flat"], r"^[\s\x02\x05]*+", 0)), of)
 
@@ -317,7 +320,7 @@ def _py_imports(u: Column) -> Column:
                 .otherwise(_none(u)))
 
     bare = F.trim(_ws_collapse(F.regexp_replace(u["raw"], r"#[^\n]*", "")))
-    return F.when(u["m"].rlike(r"^(?:from|import)\s"), let(bare, of)).otherwise(_none(u))
+    return F.when(u["d"].rlike(r"^(?:from|import)\s"), let(bare, of)).otherwise(_none(u))
 
 
 _ES = r"""^import\s+(?:type\s+)?(.*?)\s*from\s*["'`]([^"'`]*)["'`]"""
@@ -359,8 +362,8 @@ def _js_imports(u: Column) -> Column:
         return F.flatten(F.zip_with(patterns, specs, of))
 
     t = F.trim(_ws_collapse(u["raw"]))
-    return (F.when(u["m"].rlike(r"^import\s"), let(t, es))
-            .when(u["m"].rlike(r"^(?:const|let|var)\s") & u["m"].contains("require"), let(t, required))
+    return (F.when(u["d"].rlike(r"^import\s"), let(t, es))
+            .when(u["d"].rlike(r"^(?:const|let|var)\s") & u["d"].contains("require"), let(t, required))
             .otherwise(_none(u)))
 
 
@@ -384,7 +387,8 @@ def _py_symbols(u: Column, locals_: Column) -> Column:
         cl = F.regexp_extract(d, rf"^class\s+({PY_NAME})", 1)
         va = F.regexp_extract(d, rf"^({PY_NAME})\s*(?::[^=]*)?=(?:[^=]|$)", 1)
         named = record(fn=fn, cl=cl, va=F.when(va.isin(*PY_WORDS), "").otherwise(va),
-                       head=_len(F.regexp_extract(d, PY_HEADER, 0)))
+                       head=F.when((fn != "") | (cl != ""), _len(F.regexp_extract(
+                           _from(u["m"], u["off"]), PY_HEADER, 0))).otherwise(0))
 
         def symbol(n: Column) -> Column:
             kind = (F.when(n["fn"] != "", "function").when(n["cl"] != "", "class")
@@ -399,7 +403,7 @@ def _py_symbols(u: Column, locals_: Column) -> Column:
 
         return let(named, symbol)
 
-    return let(_from(u["m"], u["off"]), of)
+    return of(u["d"])
 
 
 def _more_names(d: Column) -> Column:
@@ -436,14 +440,15 @@ def _class_sig(text: Column, head: Column, mask: Column) -> Column:
 
 def _js_symbols(u: Column, locals_: Column, is_ts: Column) -> Column:
     def declared(d: Column) -> Column:
-        """What the masked declaration ``d`` is."""
+        """What the declaration ``d`` is; ``b`` and ``flat`` begin behind export."""
         exported, default = d.rlike(r"^export\s"), d.rlike(r"^export\s+default\s")
         clause = d.rlike(r"^export\s*\{")
         # an exported declaration's span is the inner declaration
+        behind = _len(F.regexp_extract(d, r"^export\s+(?:default\s+)?", 0))
         cut = F.when(exported & ~default & ~clause, _len(F.regexp_extract(d, r"^export\s+", 0))).otherwise(0)
         return record(
-            d=d, exported=exported, default=default, clause=clause, mexp=d.rlike(r"^module\.exports\s*="),
-            b=F.regexp_replace(d, r"^export\s+(default\s+)?", ""),
+            exported=exported, default=default, clause=clause, mexp=d.rlike(r"^module\.exports\s*="),
+            b=_from(d, behind), flat=_from(u["m"], u["off"] + behind),
             text=F.concat(_first(u["raw"], u["off"]), _from(u["raw"], u["off"] + cut)))
 
     def named(a: Column) -> Column:
@@ -452,15 +457,16 @@ def _js_symbols(u: Column, locals_: Column, is_ts: Column) -> Column:
         fn = F.regexp_extract(b, rf"^(?:async\s+)?function\b\s*\*?\s*({NAME})", 1)
         cls = F.regexp_extract(b, rf"^(?:abstract\s+)?class\s+({NAME})", 1)
         or_default = lambda n: F.when(n != "", n).when(a["default"], "default")
+        is_fn, is_cls = b.rlike(r"^(?:async\s+)?function\b"), b.rlike(r"^(?:abstract\s+)?class\b")
+        head = lambda cond, p: F.when(cond, F.regexp_extract(a["flat"], p, 0)).otherwise("")
+        is_var = b.rlike(r"^(?:const|let|var)\s")
         return record(
-            fn=F.when(b.rlike(r"^(?:async\s+)?function\b"), or_default(fn)),
-            cls=F.when(b.rlike(r"^(?:abstract\s+)?class\b"), or_default(cls)),
+            fn=F.when(is_fn, or_default(fn)), cls=F.when(is_cls, or_default(cls)),
             iface=ts(rf"^interface\s+({NAME})"), alias=ts(rf"^type\s+({NAME})"),
             enum=ts(rf"^(?:const\s+)?enum\s+({NAME})"), ext=ts(rf"^declare\s+function\s+({NAME})"),
             var=F.regexp_extract(b, rf"^(?:const|let|var)\s+({NAME})", 1),
-            fn_head=F.regexp_extract(b, JS_FUNCTION, 0), arrow=F.regexp_extract(b, JS_ARROW, 0),
-            value_head=F.regexp_extract(b, JS_FUNCTION_VALUE, 0),
-            cls_head=F.regexp_extract(b, JS_CLASS, 0))
+            fn_head=head(is_fn, JS_FUNCTION), arrow=head(is_var, JS_ARROW),
+            value_head=head(is_var, JS_FUNCTION_VALUE), cls_head=head(is_cls, JS_CLASS))
 
     def symbols(a: Column, n: Column) -> Column:
         enum_like = (n["alias"] != "") | (n["enum"] != "")
@@ -477,19 +483,19 @@ def _js_symbols(u: Column, locals_: Column, is_ts: Column) -> Column:
         is_fn = n["fn"].isNotNull() | (calls & (n["ext"] == ""))
         text = a["text"]
         # where the declaration b starts in the text: it is its last part
-        at = _len(text) - _len(a["b"])
+        at = _len(text) - _len(a["flat"])
         block = F.when(n["fn"].isNotNull(), n["fn_head"]).otherwise(n["value_head"])
         tail = F.regexp_extract(text, r"\}([^}\n]*)\z", 1)
         cut = lambda k: rstrip_ws(_first(text, at + k))
         fn_sig = (F.when(block != "", F.concat(cut(_len(block) - 1), F.lit(" {}"), tail))
                   .when(n["arrow"] != "", F.concat(
                       cut(_len(n["arrow"])), F.lit(" {}"),
-                      F.when(_from(a["b"], _len(n["arrow"])).rlike(r"^\s*\{"), tail)
+                      F.when(_from(a["flat"], _len(n["arrow"])).rlike(r"^\s*\{"), tail)
                       .when(text.endswith(";"), ";").otherwise("")))
                   .otherwise(text))
         cls_sig = F.when(n["cls_head"] != "",
                          _class_sig(text, at + _len(n["cls_head"]),
-                                    _from(u["mask"], _len(u["mask"]) - _len(a["b"])
+                                    _from(u["mask"], _len(u["mask"]) - _len(a["flat"])
                                           + _len(n["cls_head"])))).otherwise(text)
         sig = F.when(is_fn, fn_sig).when(kind == "class", cls_sig).otherwise(text)
         exported = a["mexp"] | a["exported"] | (n["ext"] != "")
@@ -507,7 +513,7 @@ def _js_symbols(u: Column, locals_: Column, is_ts: Column) -> Column:
                             F.lit(True)))
         return F.when(a["clause"], clause).otherwise(F.concat(one, more))
 
-    return let(declared(_from(u["m"], u["off"])),
+    return let(declared(u["d"]),
                lambda a: let(named(a), lambda n: symbols(a, n)))
 
 
@@ -555,7 +561,8 @@ def parse_files(files: DataFrame) -> DataFrame:
         F.col("mask"), lambda m: _statements(m, py))))
     lengths = lambda body: let(F.transform("flats", _len), body)
     placed = (cut.withColumn("raws", lengths(lambda n: let(F.col("text"), lambda t: _cut(t, n))))
-              .withColumn("masks", lengths(lambda n: let(F.col("mask"), lambda m: _cut(m, n))))
+              .withColumn("masks", F.when(F.col("language") != "python",     # for the bodies of classes
+                                        lengths(lambda n: let(F.col("mask"), lambda m: _cut(m, n)))))
               .withColumn("pieces", let(F.col("flats"), lambda fs: let(F.col("raws"), lambda rs: let(
                   F.col("masks"), lambda ms: _placed(fs, rs, ms))))))
     units = placed.select(*keep, by_language(lambda py: let(
