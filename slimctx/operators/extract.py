@@ -19,12 +19,14 @@ work is linear in the size of the file (running sums go by blocks).
 
 Columns of ``parse_files``' result:
   path, language,
-  symbols ARRAY<STRUCT<name, kind, start_line, decl_line, end_line,
+  symbols ARRAY<STRUCT<name, kind, start_line, decl_line, end_line, start_byte, end_byte,
                        is_exported, has_body, text, sig, used, ord>>,
   imports ARRAY<STRUCT<line, local_name, export_name, specifier, stmt>>
 
 ``text`` is the symbol's source (entry form), ``sig`` its signature form
 (dependency form), ``used`` the import-local names its text mentions.
+``start_byte`` and ``end_byte`` span ``text`` in the file's UTF-8 bytes; with
+decorators before an export they span both and the word between them.
 """
 
 from __future__ import annotations
@@ -373,6 +375,9 @@ def _sym(u, name, kind, exported, has_body, text, sig, used):
     return F.struct(name.alias("name"), kind.alias("kind"),
                     u["begin"].alias("start_line"), u["line"].alias("decl_line"),
                     (u["begin"] + F.size(F.split(text, "\n")) - 1).alias("end_line"),
+                    (u["byte"] + F.when(u["off"] > 0, 0).otherwise(
+                        F.octet_length(u["raw"]) - F.octet_length(text))).alias("start_byte"),
+                    (u["byte"] + F.octet_length(u["raw"])).alias("end_byte"),
                     exported.alias("is_exported"), has_body.alias("has_body"),
                     text.alias("text"), sig.alias("sig"), used.alias("used"))
 
@@ -519,11 +524,11 @@ def _js_symbols(u: Column, locals_: Column, is_ts: Column) -> Column:
 
 # ------------------------------------------------------------------ entry
 
-PASS_THROUGH = ("raw_bytes", "raw_tokens")
+PASS_THROUGH = ("raw_bytes", "raw_tokens", "content")
 
 
 def _extra(df: DataFrame) -> list[str]:
-    """Per-file measures computed before parsing and carried along."""
+    """Per-file columns that are carried along."""
     return [c for c in PASS_THROUGH if c in df.columns]
 
 

@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slimctx.functions.bind import let, record
 from slimctx.functions.paths import SUPPORTED_EXTS, extension_of, language_of
 from slimctx.functions.text import IDENT_RE, heuristic_tokens, lossy_utf8, split_names
 from slimctx.operators import prune as P
-from slimctx.operators.extract import imports_table, parse_files, symbols_table
+from slimctx.operators.extract import explode_rows, imports_table, parse_files, symbols_table
 from slimctx.plans.api import CorpusIndex, render_json, render_text
 from slimctx.sources.corpus import load_corpus
 from slimctx.sources.tables import table
@@ -115,6 +116,16 @@ def q_strip_class(spark, sf_dir):
     return _strip(spark, sf_dir, (F.col("language") != "python") & (F.col("kind") == "class"))
 
 
+def q_symbol_bytes(spark, sf_dir):
+    """Byte spans, and whether the file's bytes there are the symbol's text."""
+    parsed = parse_files(load_corpus(spark, sf_dir).withColumn("content", F.encode("text", "utf-8")))
+    rows = let(F.col("content"), lambda b: F.transform("symbols", lambda s: record(
+        ord=s["ord"], name=s["name"], start_byte=s["start_byte"], end_byte=s["end_byte"],
+        same=F.substring(b, s["start_byte"] + 1, s["end_byte"] - s["start_byte"])
+        == F.encode(s["text"], "utf-8"))))
+    return explode_rows(parsed, ["path"], rows, "s").select("path", "s.*")
+
+
 def q_default_exports(spark, sf_dir):
     d = P.default_request(_parsed(spark, sf_dir))
     return d.select("path", F.size("syms").alias("n"), _csv("syms").alias("syms"))
@@ -327,6 +338,7 @@ CORPUS_QUERIES = {
     "strip_python": q_strip_python,
     "strip_js": q_strip_js,
     "strip_class": q_strip_class,
+    "symbol_bytes": q_symbol_bytes,
     "prune_files": q_prune_files,
     "render_text": q_render_text,
     "render_json": q_render_json,

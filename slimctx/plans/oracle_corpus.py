@@ -80,6 +80,8 @@ def _start(template: list[Stmt], k: int, comment_lines: str) -> str:
     parts = ["0"]
     for st in template[:k]:
         n = " + ".join(comment_lines if x == COMMENT else "1" for x in st.lines)
+        if st.end is not None:      # the next one starts on the same line
+            n += " - 1"
         parts.append(f"CASE WHEN {st.when} THEN {n} ELSE 0 END" if st.when else f"({n})")
     return " + ".join(parts)
 
@@ -98,14 +100,14 @@ def _expected() -> tuple[str, str]:
             text = _text(statement_lines(st, "duckdb", prefix, False))
             for sub, y in enumerate(st.symbols):
                 symbols.append(
-                    f"SELECT path, {begin} AS \"begin\", {st.skip} AS skip, {sub} AS sub, {y.name} AS name, "
+                    f"SELECT path, {begin} AS \"begin\", {st.skip} AS skip, {100 * k + sub} AS sub, {y.name} AS name, "
                     f"'{y.kind}' AS kind, {str(y.exported).lower()} AS is_exported, "
                     f"{str(y.sig is not None).lower()} AS has_body, {text} AS ftext, "
                     f"{_text(y.sig) if y.sig is not None else text} AS sig FROM docs2 WHERE {where}")
-            whole = _text(statement_lines(st, "duckdb", prefix))
+            whole = _text(statement_lines(st._replace(indent=""), "duckdb", prefix))
             for sub, (local, export, spec) in enumerate(st.imports):
                 imports.append(
-                    f"SELECT path, {begin} + {st.skip} AS line, {sub} AS sub, {whole} AS stmt, {local} AS local_name, "
+                    f"SELECT path, {begin} + {st.skip} AS line, {100 * k + sub} AS sub, {whole} AS stmt, {local} AS local_name, "
                     f"{export} AS export_name, {spec} AS specifier FROM docs2 WHERE {where}")
     return "\nUNION ALL\n".join(symbols), "\nUNION ALL\n".join(imports)
 
@@ -389,6 +391,11 @@ WHERE f.language = 'python' AND s.has_body""",
     "strip_js": _SYMS_BASE + """
 SELECT s.path, s.ord, s.name, s.kind, s.sig FROM syms s JOIN files f USING (path)
 WHERE f.language <> 'python' AND s.kind = 'function'""",
+    # the corpus is ASCII: bytes are characters
+    "symbol_bytes": _SYMS_BASE + """
+SELECT s.path, s.ord, s.name, CAST(strpos(f.text, s.text) - 1 AS INTEGER) AS start_byte,
+       CAST(strpos(f.text, s.text) - 1 + length(s.text) AS INTEGER) AS end_byte, true AS same
+FROM syms s JOIN files f USING (path)""",
     "strip_class": _SYMS_BASE + """
 SELECT s.path, s.ord, s.name, s.kind, s.sig FROM syms s JOIN files f USING (path)
 WHERE f.language <> 'python' AND s.kind = 'class'""",

@@ -98,10 +98,14 @@ class Stmt(NamedTuple):
     imports: tuple[tuple[str, str, str], ...] = ()    # SQL of local name, export name, specifier
     skip: int = 0                    # lines of decorators
     export: bool = False             # 'export ' stands in front, outside of the symbol's text
+    indent: str = ""                 # blanks in front of the first line in the file
+    end: str | None = None           # what follows on the same line; None: a line break
 
 
 COMMENT = "COMMENT"
 BLANK = Stmt(["''"])
+DEEP = "(" * 30 + "1" + ")" * 30
+DEEP_BLOCK = "{ if (a) " * 30 + "{}" + " }" * 30
 
 
 def _n(prefix: str, x: str = D) -> str:
@@ -169,6 +173,11 @@ def python_template() -> list[Stmt]:
                                             _code("class ", _d("C_"), "(object):"), "'    pass'"]),), (), 3),
         BLANK, BLANK,
         Stmt([_code(_d("V_"), " = 7")], None, (Sym(_n("V_"), "variable"),)),
+        # several statements on a line, brackets of any depth
+        Stmt([_code(_d("P_"), " = \"a;b\"")], f"{D} % 6 = 0", (Sym(_n("P_"), "variable"),), end="; "),
+        Stmt([_code(_d("R_"), ": int = [2]")], f"{D} % 6 = 0", (Sym(_n("R_"), "variable"),)),
+        Stmt([_code("def ", _d("far_"), f"(a={DEEP}):"), "'    b = a; return b'"], f"{D} % 6 = 1",
+             (Sym(_n("far_"), "function", True, [_code("def ", _d("far_"), f"(a={DEEP}):"), "'    pass'"]),)),
     ]
 
 
@@ -227,6 +236,21 @@ def javascript_template() -> list[Stmt]:
         Stmt(["'export default function (z) {'", "'  return z;'", "'}'"], None,
              (Sym("'default'", "function", True, ["'export default function (z) {}'"]),)),
         BLANK,
+        # several statements on a line, indented ones, brackets of any depth
+        Stmt([_code("let ", _d("left"), " = 1;")], f"{D} % 6 = 0", (Sym(_n("left"), "variable", False),), end=" "),
+        Stmt([_code("let ", _d("right"), " = { a: [2] };")], f"{D} % 6 = 0", (Sym(_n("right"), "variable", False),),
+             end=""),
+        Stmt([_code("function ", _d("tight"), "(x) { return x; }")], f"{D} % 6 = 0",
+             (Sym(_n("tight"), "function", False, [_code("function ", _d("tight"), "(x) {}")]),), end=""),
+        Stmt([_code("class ", _d("Tiny"), " { m() { return {}; } }")], f"{D} % 6 = 0",
+             (Sym(_n("Tiny"), "class", False, [_code("class ", _d("Tiny"), " {"), "' m() {} '", "'}'"]),)),
+        Stmt([_code("function ", _d("inner"), "(x) {"), "'      return x;'", "'    }'"], f"{D} % 6 = 1",
+             (Sym(_n("inner"), "function", False, [_code("function ", _d("inner"), "(x) {}")]),), indent="    "),
+        Stmt([_code("function ", _d("brace"), f"(a = {DEEP})"), "'{'", "'  return a;'", "'}'"], f"{D} % 6 = 2",
+             (Sym(_n("brace"), "function", False, [_code("function ", _d("brace"), f"(a = {DEEP}) {{}}")]),)),
+        Stmt([_code("class ", _d("Deep"), " {"), f"'  run(a) {DEEP_BLOCK}'", "''", "'  next() { return 1; }'", "'}'"],
+             f"{D} % 6 = 3", (Sym(_n("Deep"), "class", False, [_code("class ", _d("Deep"), " {"), "'  run(a) {}'",
+                                                               "'  next() {}'", "'}'"]),)),
         Stmt([_code("module.exports = { ", _d("fn_"), ", ", _d("util_"), " };")], None,
              (Sym("'module.exports'", "variable"),)),
     ]
@@ -268,6 +292,14 @@ def typescript_template() -> list[Stmt]:
         Stmt([_code("function ", _d("helper"), "(s: ", _d("Shape", A), "): number {"), "'  return s.id;'", "'}'"], None,
              (Sym(_n("helper"), "function", False, [_code("function ", _d("helper"), "(s: ", _d("Shape", A), "): number {}")]),)),
         BLANK,
+        # header with braces, a type over several lines
+        Stmt([_code("abstract class ", _d("Queue"), "<T extends {a: number}> {"), "'  go(): void { this.x = {}; }'", "'}'"],
+             f"{D} % 4 < 2", (Sym(_n("Queue"), "class", True,
+                                  [_code("abstract class ", _d("Queue"), "<T extends {a: number}> {"),
+                                   "'  go(): void {}'", "'}'"]),), (), 0, True),
+        Stmt([_code("type ", _d("Side"), " ="), "'| \"port\"'", "'| \"bow\";'"], f"{D} % 4 > 1",
+             (Sym(_n("Side"), "type", False),)),
+        BLANK,
         Stmt(["'export default function (z: number): number {'", "'  return z;'", "'}'"], None,
              (Sym("'default'", "function", True, ["'export default function (z: number): number {}'"]),)),
     ]
@@ -286,13 +318,17 @@ def statement_lines(st: Stmt, dialect: str, prefix: str, in_file: bool = True) -
     lines = [_comment(dialect, prefix) if x == COMMENT else x for x in st.lines]
     if st.export and in_file:
         lines[st.skip] = f"'export ' || {lines[st.skip]}"
+    if st.indent and in_file:
+        lines[0] = f"'{st.indent}' || {lines[0]}"
     return lines
 
 
 def _template_sql(template: list[Stmt], dialect: str, prefix: str) -> str:
     parts = []
     for st in template:
-        text = " || ".join(_line(x) for x in statement_lines(st, dialect, prefix))
+        lines = statement_lines(st, dialect, prefix)
+        last = _line(lines[-1]) if st.end is None else f"({lines[-1]}) || '{st.end}'"
+        text = " || ".join([*map(_line, lines[:-1]), last])
         parts.append(f"CASE WHEN {st.when} THEN {text} ELSE '' END" if st.when else text)
     return _cat(parts)
 

@@ -165,3 +165,67 @@ def test_names_in_every_script(spark):
     assert "return" not in s["a.py", "café"].sig and "return" not in s["b.ts", "número"].sig
     assert set(_kinds(s, "b.ts")) == {"número", "変数"}
     assert _imps(spark, files) == [("a.py", "ü", "länge", "größe.maß"), ("b.ts", "été", "été", "./saison")]
+
+
+LAYOUTS = {
+    "one.js": "import a from './a';function one(x){return a(x)}function two(y){return y}",
+    "indent.js": "   function ind(x) {\n     return x;\n   }\n   const k = 3;\n",
+    "semi.js": "const a = 1; const b = 2; // both\n",
+    "semi.py": "x = 1; y = ';'\ndef f(): z = 1; w = 2\nimport os; import sys\n",
+    "open.js": "function f(a)\n{\n  return a;\n}\nconst t =\n  5\nconst u = [\n1,\n];\n",
+    "tight.js": "class A{a(){return{}}b=1}class B extends A{}let h=2;export default function(){}",
+    "types.ts": "abstract class Q<T extends {a: number}> {\n  go(): void { this.x = {}; }\n}\ntype U =\n| 'a'\n| 'b';\n"
+                "export class M extends mix({x: 1}) implements I { m() { return {}; } }\n",
+    "deco.ts": "@Part({\n  at: 'x',\n})\n@Other\nclass C {\n  m() { return 1; }\n}\n",
+    "cont.py": "total = 1 + \\\n2\nz = 3\n",
+}
+
+
+def test_layouts(spark):
+    s = _syms(spark, LAYOUTS)
+    assert {p: list(_kinds(s, p)) for p in LAYOUTS} == {
+        "one.js": ["one", "two"], "indent.js": ["ind", "k"], "semi.js": ["a", "b"], "semi.py": ["x", "y", "f"],
+        "open.js": ["f", "t", "u"], "tight.js": ["A", "B", "h", "default"], "types.ts": ["Q", "U", "M"],
+        "deco.ts": ["C"], "cont.py": ["total", "z"]}
+    sig = {n: r.sig for (_, n), r in s.items()}
+    assert sig["two"] == "function two(y) {}" and sig["ind"] == "function ind(x) {}"
+    assert s["semi.js", "a"].text == "const a = 1;" and s["semi.py", "y"].text == "y = ';'"
+    assert s["open.js", "f"].sig == "function f(a) {}" and s["open.js", "t"].text == "const t =\n  5"
+    assert s["semi.py", "f"].sig == "def f():\n    pass"
+    assert sig["A"] == "class A{\na(){}b=1\n}" and sig["B"] == "class B extends A{\n}"
+    assert sig["Q"] == "abstract class Q<T extends {a: number}> {\n  go(): void {}\n}"
+    assert sig["M"] == "class M extends mix({x: 1}) implements I {\n m() {} \n}"
+    assert sig["U"] == "type U =\n| 'a'\n| 'b';"
+    assert sig["C"] == "@Part({\n  at: 'x',\n})\n@Other\nclass C {\n  m() {}\n}"
+    assert (s["deco.ts", "C"].start_line, s["deco.ts", "C"].decl_line) == (0, 4)
+    assert s["cont.py", "total"].text == "total = 1 + \\\n2"
+    assert _imps(spark, LAYOUTS) == [("one.js", "a", "default", "./a"), ("semi.py", "os", "os", "os"),
+                                     ("semi.py", "sys", "sys", "sys")]
+
+
+def test_brackets_of_depth_50(spark):
+    group, block = "(" * 50 + "1" + ")" * 50, "{ if (a) " * 50 + "{}" + " }" * 50
+    files = {"a.py": f"def f(a={group}):\n    return a\n\nb = 1\n",
+             "b.js": f"class M {{\n  run(a) {block}\n\n  next() {{ return 1; }}\n}}\n"
+                     f"function g(x = {group}) {{ return x; }}\nlet p = {group}, q = [{group}], r;\n"}
+    s = _syms(spark, files)
+    assert s["a.py", "f"].sig == f"def f(a={group}):\n    pass"
+    assert s["b.js", "M"].sig == "class M {\n  run(a) {}\n  next() {}\n}"
+    assert s["b.js", "g"].sig == f"function g(x = {group}) {{}}"
+    assert {n for (_, n) in s} == {"f", "b", "M", "g", "p", "q", "r"}
+
+
+def test_byte_spans(spark):
+    files = {"a.py": "# größe ☃\nx = 'é'; y = 2\n\n@dec\ndef café():\n    return '☃'\n",
+             "b.ts": "const ü = 'ü';\nexport function número(a) { return '€'; }\nexport const z = 1;\n", "c.js": ""}
+    rows = _syms(spark, files)
+    assert len(rows) == 6
+    for (path, _), r in rows.items():
+        assert files[path].encode()[r.start_byte:r.end_byte].decode() == r.text
+
+
+def test_many_statements_cross_the_blocks_of_the_running_sums(spark):
+    for n in (63, 64, 65, 129, 4097):
+        s = _syms(spark, {"a.js": "".join(f"const v{i} = [{i}];\n" for i in range(n))})
+        assert all(s["a.js", f"v{i}"].start_line == i and s["a.js", f"v{i}"].text == f"const v{i} = [{i}];"
+                   for i in range(n)) and len(s) == n
