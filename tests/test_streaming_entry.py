@@ -38,6 +38,54 @@ def test_a_batch_that_is_written_again_changes_nothing(spark, tmp_path):
     assert got == {"a": 5, "b": 2}
 
 
+def test_merged_batches(spark, tmp_path):
+    """Levels of merged folders: any number of batches, replays across a
+    merge and an unfinished merge give the latest row of every key."""
+    from slimctx.streaming import log_stream as S
+    out, latest = str(tmp_path / "out"), {}
+
+    def write(b):
+        rows = [(f"f{b % 5}", b), (None if b % 3 else "g", 10 * b)]
+        S.write_batch(spark.createDataFrame(rows, "file string, tokens_saved long").coalesce(1), b, out, ["file"], 3)
+        latest.update(rows)
+
+    for b in range(29):
+        write(b)
+        if b in (8, 9, 26):
+            write(b)                              # replayed, its merges included
+        if b in (0, 7, 8, 9, 26, 28):
+            got = {r.file: r.tokens_saved for r in S.read_series(spark, out, ["file"], 3).collect()}
+            assert got == latest
+    folders = S._committed(spark, out)
+    assert S.covering(folders, 3) == [(3, 0), (0, 27), (0, 28)]
+    assert len(folders) <= 2 * 3 * 4
+    os.remove(os.path.join(S._folder(out, 3, 0), "_SUCCESS"))      # a merge that did not end
+    assert S.covering(S._committed(spark, out), 3) == [(2, 0), (2, 1), (2, 2), (0, 27), (0, 28)]
+    got = {r.file: r.tokens_saved for r in S.read_series(spark, out, ["file"], 3).collect()}
+    assert got == latest
+
+
+def test_folders_read_stay_few():
+    from slimctx.streaming.log_stream import covering
+    every = [(level, i) for level in range(3) for i in range(1000 // 16 ** level)]
+    taken = covering(every, 16)
+    assert len(taken) <= 3 * 15
+    assert sum(16 ** level for level, _ in taken) == 1000
+
+
+def test_totals_without_keys_restart_across_a_merge(spark, tmp_path):
+    log_dir, work = str(tmp_path / "log"), str(tmp_path / "work")
+    os.makedirs(log_dir)
+    for half in (range(10), range(10, 20)):
+        for i in half:
+            with open(os.path.join(log_dir, f"part-{i:02d}.json"), "w") as f:
+                f.write(json.dumps(RUNS[i % len(RUNS)]) + "\n")
+        tot = catch_up(spark, log_dir, work, "totals", max_files_per_trigger=1).first()
+    assert tot.total_invocations == 20
+    from slimctx.streaming.log_stream import _committed, covering
+    assert (1, 0) in covering(_committed(spark, os.path.join(work, "totals", "out")), 16)
+
+
 def test_entry_contract(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
