@@ -45,7 +45,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 ALPHA = 0.5
 SEED = 17
-BLOCK = 1 << 20          # code points worked on at once
+BLOCK = 1 << 17          # code points worked on at once
 CHOICE, BOUND, ROOT = 1, 2, 3
 SCHEMA = ("doc_id long, rank int, ids array<int>, log_prob double, log_inclusion double, "
           "decoded_sha256 string, exact boolean")
