@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slimctx.functions.bind import let
 from slimctx.operators.extract import explode_rows
 from slimctx.operators.skew import salted_join
 from slimctx.functions.paths import (JS_EXTS, JS_INDEX, PY_INDEX, TS_EXTS, dirname, join_path,
@@ -31,11 +32,12 @@ def candidates(path: Column, language: Column, spec: Column) -> Column:
     base = parent_n(path, dots)
     module = join_path(base, F.regexp_replace(rest, r"\.", "/"))
     py = F.when(rest == "", _cands([join_path(base, F.lit(PY_INDEX.lstrip("/")))])) \
-        .otherwise(_cands([F.concat(module, F.lit(".py")), F.concat(module, F.lit(PY_INDEX))]))
+        .otherwise(let(module, lambda m: _cands([F.concat(m, F.lit(".py")), F.concat(m, F.lit(PY_INDEX))])))
     # javascript / typescript: path join + normpath, then extensions, then index files
     raw = normpath(join_path(dirname(path), spec))
-    js = _cands([raw] + [F.concat(raw, F.lit(e)) for e in JS_EXTS] + [F.concat(raw, F.lit(i)) for i in JS_INDEX])
-    ts = _cands([raw] + [F.concat(raw, F.lit(e)) for e in TS_EXTS] + [F.concat(raw, F.lit(i)) for i in JS_INDEX])
+    first = lambda exts: let(raw, lambda r: _cands(
+        [r] + [F.concat(r, F.lit(e)) for e in exts] + [F.concat(r, F.lit(i)) for i in JS_INDEX]))
+    js, ts = first(JS_EXTS), first(TS_EXTS)
     return (F.when(language == "python", py)
             .when(language == "typescript", ts)
             .otherwise(js))
