@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from slimctx.functions.text import TokenExpr, heuristic_tokens, split_names
 from slimctx.operators import graph as G
 from slimctx.operators import prune as P
-from slimctx.operators.extract import parse_files
+from slimctx.operators.extract import parse_files, with_texts, with_texts_apart
 from slimctx.operators.resolve import resolve_specifiers
 from slimctx.session import materialize as _materialize
 
@@ -37,12 +37,14 @@ class CorpusIndex:
         # raw size and tokens ride along with the parse, so the text is read once
         measured = files.select("path", "language", "text", F.octet_length("text").alias("raw_bytes"),
                                 token_expr(F.col("text")).alias("raw_tokens"))
-        parsed = parse_files(measured)
+        apart = with_texts_apart(parse_files(measured))
         if materialize:
             # written table in the shared checkpoint folder: cuts lineage and
             # survives executor loss (never a local checkpoint)
-            parsed = _materialize(parsed)
-        self.parsed = parsed
+            apart = _materialize(apart)
+        self.parsed = with_texts(apart)
+        #: ``parsed`` without the symbols' texts, which only entries need
+        self.slim = parsed = apart.drop("texts")
         self.paths = parsed.select("path")
         self.resolved = resolve_specifiers(parsed, listing if listing is not None else self.paths)
         if materialize:
@@ -66,7 +68,7 @@ class CorpusIndex:
         ``symbols`` — comma list or list applied to all entries; missing →
         exported symbols (else all) of each entry."""
         if entries is None and not symbols:
-            return P.default_request(self.parsed).select(F.col("path").alias("entry"), "syms")
+            return P.default_request(self.slim).select(F.col("path").alias("entry"), "syms")
         if entries is None:
             ent = self.paths.select(F.col("path").alias("entry"))
         elif isinstance(entries, DataFrame):
@@ -79,7 +81,7 @@ class CorpusIndex:
             text = symbols if isinstance(symbols, str) else ",".join(symbols)
             names = F.array_sort(F.array_distinct(split_names(F.lit(text))))
             return ent.select("entry", names.alias("syms"))
-        dflt = P.default_request(self.parsed).select(F.col("path").alias("entry"), "syms")
+        dflt = P.default_request(self.slim).select(F.col("path").alias("entry"), "syms")
         return (ent.select("entry").join(dflt, "entry", "left")
                 .select("entry", F.coalesce("syms", F.array().cast("array<string>")).alias("syms")))
 
@@ -102,14 +104,14 @@ class CorpusIndex:
     def prune(self, seeds: DataFrame, depth: int = 3, mode: str = "bfs", root: str | None = None) -> DataFrame:
         """One row per (entry, reachable file) with the pruned source."""
         nodes = self.graph(seeds, depth, mode)
-        return P.prune(nodes, self.parsed, self.token_expr, root)
+        return P.prune(nodes, self.parsed, self.token_expr, root, self.slim)
 
     def benchmark(self, seeds: DataFrame, depth: int = 3, mode: str = "bfs") -> tuple[DataFrame, DataFrame]:
         """``(bench, bench_files)``; both token columns come from the same
         traversal (J6), nothing is recomputed."""
         nodes = self.graph(seeds, depth, mode)
-        pruned = P.prune(nodes, self.parsed, self.token_expr)
-        per_file = P.bench_files(nodes, pruned, self.parsed.select("path", "raw_bytes", "raw_tokens"))
+        pruned = P.prune(nodes, self.parsed, self.token_expr, slim=self.slim)
+        per_file = P.bench_files(nodes, pruned, self.slim.select("path", "raw_bytes", "raw_tokens"))
         return P.bench(per_file, seeds, depth), per_file
 
     def sweep(self, depth: int = 3, mode: str = "bfs") -> DataFrame:
@@ -168,5 +170,7 @@ def render_json(pruned: DataFrame, seeds: DataFrame) -> DataFrame:
                 F.sum("estimated_tokens").cast("bigint").alias("total_tokens")))
     doc = F.struct(F.col("entry"), F.col("requested_symbols"), F.col("total_tokens"),
                    F.transform("parts", lambda p: p["f"]).alias("files"))
-    return (per.join(seeds.select("entry", F.col("syms").alias("requested_symbols")), "entry", "inner")
+    # the documents are not sorted for this join: the requests are hashed
+    requests = seeds.select("entry", F.col("syms").alias("requested_symbols")).hint("shuffle_hash")
+    return (per.join(requests, "entry", "inner")
             .select("entry", "total_tokens", F.to_json(doc).alias("json")))
