@@ -39,8 +39,13 @@ class Table:
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """The values of the keys, -1 where there is none."""
-        out = np.full(len(keys), -1, np.int32)
-        slot, left = self._slot(keys), np.arange(len(keys))
+        slot = self._slot(keys)
+        have = self.keys[slot]
+        hit = have == keys
+        out = np.where(hit, self.values[slot], np.int32(-1))
+        # nearly all keys end here; the others go on to the next slot
+        left = np.flatnonzero(~hit & (have != self.EMPTY))
+        slot[left] = (slot[left] + 1) & self.mask
         while len(left):
             at = slot[left]
             have = self.keys[at]
@@ -81,6 +86,11 @@ class Vocabulary:
                 if k:
                     pairs.add((ord(piece[k - 1]) << 21) | ord(piece[k]))
             term[nodes[piece]] = i
+        # children of the root by code point, the last entry stands for all beyond
+        heads = {key: kid for key, kid in zip(keys, kids) if key >> 21 == 0}
+        self.root = np.full(max(heads, default=0) + 2, -1, np.int32)
+        self.root[list(heads)] = list(heads.values())
+        self.text = np.array(self.text, object)
         self.child = Table(np.array(keys, np.uint64), np.array(kids, np.int32))
         pairs = np.array(sorted(pairs), np.uint64)
         self.pair = Table(pairs, np.zeros(len(pairs), np.int32))
@@ -98,8 +108,12 @@ class Vocabulary:
         return cls([sp.id_to_piece(i) for i in ids], [sp.get_score(i) for i in ids],
                    sp.piece_to_id("<0x00>"), n, ids, alpha)
 
+    def joined(self, ids) -> bytes:
+        """The text of the ids in UTF-8."""
+        return b"".join(self.text[ids].tolist())[1:]
+
     def decode(self, ids) -> str:
-        return b"".join([self.text[i] for i in ids])[1:].decode("utf-8")
+        return self.joined(np.asarray(ids, np.int64)).decode("utf-8")
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -147,12 +161,16 @@ class Lattice:
             count[p] += 1
 
         for k in range(vocab.longest):
-            ok = at + k < self.stop[at]
-            at, node = at[ok], node[ok]
-            kid = vocab.child((node << SHIFT) | wide[at + k])
+            if k:
+                ok = at + k < self.stop[at]
+                at, node = at[ok], node[ok]
+                kid = vocab.child((node << SHIFT) | wide[at + k])
+            else:
+                kid = vocab.root[np.minimum(cp, len(vocab.root) - 1)]
             ok = kid >= 0
-            at, node = at[ok], kid[ok].astype(np.uint64)
-            piece = vocab.term[kid[ok]]
+            at, kid = at[ok], kid[ok]
+            node = kid.astype(np.uint64)
+            piece = vocab.term[kid]
             hit = piece >= 0
             add(at[hit], k, piece[hit])
             if k == 0:
@@ -166,38 +184,48 @@ class Lattice:
             whole[put] = np.concatenate(given)
         n_bytes = 1 + (cp >= 0x80).astype(int) + (cp >= 0x800) + ((cp >= 0x10000) & (cp != LITERAL))
         w = np.where(piece >= 0, vocab.weight[piece], vocab.byte_weight * n_bytes[start])
-        # log weight of all ways from p to its segment's end, from the end back
-        total = np.zeros(n)
-        left = (self.stop - np.arange(n))[start]
+        # log weight of all ways from p to its segment's end, from the end back;
+        # what ends there goes on to position n, which weighs 0
+        total = np.zeros(n + 1)
+        stop = self.stop[start]
+        left = stop - start
         # two bytes are sorted by radix
         back = np.argsort(left.astype(np.uint16) if size.max(initial=0) < 1 << 16 else left,
                           kind="stable")
+        onward = np.where(to == stop, n, to)
+        w_back, onward_back, start_back = w[back], onward[back], start[back]
+        # edges of a position lie together, those of equal distance follow one another
+        heads = np.flatnonzero(np.r_[True, start_back[1:] != start_back[:-1]]) if len(back) else back
         bounds = np.searchsorted(left[back], np.arange(1, int(size.max(initial=0)) + 2))
-        ended = to == self.stop[start]
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            e = back[a:b]
-            v = w[e] + np.where(ended[e], 0.0, total[np.minimum(to[e], n - 1)])
-            s = start[e]
-            head = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-            total[s[head]] = np.logaddexp.reduceat(v, head)
-        rest = np.where(ended, 0.0, total[np.minimum(to, max(n - 1, 0))])
-        self.lq = w + rest - total[start]
+        nths = np.searchsorted(heads, bounds)
+        for a, b, i, j in zip(bounds[:-1], bounds[1:], nths[:-1], nths[1:]):
+            head = heads[i:j]
+            total[start_back[head]] = np.logaddexp.reduceat(
+                w_back[a:b] + total[onward_back[a:b]], head - a)
+        self.lq = w + total[onward] - total[start]
         self.q = np.exp(self.lq)
-        several = np.diff(self.first)[start] > 1
-        with np.errstate(divide="ignore"):
-            self.other = np.where(several, np.log(np.maximum(-np.expm1(np.minimum(self.lq, 0)), 0)),
-                                  -np.inf)
         self.to, self.piece, self.start, self.cp = to, piece, start, cp
 
+    def other(self, edges: np.ndarray) -> np.ndarray:
+        """The log probability of taking another edge where these begin."""
+        p = self.start[edges]
+        with np.errstate(divide="ignore"):
+            rest = np.log(np.maximum(-np.expm1(np.minimum(self.lq[edges], 0)), 0))
+        return np.where(self.first[p + 1] - self.first[p] > 1, rest, -np.inf)
+
     def choose(self, p: np.ndarray, u: np.ndarray) -> np.ndarray:
         """For each position the edge that ``u`` in [0, 1) falls on."""
-        e, last = self.first[p].copy(), self.first[p + 1] - 1
-        left, r = np.arange(len(p)), u.copy()
+        out, last = self.first[p], self.first[p + 1] - 1
+        r = u - self.q[out]
+        left = np.flatnonzero((r >= 0) & (out < last))
+        r, e, last = r[left], out[left], last[left]     # of those that go on
         while len(left):
-            r[left] -= self.q[e[left]]
-            left = left[(r[left] >= 0) & (e[left] < last[left])]
-            e[left] += 1
-        return e
+            e = e + 1
+            out[left] = e
+            r = r - self.q[e]
+            on = (r >= 0) & (e < last)
+            left, r, e, last = left[on], r[on], e[on], last[on]
+        return out
 
     def walk(self, state: np.ndarray, base: np.ndarray, draw) -> tuple[np.ndarray, np.ndarray]:
         """Ways from the given positions to the ends of their segments:

@@ -101,7 +101,7 @@ class Batch:
                 upto = np.cumsum(lq[a:b])
                 s["before"][a:b] = upto - lq[a:b]
                 s["log_prob"][d] = upto[-1]
-        mean = s["before"] + lat.other[s["edge"]]
+        mean = s["before"] + lat.other(s["edge"])
         step = np.arange(len(doc)) - cut[doc]
         mean[step < s["from"][doc]] = -np.inf         # split off by an earlier sample
         pos = self.base[s["part"]] + lat.start[s["edge"]]
@@ -143,34 +143,39 @@ class Batch:
               barred: dict, rank: int) -> dict:
         """The next sample of ``docs``, from the open set of largest bound."""
         lat = self.lattice
-        heads, parts, states, at, chosen, left = [], [], [], [], [], []
-        from_, seen = np.zeros(self.n, np.int64), []
+        heads, parts, states = [], [], []
+        from_ = np.zeros(self.n, np.int64)
+        tops = []
         for d in docs:
             o = out[which[d]]
             a, b = o["cut"][d], o["cut"][d + 1]
             t = a + int(np.argmax(o["g"][a:b]))
-            step, part = t - a, o["part"][t]
-            p = lat.start[o["edge"][t]]
+            tops.append((a, t, o["part"][t], lat.start[o["edge"][t]]))
+        pos = np.array([self.base[part] + p for _, _, part, p in tops])
+        choice = uniform(self.keys[docs], rank, pos, CHOICE)
+        means = np.empty(len(docs))
+        for i, (d, (a, t, part, p)) in enumerate(zip(docs, tops)):
+            o, step = out[which[d]], t - a
             not_these = barred.setdefault((which[d], t), [o["edge"][t]])
             edges = np.array([x for x in range(lat.first[p], lat.first[p + 1])
                               if x not in not_these])
             odds = np.cumsum(lat.q[edges])
-            u = uniform(self.keys[d:d + 1], rank, np.array([self.base[part] + p]), CHOICE)[0]
-            e = edges[min(np.searchsorted(odds, u * odds[-1], "right"), len(edges) - 1)]
+            e = edges[min(np.searchsorted(odds, choice[i] * odds[-1], "right"), len(edges) - 1)]
             # what is left of the opened set stays open in the parent, with
             # this sample's value as its bound
             not_these.append(e)
             rest = lat.q[edges[edges != e]].sum()
-            mean = o["before"][t] + (np.log(rest) if rest > 0 else -np.inf)
-            u = uniform(self.keys[d:d + 1], rank, np.array([self.base[part] + p]), BOUND)
-            o["g"][t] = truncated(np.array([mean]), best[d:d + 1], u)[0]
+            means[i] = o["before"][t] + (np.log(rest) if rest > 0 else -np.inf)
             from_[d] = step + 1
             heads.append((np.append(o["edge"][a:t], e), np.append(o["part"][a:t], part)))
             more = np.arange(part + 1, self.parts[d + 1])
             state = self.state[more]
             if lat.to[e] < lat.stop[p]:
-                more, state = np.r_[part, more], np.r_[lat.to[e], state]
+                more, state = np.append(part, more), np.append(lat.to[e], state)
             parts.append(more), states.append(state)
+        left = truncated(means, best[docs], uniform(self.keys[docs], rank, pos, BOUND))
+        for d, (_, t, _, _), g in zip(docs, tops, left):
+            out[which[d]]["g"][t] = g
         edge, part = self._free(np.concatenate(parts), np.concatenate(states), rank)
         cut = _cuts(self.part_doc[part], self.n)
         edges, owners = [], []
@@ -234,13 +239,14 @@ def encode(docs: DataFrame, model: str = MODEL, samples: int = SAMPLES, alpha: f
         cols: list[list] = [[] for _ in names]
         flat, sizes = [], [0]
         for doc_id, text, found in zip(ids, texts, encode_texts(texts, keys, vocab, samples)):
+            plain = text.encode()
             for rank, (pieces, log_prob, log_in) in enumerate(found, 1):
-                back = vocab.decode(pieces.tolist())
+                back = vocab.joined(pieces)
                 flat.append(pieces.astype(np.int32))
                 sizes.append(len(pieces))
-                digest = hashlib.sha256(back.encode()).hexdigest()
+                digest = hashlib.sha256(back).hexdigest()
                 for c, x in zip(cols, (doc_id, rank, None, log_prob, log_in, digest,
-                                       back == text)):
+                                       back == plain)):
                     c.append(x)
         lists = pa.ListArray.from_arrays(
             pa.array(np.cumsum(sizes), pa.int32()),

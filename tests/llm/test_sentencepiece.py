@@ -6,7 +6,7 @@ import pytest
 from helpers import documents
 
 from slimctx.llm import sentencepiece_sample as S
-from slimctx.llm.piece_lattice import Table, Vocabulary
+from slimctx.llm.piece_lattice import Lattice, Table, Vocabulary
 from slimctx.llm.textvec import mix
 
 PIECES = ["▁", "a", "b", "ab", "ba", "▁a", "aba", "bb"]
@@ -84,6 +84,30 @@ def test_hash_table():
     assert (t(mix(np.arange(1000, 2000, dtype=np.uint64))) == -1).all()
 
 
+def test_work_follows_the_edges_that_are_drawn(small, monkeypatch):
+    looked_up, logs = [], []
+    lookup, expm1 = Table.__call__, np.expm1
+    monkeypatch.setattr(Table, "__call__", lambda t, keys: looked_up.append(len(keys)) or lookup(t, keys))
+    cp, begin = np.array([ord(c) for c in "ab" * 200], np.uint32), np.array([0])
+    lattice = Lattice(cp, begin, small)
+    # heads of pieces need no hash table; "ab", "ba" are looked up, then "aba"
+    assert looked_up[:2] == [399, 398] and sum(looked_up) < 1200
+    monkeypatch.setattr(np, "expm1", lambda x: logs.append(len(x)) or expm1(x))
+    some = np.array([0, 3, 7])
+    p = lattice.start[some]
+    rest = [lattice.q[lattice.first[i]:lattice.first[i + 1]].sum() for i in p] - lattice.q[some]
+    assert np.allclose(np.exp(lattice.other(some)), rest) and logs == [3]
+    odd = Lattice(np.array([0x110000, 0x4E00, ord("a")], np.uint32), begin, small)
+    assert odd.piece.tolist() == [-1, -1, 1]
+
+
+def test_random_numbers_of_a_rank_are_drawn_together(small, monkeypatch):
+    calls, draw = [], S.uniform
+    monkeypatch.setattr(S, "uniform", lambda *a: calls.append(a[3]) or draw(*a))
+    S.encode_texts(["ab"] * 500, np.arange(500, dtype=np.uint64), small, 2)
+    assert len(calls) < 50
+
+
 def test_operator(spark):
     long = "Some words, été ▁ and 漢字.\n" * 4000
     rows = [(1, "Hello  world\n▁x", None), (2, None, None), (3, "", None), (4, long, None),
