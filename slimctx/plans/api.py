@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from typing import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slimctx.functions.text import TokenExpr, heuristic_tokens, split_names
@@ -122,6 +122,29 @@ class CorpusIndex:
 
 # --------------------------------------------------------------- renderers
 
+def _per_entry(pruned: DataFrame, shown: Column) -> tuple[DataFrame, DataFrame]:
+    """Per entry the parts of the entry's own file and those of its other
+    files.  ``prune`` deals the long texts out by entry already, so that only
+    the signatures are shuffled here."""
+    def parts(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("entry").agg(
+            F.struct(F.collect_list(F.struct("depth", "path", shown.alias("f"))).alias("parts"),
+                     F.sum("estimated_tokens").alias("tokens")).alias(name))
+
+    return parts(pruned.where("is_entry"), "own"), parts(pruned.where("not is_entry"), "others")
+
+
+def _both(joined: DataFrame) -> DataFrame:
+    """The parts in depth order, ties by path, and their totals."""
+    sides = [F.col("own"), F.col("others")]
+    none = joined.schema["own"].dataType["parts"].dataType
+    parts = F.array_sort(F.concat(*[F.coalesce(c["parts"], F.array().cast(none)) for c in sides]))
+    tokens = F.when(F.coalesce(*[c["tokens"] for c in sides]).isNotNull(),
+                    sum(F.coalesce(c["tokens"], F.lit(0)) for c in sides))
+    return (joined.withColumn("parts", parts).withColumn("total_tokens", tokens.cast("bigint"))
+            .withColumn("files", F.size("parts").cast("bigint")).drop("own", "others"))
+
+
 def render_text(pruned: DataFrame) -> DataFrame:
     """One text document per entry — per file a header line, the
     trimmed source and a blank line, then a footer with the totals.
@@ -129,11 +152,9 @@ def render_text(pruned: DataFrame) -> DataFrame:
     block = F.concat(F.lit("# === "), F.col("rel_path"), F.lit(" ("), F.col("estimated_tokens").cast("string"),
                      F.lit(" tokens) ===\n"),
                      F.regexp_replace(F.regexp_replace("source", r"\s+$", ""), r"^\s+", ""), F.lit("\n"))
-    per = (pruned.groupBy("entry")
-           .agg(F.array_sort(F.collect_list(F.struct("depth", "path", block.alias("b")))).alias("parts"),
-                F.sum("estimated_tokens").cast("bigint").alias("total_tokens"),
-                F.count(F.lit(1)).alias("files")))
-    text = F.concat(F.array_join(F.transform("parts", lambda p: p["b"]), "\n"),
+    own, others = _per_entry(pruned, block)
+    per = _both(own.join(others.hint("shuffle_hash"), "entry", "full_outer"))
+    text = F.concat(F.array_join(F.transform("parts", lambda p: p["f"]), "\n"),
                     F.lit("\n# ---\n# Total: "), F.col("total_tokens").cast("string"), F.lit(" tokens across "),
                     F.col("files").cast("string"), F.lit(" file(s)\n"))
     return per.select("entry", "total_tokens", "files", text.alias("text"))
@@ -165,12 +186,11 @@ def render_json(pruned: DataFrame, seeds: DataFrame) -> DataFrame:
     """One JSON document per entry (fixed key order)."""
     f = F.struct(F.col("path"), F.col("rel_path"), F.col("depth"), F.col("is_entry"), F.col("symbols"),
                  F.col("source"), F.col("estimated_tokens"))
-    per = (pruned.groupBy("entry")
-           .agg(F.array_sort(F.collect_list(F.struct("depth", "path", f.alias("f")))).alias("parts"),
-                F.sum("estimated_tokens").cast("bigint").alias("total_tokens")))
+    own, others = _per_entry(pruned, f)
+    # the documents are not sorted for these joins: the slim sides are hashed
+    requests = seeds.select("entry", F.col("syms").alias("requested_symbols")).hint("shuffle_hash")
+    per = _both(requests.join(own, "entry", "left").join(others.hint("shuffle_hash"), "entry", "left")
+                .where("own is not null or others is not null"))
     doc = F.struct(F.col("entry"), F.col("requested_symbols"), F.col("total_tokens"),
                    F.transform("parts", lambda p: p["f"]).alias("files"))
-    # the documents are not sorted for this join: the requests are hashed
-    requests = seeds.select("entry", F.col("syms").alias("requested_symbols")).hint("shuffle_hash")
-    return (per.join(requests, "entry", "inner")
-            .select("entry", "total_tokens", F.to_json(doc).alias("json")))
+    return per.select("entry", "total_tokens", F.to_json(doc).alias("json"))

@@ -6,7 +6,7 @@ from conftest import make_files
 from slimctx.operators import prune as P
 from slimctx.operators.extract import _cut, _running, parse_files, symbols_table
 from slimctx.operators.resolve import candidates
-from slimctx.plans.api import CorpusIndex, render_json
+from slimctx.plans.api import CorpusIndex, _per_entry, render_json, render_text
 from slimctx.plans.corpus_queries import q_used_imports
 
 FILES = {
@@ -74,6 +74,25 @@ def test_texts_are_read_and_shuffled_for_entries_only(spark):
     assert plan(render_json(pruned, seeds)).lower().count("shuffle_hash") >= 3
 
 
+def test_texts_of_entries_are_not_shuffled_again_for_the_documents(spark):
+    idx = CorpusIndex(make_files(spark, FILES))
+    seeds = idx.seeds()
+    pruned = idx.prune(seeds)
+    own, others = _per_entry(pruned, F.col("source"))
+    # the requests and the texts, each dealt out by entry once
+    assert own._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(entry") == 2
+    for docs in (render_text(pruned), render_json(pruned, seeds)):
+        assert "Union" not in plan(docs) and docs.count() == 2
+    text = {r.entry: r for r in render_text(pruned).collect()}["src/a.py"]
+    assert text.text.index("# === src/a.py (") < text.text.index("# === src/b.py (") and text.files == 2
+    assert text.total_tokens == pruned.where("entry = 'src/a.py'").agg(F.sum("estimated_tokens")).first()[0]
+    # entries whose own file was left out, and entries that reach nothing else
+    alone = render_text(pruned.where("not is_entry")).collect()
+    assert {r.entry: r.files for r in alone} == {"src/a.py": 1, "src/b.py": 1}
+    assert render_json(pruned.where("not is_entry"), seeds).count() == 2
+    assert {r.files for r in render_text(pruned.where("is_entry")).collect()} == {1}
+
+
 def test_used_imports_parses_each_file_once(spark, tmp_path):
     rows = [(i, "en" if i % 2 else "fr", f"some words of {i}") for i in range(12)]
     spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
