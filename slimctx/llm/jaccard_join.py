@@ -19,13 +19,18 @@ Two documents link when 100 * intersection >= ``percent`` * union.
    the bitmaps, the size range, the range of components and the most shingles
    that the bitmaps of its sets can hide.  The dual traversal drops a pair of
    nodes when their sizes, their components or their largest possible overlap
-   exclude a new link; what is left of single sets is verified.
-
-Pairs are verified on wide bitmaps (a bound) and then on the 40-bit shingle
-hashes of the whole sets: first the closest pair of every class, then every
-pair that is still between two components, so few whole sets are shuffled.  Shingles with
-very many classes are cut into blocks, every pair of blocks is a unit of its
-own, so no task holds an unbounded group.
+   exclude a new link.
+5. Pairs never leave the trees.  Classes left with an open partner go on as
+   rows, first to the same trees with bitmaps as wide as their sets need, then
+   to those with the whole sets, where pairs are verified closest first and a
+   link comes out if it joins two components.  So every step makes at most as
+   many rows as it reads, also of groups whose pairs are all just under the
+   threshold.  Shingles held by the same classes count as one, and a pair is
+   left to an earlier shingle if both classes name that among their first.
+
+Whole sets are compared by 40-bit shingle hashes.  Shingles with very many
+classes are cut into blocks, every pair of blocks is a unit of its own, so no
+task holds an unbounded group.
 
 Defined results: null and word-free texts have no shingles and are their own
 component; rows equal in doc_id and text are one document (one row); several
@@ -57,7 +62,13 @@ MAX_HOT = 200_000         # frequent shingles sent to every task, at most
 CHAIN = 6                 # prefix shingles of a document that chain, of the rare
                           # and of the frequent ones
 SALT = 8192               # classes of a frequent shingle chained together
-GROUP_BLOCK = 2048        # classes of a shingle in one block
+GROUP_BLOCK = 1024        # classes of a shingle in one block, at most
+LEAST_BLOCK = 256         # and at least
+OPEN_BLOCK = 64           # at least, of the few classes left with an open partner
+COPIES = 16               # blocks of a shingle, while they are below GROUP_BLOCK
+BLOCK_SHINGLES = 2_000_000
+FIRST = 8                 # first shingles that a row names
+UNIT_ROWS, UNIT_BYTES = 8192, 32 << 20    # rows of whole units taken together
 FANOUT = 8                # of the signature tree
 BITS = 512
 MAX_BROADCAST = 2_000_000
@@ -306,50 +317,146 @@ def _bitmaps(column) -> np.ndarray:
     return np.frombuffer(blob, np.uint64).reshape(-1, BITS // 64)
 
 
-def _tree_join(percent: int):
-    """Rows sorted by (token, b1, b2, n), whole units at a time, to pairs."""
-    def pairs(t: pa.Table) -> np.ndarray:
+def blocks_of(least: int):
+    """The blocks of a token of k classes and w shingles."""
+    most = F.least(F.greatest(F.ceil(F.col("k") / COPIES), F.lit(least)), F.lit(GROUP_BLOCK))
+    return F.greatest(F.ceil(F.col("k") / most),
+                      F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+
+
+def with_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` (token, n, rid, ...) with the number of their token's blocks."""
+    size = rows.groupBy("token").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
+    size = materialize(size.select("token", "k", blocks_of(OPEN_BLOCK)), "sizes")
+    return join_unique(rows, size, ["token"], "k", rows.count()).drop("k")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``blocks`` dealt to (token, b1, b2), the pairs of blocks
+    of their token; ``block`` is a row's own one."""
+    return (rows.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .withColumn("b1", F.least("block", "other"))
+            .withColumn("b2", F.greatest("block", "other")).drop("blocks", "other"))
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by (token, b1, b2, n) as tables of whole units."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        size += batch.nbytes
+        if rows < UNIT_ROWS and size < UNIT_BYTES:
+            continue
+        t = pa.Table.from_batches(held)
         key = [t.column(c).to_numpy() for c in ("token", "b1", "b2")]
-        new = np.zeros(len(key[0]), bool)
-        for k in key:
-            new[1:] |= k[1:] != k[:-1]
-        unit = np.cumsum(new)
-        block = t.column("block").to_numpy()
-        side = np.where(key[1] == key[2], 0, np.where(block == key[1], 1, 2))
-        rid = t.column("rid").to_numpy()
-        a, b = tree_pairs(unit, side, t.column("n").to_numpy(), t.column("comp").to_numpy(),
-                          _bitmaps(t.column("bits")), percent)
-        return np.stack([np.minimum(rid[a], rid[b]), np.maximum(rid[a], rid[b])], 1)
-
-    def batch_of(found: list) -> pa.RecordBatch:
-        both = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])],
-                                          names=["a", "b"])
+        other = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in key]))
+        cut = int(other[-1]) + 1 if len(other) else 0   # rows of the last unit wait
+        if cut:
+            yield t.slice(0, cut)
+            held, rows = t.slice(cut).to_batches(), len(t) - cut
+            size = sum(b.nbytes for b in held)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _earlier(t: pa.Table) -> np.ndarray:
+    """The tokens that each row names before its own, the rest the least long."""
+    tokens = t.column("tokens").combine_chunks()
+    size = tokens.value_lengths().to_numpy()
+    at = np.repeat(np.arange(len(size)), size)
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+    out = np.full((len(size), FIRST), np.iinfo(np.int64).min)
+    out[at, nth] = tokens.flatten().to_numpy()
+    out[out >= t.column("token").to_numpy()[:, None]] = np.iinfo(np.int64).min
+    return out
+
+
+def _open(t: pa.Table, bits: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of the units that ``bits`` leave open and that are not left to
+    a token which both rows name before this one."""
+    key = [t.column(c).to_numpy() for c in ("token", "b1", "b2")]
+    new = np.zeros(len(key[0]), bool)
+    for k in key:
+        new[1:] |= k[1:] != k[:-1]
+    block = t.column("block").to_numpy()
+    side = np.where(key[1] == key[2], 0, np.where(block == key[1], 1, 2))
+    a, b = tree_pairs(np.cumsum(new), side, t.column("n").to_numpy(), t.column("comp").to_numpy(),
+                      bits, percent)
+    x = _earlier(t)
+    y = np.where(x == np.iinfo(np.int64).min, np.iinfo(np.int64).max, x)
+    met = np.zeros(len(a), bool)
+    for at in range(0, len(a), 1 << 16):
+        p, q = a[at:at + (1 << 16)], b[at:at + (1 << 16)]
+        for i in range(FIRST):
+            met[at:at + (1 << 16)] |= (x[p, i, None] == y[q]).any(1)
+    return a[~met], b[~met]
+
+
+def _near(t: pa.Table, wide: list[bytes], percent: int) -> list[tuple[float, int, int]]:
+    """(share, a, b): the pairs of the units that wide bitmaps leave open, with
+    the largest possible overlap as a share of both sets."""
+    bits = np.stack([_fold(w, BITS // 64) for w in wide])
+    first, second = _open(t, bits, percent)
+    n = t.column("n").to_pylist()
+    found = []
+    for a, b in zip(first.tolist(), second.tolist()):
+        da, db = _apart(wide[a], wide[b])
+        most = min(n[a] - da, n[b] - db)
+        if (100 + percent) * most >= percent * (n[a] + n[b]):
+            found.append((most / (n[a] + n[b]), a, b))
+    return found
+
+
+def _kept(t: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+    keep = np.zeros(len(t), bool)
+    keep[ends] = True
+    return iter(t.select(["token", "n", "rid", "comp"]).filter(pa.array(keep)).to_batches())
+
+
+def _with_open_pair(percent: int):
+    """Rows of units to those with an open partner by their bitmaps."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _units(batches):
+            yield from _kept(t, np.concatenate(_open(t, _bitmaps(t.column("bits")), percent)))
+    return run
+
 
+def _with_near_pair(percent: int):
+    """Rows of units to those with an open partner by their wide bitmaps."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows, found, size = [], 0, [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            rows += batch.num_rows
-            if rows < 20_000:
-                continue
-            t = pa.Table.from_batches(held)
-            key = [t.column(c).to_numpy() for c in ("token", "b1", "b2")]
-            other = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in key]))
-            cut = int(other[-1]) + 1 if len(other) else 0   # rows of the last unit wait
-            if cut:
-                found.append(pairs(t.slice(0, cut)))
-                size += len(found[-1])
-                held, rows = t.slice(cut).to_batches(), len(t) - cut
-            if size > 500_000:             # a pair that meets in many units goes out once
-                yield batch_of(found)
-                found, size = [], 0
-        if held:
-            found.append(pairs(pa.Table.from_batches(held)))
-        if found:
-            yield batch_of(found)
+        for t in _units(batches):
+            pairs = _near(t, t.column("wide").to_pylist(), percent)
+            yield from _kept(t, np.array([x for _, a, b in pairs for x in (a, b)], np.int64))
+    return run
+
+
+def _new_links(percent: int):
+    """Rows of units with their whole sets to the links that connect, with the
+    known components, what all linking pairs of the units connect."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}            # of the task: its links all come out
+
+        def root(c):
+            while c in up:
+                up[c] = c = up.get(up[c], up[c])
+            return c
+
+        for t in _units(batches):
+            whole = [_unpack(x) for x in t.column("whole").to_pylist()]
+            pairs = _near(t, [_wide(x, 8) for x in whole], percent)
+            comp, rid = t.column("comp").to_pylist(), t.column("rid").to_pylist()
+            links = []
+            for _, a, b in sorted(pairs, reverse=True):
+                x, y = root(comp[a]), root(comp[b])
+                if x != y and _link(whole[a], whole[b], percent):
+                    up[max(x, y)] = min(x, y)
+                    links.append((min(rid[a], rid[b]), max(rid[a], rid[b])))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
     return run
 
 
@@ -378,37 +485,37 @@ def _unpack(blob: bytes) -> np.ndarray:
     return raw.reshape(-1).view(">u8").astype(np.uint64)
 
 
-def _wide(s: np.ndarray) -> bytes:
-    """A bitmap of the set, the power of two from 4n bits on as its width."""
+def _wide(s: np.ndarray, low: int = 32) -> bytes:
+    """A bitmap of the set by its bits from ``low`` on (8 for unpacked sets),
+    the power of two from 4n bits on as its width."""
     width = max(BITS, 1 << (4 * len(s) - 1).bit_length()) if len(s) else BITS
     bits = np.zeros(width, bool)
-    bits[(s >> np.uint64(32)) % np.uint64(width)] = True
+    bits[(s >> np.uint64(low)) % np.uint64(width)] = True
     return np.packbits(bits).tobytes()
 
 
+def _fold(wide: bytes, size: int) -> np.ndarray:
+    """The bitmap of the same set with ``size`` words."""
+    return np.bitwise_or.reduce(np.frombuffer(wide, np.uint64).reshape(-1, size), axis=0)
+
+
 def _apart(x: bytes, y: bytes) -> tuple[int, int]:
     """The least number of shingles of x that are not in y, and of y not in
     x; the wider bitmap is folded to the width of the other."""
-    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    fx = np.bitwise_or.reduce(x.reshape(-1, min(len(x), len(y))), axis=0)
-    fy = np.bitwise_or.reduce(y.reshape(-1, min(len(x), len(y))), axis=0)
+    size = min(len(x), len(y)) // 8
+    fx, fy = _fold(x, size), _fold(y, size)
     return int(_popcount(fx & ~fy)), int(_popcount(fy & ~fx))
 
 
 def _close(percent: int):
-    """Pairs whose wide bitmaps leave room for a link, with the largest
-    possible overlap as a share of both sets."""
+    """Pairs whose wide bitmaps leave room for a link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            keep, share = [], []
+            keep = []
             for na, nb, x, y in zip(*[t.column(c).to_pylist() for c in ("an", "bn", "aw", "bw")]):
                 dx, dy = _apart(x, y)
-                most = min(na - dx, nb - dy)
-                keep.append((100 + percent) * most >= percent * (na + nb))
-                share.append(most / (na + nb))
-            yield pa.RecordBatch.from_arrays(
-                [t.column("a"), t.column("b"), pa.array(share, pa.float64())],
-                names=["a", "b", "share"]).filter(pa.array(keep, pa.bool_()))
+                keep.append((100 + percent) * min(na - dx, nb - dy) >= percent * (na + nb))
+            yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return run
 
 
@@ -422,62 +529,80 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["rid", "n", "wide", "whole"])
 
 
+def _link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    inter = int((both[1:] == both[:-1]).sum())
+    return 100 * inter >= percent * (len(both) - inter)
+
+
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            keep = []
-            for x, y in zip(t.column("x").to_pylist(), t.column("y").to_pylist()):
-                both = np.concatenate([_unpack(x), _unpack(y)])
-                both.sort(kind="stable")
-                inter = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * inter >= percent * (len(both) - inter))
+            keep = [_link(_unpack(x), _unpack(y), percent)
+                    for x, y in zip(t.column("x").to_pylist(), t.column("y").to_pylist())]
             yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return run
 
 
-def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int,
-           known: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b) of classes that link, by their whole sets.  With ``known``
-    links only as many as connect, together with those, what all linking
-    pairs among ``pairs`` connect."""
+def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(rid, n, wide, whole) of the documents in ``ids``, repeated rows repeated."""
+    ids, _ = sized_broadcast(materialize(ids.select("rid").distinct(), "open-ids"), MAX_BROADCAST)
+    return materialize(docs.join(ids, "rid", "left_semi").select("rid", "text").mapInArrow(
+        _whole_sets, "rid long, n long, wide binary, whole binary"), "whole-sets")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes that link, by their whole sets."""
     bits = classes.select("rid", "n", "bits")
     wide = (pairs.join(bits.toDF("a", "an", "abits"), "a").join(bits.toDF("b", "bn", "bbits"), "b")
             .select("a", "b", "an", "bn", "abits", "bbits"))
     left = materialize(wide.mapInArrow(_prune(percent), "a long, b long"), "open-pairs")
-    ids = materialize(left.select(F.col("a").alias("rid")).unionByName(
-        left.select(F.col("b").alias("rid"))).distinct(), "open-ids")
-    ids, _ = sized_broadcast(ids, MAX_BROADCAST)
-    sets = materialize(docs.join(ids, "rid", "left_semi").select("rid", "text")
-                       .mapInArrow(_whole_sets, "rid long, n long, wide binary, whole binary"),
-                       "whole-sets")
+    sets = whole_sets(docs, left.select(F.col("a").alias("rid")).unionByName(
+        left.select(F.col("b").alias("rid"))))
     wide, whole = sets.select("rid", "n", "wide"), sets.select("rid", "whole")
     near = materialize(
         left.join(wide.toDF("a", "an", "aw"), "a").join(wide.toDF("b", "bn", "bw"), "b")
         .select("a", "b", "an", "bn", "aw", "bw")
-        .mapInArrow(_close(percent), "a long, b long, share double"), "close-pairs")
-
-    def check(some: DataFrame) -> DataFrame:
-        full = (some.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b")
-                .select("a", "b", "x", "y"))
-        return materialize(full.mapInArrow(_linked(percent), "a long, b long"), "links")
-
-    if known is None:
-        return check(near.select("a", "b"))
-    # first the closest pair of every class; then what still connects
-    # different components, so groups of near copies cost few whole sets
-    ends = near.select(F.col("a").alias("id"), "share", F.col("b").alias("to")).unionByName(
-        near.select(F.col("b").alias("id"), "share", F.col("a").alias("to")))
-    best = materialize(ends.groupBy("id").agg(F.max(F.struct("share", "to")).alias("m"))
-                       .select(F.least("id", "m.to").alias("a"), F.greatest("id", "m.to").alias("b"))
-                       .distinct(), "best-pairs")
-    links = check(best)
-    roots = components(links.unionByName(known))
-    rest = near.select("a", "b").join(best, ["a", "b"], "left_anti")
-    for end in ("a", "b"):
-        rest = rest.join(roots.toDF(end, f"root_{end}"), end, "left").withColumn(
-            f"root_{end}", F.coalesce(f"root_{end}", end))
-    rest = materialize(rest.filter("root_a <> root_b").select("a", "b"), "rest-pairs")
-    return links.unionByName(check(rest))
+        .mapInArrow(_close(percent), "a long, b long"), "close-pairs")
+    full = (near.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b")
+            .select("a", "b", "x", "y"))
+    return materialize(full.mapInArrow(_linked(percent), "a long, b long"), "links")
+
+
+def tree_links(placed: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect, with the components of ``placed`` (token, n,
+    rid, comp), what all linking pairs that share a token connect."""
+    names = ["token", "b1", "b2", "block", "n", "rid", "comp"]
+    row = "token long, n long, rid long, comp long"
+    # tokens of the same classes count once
+    mixed = (placed.groupBy("token")
+             .agg(F.count("*").alias("k"), F.min("comp").alias("c0"), F.max("comp").alias("c1"),
+                  F.sum("n").alias("w"), F.bit_xor(F.xxhash64("rid")).alias("s0"),
+                  F.bit_xor(F.xxhash64(F.lit(7), "rid")).alias("s1"))
+             .filter("c0 < c1").groupBy("s0", "s1", "k", "w").agg(F.min("token").alias("token"))
+             .select("token", "k", blocks_of(LEAST_BLOCK)))
+    rows = materialize(join_unique(placed, materialize(mixed, "mixed"), ["token"], "k",
+                                   placed.count()).drop("k"), "mixed-rows")
+    named = materialize(rows.groupBy("rid").agg(
+        F.slice(F.sort_array(F.collect_list("token")), 1, FIRST).alias("tokens"))
+        .join(classes.select("rid", "bits"), "rid"), "named")
+
+    def units(rows: DataFrame, side: DataFrame, given: str) -> DataFrame:
+        return (dealt(rows).join(side, "rid").select(*names, "tokens", given)
+                .repartition("token", "b1", "b2").sortWithinPartitions("token", "b1", "b2", "n"))
+
+    def with_sets(given: str) -> DataFrame:
+        return named.select("rid", "tokens").join(
+            sets.select("rid", given).dropDuplicates(["rid"]), "rid")
+
+    rows = materialize(units(rows, named, "bits")
+                       .mapInArrow(_with_open_pair(percent), row).distinct(), "open-rows")
+    sets = whole_sets(docs, rows)
+    rows = materialize(units(with_blocks(rows), with_sets("wide"), "wide")
+                       .mapInArrow(_with_near_pair(percent), row).distinct(), "near-rows")
+    return materialize(units(with_blocks(rows), with_sets("whole"), "whole")
+                       .mapInArrow(_new_links(percent), "a long, b long").distinct(), "tree-links")
 
 
 def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -509,21 +634,7 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         shared.select("token", "n", "rid")
         .join(roots, F.col("rid") == F.col("node"), "left")
         .select("token", "n", "rid", F.coalesce("root", "rid").alias("comp")), "placed")
-    mixed = (placed.groupBy("token").agg(F.count("*").alias("k"), F.min("comp").alias("c0"),
-                                         F.max("comp").alias("c1"))
-             .filter("c0 < c1").select("token", "k"))
-    block = F.pmod(F.xxhash64("rid"), F.ceil(F.col("k") / GROUP_BLOCK)).cast("int")
-    every_block = F.sequence(F.lit(0), F.ceil(F.col("k") / GROUP_BLOCK).cast("int") - 1)
-    units = (join_unique(placed, mixed, ["token"], "k", placed.count())
-             .withColumn("block", block).withColumn("other", F.explode(every_block))
-             .withColumn("b1", F.least("block", "other"))
-             .withColumn("b2", F.greatest("block", "other"))
-             .join(classes.select("rid", "bits"), "rid")
-             .select("token", "b1", "b2", "block", "n", "rid", "comp", "bits")
-             .repartition("token", "b1", "b2").sortWithinPartitions("token", "b1", "b2", "n"))
-    more = (units.mapInArrow(_tree_join(percent), "a long, b long").distinct()
-            .join(first, ["a", "b"], "left_anti"))
-    links = links.unionByName(verify(materialize(more, "tree-pairs"), docs, classes, percent, links))
+    links = links.unionByName(tree_links(placed, docs, classes, percent))
 
     roots = components(links)
     known = classes.select("d1", "d2", "n", "rid", "copies").join(

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import Components, blank_words, documents
 
@@ -78,6 +79,51 @@ def test_near_copies_of_one_text(spark):
     assert {r.component_id for r in got} == {0} and len(got) == 300
 
 
+@pytest.mark.parametrize("edits", [8, 5])
+def test_rows_follow_the_documents(spark, edits, monkeypatch):
+    """Copies of one text just under the threshold (8 edits) or around it (5):
+    no step makes more rows than there are prefix shingles."""
+    rnd = random.Random(edits)
+    base = [f"t{i}" for i in range(404)]
+    docs = {}
+    for i in range(300):
+        w = list(base)
+        for k in rnd.sample(range(404), edits):
+            w[k] = f"edit{i}x{k}"
+        docs[i] = " ".join(w)
+    made, write = {}, J.materialize
+
+    def counted(df, name="table"):
+        out = write(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(J, "materialize", counted)
+    got = J.op7_query(documents(spark, [(i, t, None) for i, t in docs.items()])).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs)
+    assert max(made.values()) <= 300 * (400 - 320 + 1), made
+
+
+def test_new_links_come_out_of_every_unit():
+    """Closest pairs first, none between joined components; pairs that share
+    an earlier token are left to it."""
+    x = np.arange(1, 101, dtype=np.uint64) << np.uint64(40)
+    sets = [x, x[:90], x[:81], x[50:]]
+    order = [3, 2, 1, 0]                                  # by size
+    def rows(token, tokens):                              # noqa: E306
+        return pa.RecordBatch.from_pydict({
+            "token": [token] * 4, "b1": [0] * 4, "b2": [0] * 4, "block": [0] * 4,
+            "n": [len(sets[i]) for i in order], "rid": order, "comp": order,
+            "tokens": [tokens] * 4, "whole": [J._pack(sets[i]) for i in order]})
+
+    def links(*batches):
+        return [(a, b) for r in J._new_links(80)(iter(batches))
+                for a, b in zip(r["a"].to_pylist(), r["b"].to_pylist())]
+
+    assert sorted(links(rows(5, [5, 9]), rows(9, [5, 9]))) == [(0, 1), (1, 2)]
+    assert links(rows(9, [5, 9])) == []
+
+
 def test_tree_pairs_lose_nothing():
     """Every pair that links and is in different components comes out."""
     rnd = np.random.RandomState(0)
